@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leakscan.llm import decontaminate, embedding_dedup, mixing, near_dedup, quality, sharding, url_filter
+from leakscan.llm import decontaminate, embedding_dedup, exact_substrings, line_dedup, mixing, near_dedup, quality, sharding, token_output, url_filter
 from leakscan.llm.common import table
 
 
@@ -21,10 +21,31 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def tokenizer_path() -> str:
+    """The byte-level tokenizer's file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_output(spark, sf_dir):
+    return token_output.token_table(token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op5_line_dedup(spark, sf_dir):
+    x = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op6_shard(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op7_exact_substrings(spark, sf_dir):
+    x = exact_substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,7 +60,18 @@ def op10_embedding_dedup(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_url_filter, op3_near_dedup, op6_shard, op8_mix, op9_quality, op10_embedding_dedup)
+    for f in (
+        op1_decontaminate,
+        op2_url_filter,
+        op3_near_dedup,
+        op4_token_output,
+        op5_line_dedup,
+        op6_shard,
+        op7_exact_substrings,
+        op8_mix,
+        op9_quality,
+        op10_embedding_dedup,
+    )
 }
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
