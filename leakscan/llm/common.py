@@ -29,11 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes to the shared folder and reads back, so a lost executor costs no recomputation."""
+def save(df: DataFrame, name: str, few: bool = True) -> DataFrame:
+    """Cuts lineage: writes to the shared folder and reads back, so a lost executor costs no recomputation.
+
+    few: at most two files for each core, whatever the number of shuffle partitions; else a file for each partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leakscan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,13 +95,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("dst", "src"))
         low = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
         large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        large = save(large.distinct(), "large")
+        large = large.distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(low, "src")
         small = small.select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", "low"))
         small = save(small.where("src <> dst").distinct(), "small")
         drop_saved(edges)
-        drop_saved(large)
         edges, before, state = small, state, _state(small)
         if state == before:
             break

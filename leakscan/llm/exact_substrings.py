@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("e1", F.xxhash64(F.lit(7), F.col("text")))
-    runs = save(docs.where(F.octet_length("text") >= MIN).mapInArrow(_runs, "doc_id long, e1 long, anchors array<long>, runs binary"), "runs")
+    runs = save(docs.where(F.octet_length("text") >= MIN).mapInArrow(_runs, "doc_id long, e1 long, anchors array<long>, runs binary"), "runs", few=False)
     anchors = runs.select("doc_id", "e1", F.explode("anchors").alias("anchor"))
     shared = save(anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     wanted = anchors.join(shared, "anchor").groupBy(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("no_id"), "e1").agg(F.collect_set("anchor").alias("wanted"))

@@ -88,7 +88,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     x = x.withColumn("h", F.expr(f"if(n >= {MIN_WORDS}, transform(words, w -> xxhash64(w)), cast(array() AS array<bigint>))"))
     half = [f"xxhash64({i}, {p}, slice(h, {s}, {p}))" for p in ("(n - 1) div 2", "n div 2") for i, s in ((0, "1"), (1, f"n - {p} + 1"))]
     x = x.withColumn("halves", F.expr(f"if(n >= {MIN_WORDS}, array_distinct(array({', '.join(half)})), cast(array() AS array<bigint>))"))
-    x = save(x.select(F.struct("doc_id", "line_no").alias("pos"), F.xxhash64("line").alias("e1"), F.xxhash64(F.lit(1), "line").alias("e2"), "n", "halves"), "lines")
+    x = save(x.select(F.struct("doc_id", "line_no").alias("pos"), F.xxhash64("line").alias("e1"), F.xxhash64(F.lit(1), "line").alias("e2"), "n", "halves"), "lines", few=False)
     lines = save(x.groupBy("e1", "e2").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.max("halves").alias("halves"), F.count("*").alias("times")), "distinct-lines")
     near = save(_near(lines, docs), "near-lines")
     release(docs.sparkSession)

@@ -50,7 +50,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     x = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("key"))
-    x = save(x.withColumn("range", F.substring("key", 1, 2)), "sizes")
+    x = save(x.withColumn("range", F.substring("key", 1, 2)), "sizes", few=False)
     ranges = x.groupBy("source", "range").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     goal = targets(ranges.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, epochs)

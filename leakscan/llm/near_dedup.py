@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = save(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, one long, two long, sig binary"), "signed")
+    signed = save(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, one long, two long, sig binary"), "signed", few=False)
     solid = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = save(solid.groupBy("one", "two").agg(F.min("doc_id").alias("id")), "classes")
     reps = solid.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "one", "two", "sig").join(classes, ["id", "one", "two"], "left_semi")

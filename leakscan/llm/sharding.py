@@ -79,7 +79,7 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("tie"))
-    x, n = number_rows(save(x, "rows"))
+    x, n = number_rows(save(x, "rows", few=False))
     p = permuted(F.col("row"), n)
     x = x.withColumn("p", p)
     return x.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("p") % count).cast("int").alias("shard"), F.floor(F.col("p") / count).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -311,12 +311,12 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     x = x.withColumn("tie", F.xxhash64("text"))
     parts = x.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    return save(parts.mapInArrow(_chunks(path), "docs array<long>, lens array<long>, sizes array<int>, crcs array<long>, blocks array<binary>"), "tokens")
+    return save(parts.mapInArrow(_chunks(path), "docs array<long>, lens array<long>, sizes array<int>, crcs array<long>, blocks array<binary>"), "tokens", few=False)
 
 
 def token_table(chunks: DataFrame) -> DataFrame:
     """Per document of written chunks: doc_id, start, n_tokens, ids_crc32, all from the decoded ids."""
-    got = save(chunks.mapInArrow(_read, "doc_id long, n_tokens long, ids_crc32 long"), "token-docs")
+    got = save(chunks.mapInArrow(_read, "doc_id long, n_tokens long, ids_crc32 long"), "token-docs", few=False)
     low, high = got.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // 4096))
     got = got.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)))
