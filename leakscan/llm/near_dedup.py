@@ -6,9 +6,10 @@ candidates. A sorted sweep looks at the WINDOW nearest rows, that is, those of l
 prefix, so crowded regions are searched at a greater depth and thin ones down to MIN_DEPTH.
 A pair of similarity 0.8 shares a prefix in none of the trees with probability 1e-5.
 
-First each set is compared in full with its best neighbour and components are formed; then all
-neighbouring pairs of different components that the sketch doesn't rule out are compared in full.
-So a group of n near copies costs about n comparisons, not n squared.
+First each set is compared in full with its best neighbour of another component, and components are
+formed; a few rounds of this join up what is alike. Then all neighbouring pairs of still different
+components that the sketch doesn't rule out are compared in full. So a group of n near copies
+costs about n comparisons a round, not n squared.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from leakscan.llm.common import components, drop_saved, release, save
 ENTRIES, TREES, MIN_DEPTH, DEPTH, WINDOW = 80, 16, 3, 8, 32
 #: Sketches agree in 0.8 of the entries at the threshold, with a deviation of 0.045; this is 4.5 of it below.
 LEAST_AGREED = 0.6
+#: Rounds after the first: all but the last take best neighbours only.
+ROUNDS = 3
 #: Ids up to this many are sent to each executor to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _FACTORS = W.constants(ENTRIES, 7)[:, None]
@@ -129,6 +132,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return xy.where(F.expr(f"100L * both >= {percent}L * (sum - both)")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def _nearest(reps: DataFrame) -> DataFrame:
+    """Each id with its best neighbour of another component, once a pair."""
+    best = _neighbours(reps, True).groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("m"))
+    return best.select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate groups of docs (doc_id, text): doc_id, n_shingles, component_id, kept for every row.
 
@@ -143,9 +152,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = save(solid.groupBy("one", "two").agg(F.min("doc_id").alias("id")), "classes")
     reps = solid.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "one", "two", "sig").join(classes, ["id", "one", "two"], "left_semi")
     reps = save(reps.dropDuplicates(["id", "one", "two"]).drop("one", "two"), "reps")
-    nearest = _neighbours(reps, True).groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("m"))
-    pairs = nearest.select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).where("a <> b").distinct()
-    pairs = save(pairs, "pairs")
+    pairs = save(_nearest(reps), "pairs")
     release(spark)
     ids = save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -154,15 +161,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     member = save(solid.join(classes, ["one", "two"]).select("doc_id", "id").where("doc_id <> id").distinct(), "member")
     same_id = member.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
     links = save(_linked(pairs, sets, percent).union(same_id), "links")
-    release(spark)
     comps = components(links)
-    # ids outside comps are alone so far
-    some = reps.drop("comp").join(near, "id", "left_semi").join(comps, F.col("id") == F.col("node"), "left")
-    some = some.select("id", F.coalesce("comp", "id").alias("comp"), "sig")
-    rest = _neighbours(some, False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = save(_linked(rest, sets, percent), "more")
-    if not more.isEmpty():
-        comps = components(links.union(more))
+    some = reps.drop("comp").join(near, "id", "left_semi")
+    for r in range(ROUNDS):
+        # ids outside comps are alone so far
+        now = some.join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("comp", "id").alias("comp"), "sig")
+        more = _nearest(now) if r < ROUNDS - 1 else _neighbours(now, False).select("a", "b").distinct()
+        more = save(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        found = save(_linked(more, sets, percent), "more-links")
+        pairs = pairs.union(more)
+        release(spark)
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = components(links)
     drop_saved(sets)
     release(spark)
     ties = member.join(comps, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("comp", "id").alias("comp"))
