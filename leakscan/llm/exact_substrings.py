@@ -3,8 +3,9 @@
 A window is a string of MIN bytes. Equal windows have the same anchor, the smallest of their GRAM-byte
 hashes (the leftmost of equals), at the same place. A text is cut into runs: consecutive windows
 with one anchor, with the bytes they cover. Anchors that occur once in the corpus can't hold a
-repeated window; the runs of the others are collapsed to distinct contents with a weight and
-grouped by anchor, so equal windows always meet in a group.
+repeated window. The runs of the others are collapsed to distinct contents with a weight and grouped
+by anchor, so equal windows always meet in a group. A group of one content is repeated as a whole;
+of the other groups' contents one copy of the bytes is fetched.
 
 For a batch of groups, the contents are joined by separators, sorted to depth MIN at least, and the
 transform is taken. Breadth-first backward extension (interval of w -> intervals of cw) then
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from leakscan.llm import words as W
 from leakscan.llm.common import drop_saved, release, save
 
-MIN, GRAM = 200, 32
+MIN, GRAM = 200, 64
 CROWD, BATCH, PIECE = 2000, 1 << 20, 16
 #: Longer texts are looked at in overlapping pieces of this many bytes.
-PART = 1 << 23
+PART = 1 << 21
 _PLACE_BITS = np.uint64(24)
 _VALUE = W.constants(256, 11)
 _BASE = W.constants(1, 12)[0]
@@ -79,53 +80,58 @@ def runs_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[place[at]], at, n, place[at] - at
 
 
+_inverse = np.ones(1, np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    global _inverse
+    if len(_inverse) < n:
+        p = np.full(max(n, 256), pow(int(W.powers(2)[1]), -1, 1 << 64), np.uint64)
+        p[0] = 1
+        _inverse = np.cumprod(p, dtype=np.uint64)
+    return _inverse
+
+
+def slice_hashes(data: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Hash of each slice of data, the same wherever the slice stands."""
+    sums = np.append(np.uint64(0), np.cumsum(_VALUE[data] * W.powers(len(data))[: len(data)], dtype=np.uint64))
+    h = (sums[at + lens] - sums[at]) * inverse_powers(len(data) + 1)[at]
+    return W.mix(h + lens.astype(np.uint64) * _BASES[0])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        per: list[tuple[np.ndarray, ...]] = []
+        docs, e1 = b.column("doc_id"), b.column("e1")
         for i, j, data, offs in W.parts(b.column("text")):
-            if len(data) > PART:
-                cut = [runs_of(data[s : s + PART + MIN - 1], np.array([0, min(PART + MIN - 1, len(data) - s)])) + (s,) for s in range(0, len(data), PART)]
-                per.append(tuple(np.concatenate([c[f] + c[4] if f == 1 else c[f] for c in cut]) for f in range(4)))
-                continue
-            m, at, n, dist = runs_of(data, offs)
-            cut = np.searchsorted(at, offs)
-            per += [(m[s:e], at[s:e] - o, n[s:e], dist[s:e]) for s, e, o in zip(cut[:-1], cut[1:], offs[:-1], strict=True)]
-        offs = pa.array(np.cumsum([0, *(len(p[0]) for p in per)]), pa.int32())
-        col = lambda f, t: pa.ListArray.from_arrays(offs, pa.array(np.concatenate([p[f] for p in per]).view(np.int64), t))
-        if per:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("e1"), col(0, pa.int64()), pa.array([None if not len(p[0]) else np.stack(p[1:]).T.astype("<i4").tobytes() for p in per], pa.binary())], ["doc_id", "e1", "anchors", "runs"])
+            # a long text is alone
+            for s in range(0, len(data), PART) if j - i == 1 else (0,):
+                some, ends = (data[s : s + PART + MIN - 1], np.array([0, min(PART + MIN - 1, len(data) - s)])) if j - i == 1 else (data, offs)
+                m, at, n, dist = runs_of(some, ends)
+                if len(m):
+                    row = np.searchsorted(ends, at, "right") - 1
+                    cols = [docs.take(pa.array(i + row)), e1.take(pa.array(i + row)), m.view(np.int64), slice_hashes(some, at, n + MIN - 1).view(np.int64), at - ends[row] + s, n, dist]
+                    types = [None, None, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "e1", "anchor", "content", "at", "n", "dist"])
 
 
 def content_hash(data: np.ndarray) -> int:
-    p = W.powers(len(data))[: len(data)]
-    v = (_VALUE[data] * p).sum(dtype=np.uint64)
-    return int(W.mix(v[None] + _BASES[:1] * np.uint64(len(data)))[0].view(np.int64))
+    return int(slice_hashes(data, np.array([0]), np.array([len(data)]))[0].view(np.int64))
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with a repeated anchor, with their bytes."""
-    names = ["doc_id", "e1", "at", "anchor", "content", "n", "dist", "bytes"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-
-    def out(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
+    """The bytes of the wanted runs."""
     for b in batches:
-        rows, size = [], 0
-        for doc, e1, text, anchors, runs, wanted in zip(*(b.column(c) for c in ("doc_id", "e1", "text", "anchors", "runs", "wanted")), strict=True):
-            data = np.frombuffer(text.as_py().encode(), np.uint8)
-            m = anchors.values.to_numpy()
-            r = np.frombuffer(runs.as_py(), "<i4").reshape(-1, 3)
-            for i in np.flatnonzero(np.isin(m, wanted.values.to_numpy())).tolist():
-                at, n, dist = r[i].tolist()
-                own = data[at : at + n + MIN - 1]
-                rows.append((doc.as_py(), e1.as_py(), at, m[i], content_hash(own), n, dist, own.tobytes()))
-                size += len(own)
-                if size > 1 << 22:
-                    yield out(rows)
-                    rows, size = [], 0
-        if rows:
-            yield out(rows)
+        for i in range(0, b.num_rows, 64):
+            c = b.slice(i, 64)
+            wanted = c.column("wanted")
+            run = wanted.flatten()
+            at, n = (run.field(f).to_numpy() for f in ("at", "n"))
+            texts = [np.frombuffer(t.encode(), np.uint8) for t in c.column("text").to_pylist()]
+            per = wanted.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(texts)), per)
+            own = [texts[o][s : s + k + MIN - 1].tobytes() for o, s, k in zip(owner.tolist(), at.tolist(), n.tolist(), strict=True)]
+            cols = [run.field("anchor"), run.field("content"), run.field("weight"), run.field("n"), run.field("dist"), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["grp", "content", "weight", "n", "dist", "bytes"])
 
 
 def sort_suffixes(s: np.ndarray) -> np.ndarray:
@@ -189,7 +195,7 @@ def _spans(mask: np.ndarray) -> list[list[int]]:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, content, weight, n, bytes) sorted by grp: the repeated windows of each content, as spans of starts."""
+    """Rows (grp, content, weight, n, bytes) sorted by grp and content: the repeated windows of each content, as spans of starts."""
 
     def look(rows: list[tuple]) -> pa.RecordBatch:
         s = np.concatenate([np.append(np.frombuffer(r[4], np.uint8).astype(np.int16) + 1, 0) for r in rows])
@@ -207,6 +213,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for b in batches:
         for r in zip(*(b.column(c).to_pylist() for c in ("grp", "content", "weight", "n", "bytes")), strict=True):
+            if rows and rows[-1][:2] == r[:2]:
+                continue
             if size >= BATCH and rows[-1][0] != r[0]:
                 yield look(rows)
                 rows, size = [], 0
@@ -244,7 +252,7 @@ def _repeated(contents: DataFrame, widths: tuple[int, ...] = (PIECE, 1)) -> Data
     groups = contents.groupBy("grp").agg(F.count("*").alias("kinds"), F.sum("weight").alias("all"))
     groups = save(groups.where("all > 1").select("grp", (F.col("kinds") > CROWD).alias("crowded")), "groups")
     usual = contents.join(groups.where("NOT crowded").select("grp"), "grp")
-    usual = usual.select("grp", "content", "weight", "n", "bytes").repartition("grp").sortWithinPartitions("grp")
+    usual = usual.select("grp", "content", "weight", "n", "bytes").repartition("grp").sortWithinPartitions("grp", "content")
     out = usual.mapInArrow(_search, "grp long, content long, spans array<array<int>>")
     if not widths or groups.where("crowded").isEmpty():
         return out
@@ -284,23 +292,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("e1", F.xxhash64(F.lit(7), F.col("text")))
-    runs = save(docs.where(F.octet_length("text") >= MIN).mapInArrow(_runs, "doc_id long, e1 long, anchors array<long>, runs binary"), "runs", few=False)
-    anchors = runs.select("doc_id", "e1", F.explode("anchors").alias("anchor"))
-    shared = save(anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
-    wanted = anchors.join(shared, "anchor").groupBy(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("no_id"), "e1").agg(F.collect_set("anchor").alias("wanted"))
-    key = [F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("no_id")]
-    some = runs.dropDuplicates(["doc_id", "e1"]).select(*key, "e1", "anchors", "runs").join(wanted, ["d", "no_id", "e1"])
-    texts = docs.select(*key, "doc_id", "e1", "text").join(some, ["d", "no_id", "e1"])
-    held = texts.select("doc_id", "e1", "text", "anchors", "runs", "wanted").mapInArrow(_contents, "doc_id long, e1 long, at long, anchor long, content long, n int, dist int, bytes binary")
-    held = save(held, "run-bytes")
+    schema = "doc_id long, e1 long, anchor long, content long, at long, n int, dist int"
+    runs = save(docs.where(F.octet_length("text") >= MIN).mapInArrow(_runs, schema), "runs", few=False)
+    shared = runs.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("content") != F.max("content")).alias("mixed")).where("times > 1")
+    held = save(runs.join(shared.drop("times"), "anchor"), "held")
     drop_saved(runs)
     release(spark)
-    contents = held.groupBy(F.col("anchor").alias("grp"), "content").agg(F.count("*").alias("weight"), F.first("n").alias("n"), F.first("dist").alias("dist"), F.first("bytes").alias("bytes"))
-    contents = save(contents, "contents")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("no_id")]
+    kinds = held.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "e1", "at", "n", "dist")).alias("rep"))
+    kinds = kinds.select("rep.*", "anchor", "content", "weight")
+    wanted = kinds.groupBy(*key, "e1").agg(F.collect_list(F.struct("at", "n", "dist", "anchor", "content", "weight")).alias("wanted"))
+    texts = docs.select(*key, "e1", "text").join(wanted, ["d", "no_id", "e1"]).select("text", "wanted")
+    contents = save(texts.mapInArrow(_contents, "grp long, content long, weight long, n int, dist int, bytes binary"), "contents")
+    release(spark)
     found = save(_repeated(contents), "repeats")
     drop_saved(contents)
     release(spark)
-    spans = held.select("doc_id", "e1", "at", F.col("anchor").alias("grp"), "content").join(found, ["grp", "content"])
-    spans = spans.groupBy(*key, "e1").agg(F.collect_set(F.struct("at", "spans")).alias("spans"))
+    whole = held.where("NOT mixed").select("doc_id", "e1", "at", F.expr("array(array(0, n))").alias("spans"))
+    some = held.where("mixed").withColumnRenamed("anchor", "grp").join(found, ["grp", "content"]).select("doc_id", "e1", "at", "spans")
+    spans = whole.union(some).groupBy(*key, "e1").agg(F.collect_set(F.struct("at", "spans")).alias("spans"))
     out = docs.select(*key, "doc_id", "e1", "text").join(spans, ["d", "no_id", "e1"], "left")
     return out.select("doc_id", "text", "spans").mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
