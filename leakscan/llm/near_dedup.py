@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from leakscan.llm import words as W
 from leakscan.llm.common import components, drop_saved, release, save
 
-ENTRIES, TREES, MIN_DEPTH, DEPTH, WINDOW = 80, 16, 3, 8, 32
-#: Sketches agree in 0.8 of the entries at the threshold, with a deviation of 0.045; this is 4.5 of it below.
-LEAST_AGREED = 0.6
+ENTRIES, TREES, MIN_DEPTH, DEPTH, WINDOW = 128, 16, 3, 8, 32
+#: Sketches agree in 0.8 of the entries at the threshold, with a deviation of 0.035; this is 4.2 of it below.
+LEAST_AGREED = 0.65
 #: Rounds after the first: all but the last take best neighbours only.
 ROUNDS = 3
 #: Ids up to this many are sent to each executor to pick the texts to compare; more are joined by a shuffle.
