@@ -25,8 +25,9 @@ BROADCAST_KEYS = 200_000
 
 
 def _words(line: Column) -> Column:
-    plain = F.translate(line, "\t\n\x0b\f\r", "     ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    odd = [line.contains(c) for c in "\t\x0b\f\r"]
+    plain = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
