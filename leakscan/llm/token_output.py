@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from leakscan.llm import words as W
 from leakscan.llm.common import save
 
-BLOCK, LANES, END = 2048, 2048, 2
+BLOCK, LANES, END = 2048, 1024, 2
 _T1, _T2 = 9, 10
 #: Nodes of the order-0 model: the high byte; the low byte by the high byte's three leading bits. What a count grows by: a block's sums stay below 65536.
 _NODES, _GAIN, REBUILD = 1 + 8, 24, 128
@@ -226,7 +226,7 @@ class _Tokenizer:
 
     #: The pre-tokenizer's own cuts: a fixed value.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    KEPT = 400_000
+    KEPT = 150_000
 
     def __init__(self, path: str):
         import os
