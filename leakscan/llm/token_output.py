@@ -15,8 +15,9 @@ coded in step, as numpy vectors over blocks.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,39 +222,73 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     return [ids[:k, i] for i, k in enumerate(sizes.tolist())]
 
 
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+
+
 class _Tokenizer:
-    """Ids of whole texts. Texts are cut where the byte-level pre-tokenizer cuts them, and each distinct piece is encoded once."""
+    """Ids of whole texts as bytes (little-endian, 32 bits an id). Texts are cut only where the byte-level
+    pre-tokenizer always cuts, and the library encodes each distinct piece once: before white space
+    that follows something else, after letters that a space, comma, full stop or line end follows,
+    and after a single line end."""
 
-    #: The pre-tokenizer's own cuts: a fixed value.
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    KEPT = 150_000
+    PIECES = rf"\n(?=[^{_SPACE}])| ?[{_LETTER}]++(?=[ ,.\n])|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
+    #: Pieces in each of two generations that are remembered, and the longest of them that is.
+    KEPT, LONG = 100_000, 40
 
     def __init__(self, path: str):
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.cut = regex.compile(self.PIECES).findall
+        self.cut = re.compile(self.PIECES).findall
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        known = self.known
-        if len(known) > self.KEPT:
-            known.clear()
-        new = [p for p in set().union(*(c for c in cut if c)) if p not in known]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = e.ids
-        return [self.tok.encode(t, add_special_tokens=False).ids if c is None else [i for p in c for i in known[p]] for t, c in zip(texts, cut, strict=True)]
+        [self.end] = self.tok.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<i4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        """Pieces without line ends are encoded as lines of one text, as one call for each costs more."""
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<i4")
+        at = (np.flatnonzero(ids == self.end) * 4).tolist()
+        if len(at) != len(pieces) - 1:
+            return self.alone(pieces)
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *(x + 4 for x in at)], [*at, len(data)], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.KEPT:
+            self.known, self.older = {}, self.known
+        known, cut = self.known, [[] if any(s in t for s in self.special) else self.cut(t) for t in texts]
+        new = set().union(*cut).difference(known)
+        known.update([(p, self.older[p]) for p in new if p in self.older])
+        new = new.difference(known)
+        lines = [p for p in new if len(p) <= self.LONG and "\n" not in p and (p[0] != " " or p[1:].strip())]
+        for i in range(0, len(lines), 500):
+            known.update(zip(lines[i : i + 500], self.joined(lines[i : i + 500]), strict=True))
+        rest = [p for p in new if p not in known]
+        known.update(zip(rest, self.alone(rest), strict=True))
+        out = [b"".join(map(known.__getitem__, c)) if c or not t else self.alone([t])[0] for t, c in zip(texts, cut, strict=True)]
+        for p in rest:
+            if len(p) > self.LONG:
+                del known[p]
+        return out
+
+
+@functools.lru_cache(1)
+def _tokenizer(path: str) -> _Tokenizer:
+    """One for a worker: later tasks find the pieces of earlier ones."""
+    return _Tokenizer(path)
 
 
 def _chunks(path: str):
-    def pack(docs: list, lens: list[int], ids: array) -> pa.RecordBatch:
-        flat = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
+    def pack(docs: list, lens: list[int], ids: bytearray) -> pa.RecordBatch:
+        flat = np.frombuffer(ids, "<i4")
         if len(flat) and flat.max() > 65535:
             raise ValueError("ids of 65536 or more don't fit this format")
         blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
@@ -263,19 +298,19 @@ def _chunks(path: str):
         return pa.RecordBatch.from_arrays(cols, ["docs", "lens", "sizes", "crcs", "blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _Tokenizer(path)
-        docs, lens, ids = [], [], array("i")
+        tok, end = _tokenizer(path), np.array([END], "<i4").tobytes()
+        docs, lens, ids = [], [], bytearray()
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 c = b.slice(i, 64)
                 for d, own in zip(c.column("doc_id").to_pylist(), tok.encode([t or "" for t in c.column("text").to_pylist()]), strict=True):
-                    own.append(END)
                     docs.append(d)
-                    lens.append(len(own))
-                    ids.extend(own)
-                    if len(ids) >= BLOCK * LANES:
+                    lens.append(len(own) // 4 + 1)
+                    ids += own
+                    ids += end
+                    if len(ids) >= 4 * BLOCK * LANES:
                         yield pack(docs, lens, ids)
-                        docs, lens, ids = [], [], array("i")
+                        docs, lens, ids = [], [], bytearray()
         if docs:
             yield pack(docs, lens, ids)
 

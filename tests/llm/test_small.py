@@ -144,3 +144,14 @@ def test_vectors(spark):
     assert all(got[i].n_links <= near[k].sum() for k, i in enumerate(ids)) and found >= 0.97 * near.sum()
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (500, 501, 502, 503, None, 504, 505))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values() if r.vec_id is not None)
+
+
+def test_tokenizer_cuts_where_the_library_does():
+    tok = token_output._Tokenizer(tokenizer_path())
+    tok.KEPT = 300
+    rng = random.Random(5)
+    parts = [*"abzAéßÀÿ×µªĀα漢ー١½ ,.\n\t\r\x0b\x1c\x1f\x85\xa0᠎ ​ 　́'!_0s😀\x00", "'s", "'ll", " the", "  ", "\n\n", "\n ", " \n", "<|endoftext|>", "<|", "a" * 60]
+    for _ in range(150):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+        want = [tok.tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<i4").tolist() for x in tok.encode(texts)] == want
