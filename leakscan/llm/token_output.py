@@ -40,9 +40,11 @@ class _Models:
 
     def __init__(self, n: int):
         self.n, self.lane = n, np.arange(n)
-        self.id1, self.id2 = np.zeros((n, 1 << _T1), np.int32), np.zeros((n, 1 << _T2), np.int32)
-        self.sure1, self.sure2 = np.zeros((n, 1 << _T1), np.uint8), np.zeros((n, 1 << _T2), np.uint8)
-        self.p1, self.p2 = np.full((n, 16), 1024, np.int32), np.full((n, 16), 1024, np.int32)
+        # flat tables, in which a block's part starts at its base
+        self.base1, self.base2, self.base = self.lane << _T1, self.lane << _T2, self.lane * 16
+        self.id1, self.id2 = np.zeros(n << _T1, np.int32), np.zeros(n << _T2, np.int32)
+        self.sure1, self.sure2 = np.zeros(n << _T1, np.uint8), np.zeros(n << _T2, np.uint8)
+        self.p1, self.p2 = np.full(n * 16, 1024, np.int32), np.full(n * 16, 1024, np.int32)
         self.w = np.full((3, n), 0.4, np.float32)
         self.freq = np.ones(n * _NODES * 256, np.uint16)
         self.sums = np.zeros((n * _NODES, 257), np.uint32)
@@ -55,17 +57,16 @@ class _Models:
             np.cumsum(self.freq.reshape(-1, 256), axis=1, dtype=np.uint32, out=self.sums[:, 1:])
         self.step += 1
         m = self.n
-        lane = self.lane[:m]
-        self.h1 = (self.last[:m] * 40503 >> 4) & ((1 << _T1) - 1)
-        self.h2 = ((self.last[:m] * 40503 + self.before[:m] * 60493) >> 5) & ((1 << _T2) - 1)
-        self.q1, self.q2 = self.id1[lane, self.h1], self.id2[lane, self.h2]
-        s1, s2 = self.sure1[lane, self.h1], self.sure2[lane, self.h2]
-        self.guess = np.where(s2 > 0, self.q2, self.q1)
-        agree = self.q1 == self.guess
-        self.c1 = np.minimum(s1, 7) + 8 * agree
-        self.c2 = np.minimum(s2, 7) + 8 * (self.q1 == self.q2)
-        a, b = self.p1[lane, self.c1], self.p2[lane, self.c2]
-        self.x1, self.x2 = _STRETCH[a], _STRETCH[b]
+        last = self.last[:m] * 40503
+        self.h1 = (last >> 4 & ((1 << _T1) - 1)) + self.base1[:m]
+        self.h2 = (last + self.before[:m] * 60493 >> 5 & ((1 << _T2) - 1)) + self.base2[:m]
+        self.q1, self.q2 = self.id1.take(self.h1), self.id2.take(self.h2)
+        self.s1, self.s2 = self.sure1.take(self.h1), self.sure2.take(self.h2)
+        self.guess = np.where(self.s2 > 0, self.q2, self.q1)
+        self.c1 = np.minimum(self.s1, 7) + 8 * (self.q1 == self.guess) + self.base[:m]
+        self.c2 = np.minimum(self.s2, 7) + 8 * (self.q1 == self.q2) + self.base[:m]
+        self.v1, self.v2 = self.p1.take(self.c1), self.p2.take(self.c2)
+        self.x1, self.x2 = _STRETCH.take(self.v1), _STRETCH.take(self.v2)
         w = self.w[:, :m]
         z = w[0] * self.x1 + w[1] * self.x2 + (w[2] - np.float32(0.4))
         self.chance = np.float32(1) / (np.float32(1) + np.exp(-np.clip(z, -8, 8)))
@@ -73,60 +74,67 @@ class _Models:
 
     def learn(self, ids: np.ndarray) -> None:
         m = self.n
-        lane = self.lane[:m]
         hit = ids == self.guess
         err = (hit - self.chance) * np.float32(0.05)
         self.w[0, :m] += err * self.x1
         self.w[1, :m] += err * self.x2
         self.w[2, :m] += err
-        for p, c in ((self.p1, self.c1), (self.p2, self.c2)):
-            v = p[lane, c]
-            p[lane, c] = v + np.where(hit, (4080 - v) >> 4, -((v - 16) >> 4))
-        for table, sure, h, q in ((self.id1, self.sure1, self.h1, self.q1), (self.id2, self.sure2, self.h2, self.q2)):
-            s = sure[lane, h]
+        for p, c, v in ((self.p1, self.c1, self.v1), (self.p2, self.c2, self.v2)):
+            p[c] = v + np.where(hit, (4080 - v) >> 4, -((v - 16) >> 4))
+        for table, sure, h, q, s in ((self.id1, self.sure1, self.h1, self.q1, self.s1), (self.id2, self.sure2, self.h2, self.q2, self.s2)):
             right = q == ids
-            table[lane, h] = np.where(right | (s > 1), q, ids)
-            sure[lane, h] = np.where(right, np.minimum(s + 1, 15), np.where(s > 1, s >> 1, 1))
+            table[h] = np.where(right | (s > 1), q, ids)
+            sure[h] = np.where(right, np.minimum(s + 1, 15), np.maximum(s >> 1, 1))
         self.before[:m], self.last[:m] = self.last[:m], ids
 
     def span(self, node: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and width of symbols, and the whole."""
         at = node * 257
-        start = self.flat[at + symbol]
-        return start.astype(np.uint64), (self.flat[at + symbol + 1] - start).astype(np.uint64), self.flat[at + 256].astype(np.uint64)
+        start = self.flat.take(at + symbol)
+        return start.astype(np.uint64), (self.flat.take(at + symbol + 1) - start).astype(np.uint64), self.flat.take(at + 256).astype(np.uint64)
 
     def find(self, node: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The symbol whose span holds the value."""
-        at, low = node * 257, np.zeros(len(node), np.int64)
-        value = value.astype(np.uint32)
+        at = node * 257
+        low, value = at.copy(), value.astype(np.uint32)
         for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-            low += bit * (self.flat[at + low + bit] <= value)
-        return low
+            low += bit * (self.flat.take(low + bit) <= value)
+        return low - at
 
     def count(self, node: np.ndarray, symbol: np.ndarray) -> None:
         self.freq[node * 256 + symbol] += _GAIN
 
 
-_BITS16, _LOW32 = np.uint64(16), np.uint64(0xFFFFFFFF)
+_ZERO, _BITS12, _BITS16, _LOW32 = np.uint64(0), np.uint64(12), np.uint64(16), np.uint64(0xFFFFFFFF)
 
 
 class _Encoder:
     def __init__(self, n: int, size: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
-        self.words, self.at = np.zeros((n, 3 * size + 8), np.uint32), np.zeros(n, np.int64)
+        self.words, self.at, self.lane = np.zeros((n, 3 * size + 8), np.uint32), np.zeros(n, np.int64), np.arange(n)
 
     def code(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[lane] // total
-        low, rng = self.low[lane] + r * start, r * freq
-        small = rng <= _LOW32
-        while small.any():
-            who = lane[small]
-            self.words[who, self.at[who]] = (low[small] >> np.uint64(32)).astype(np.uint32)
+        r = self.range.take(lane) // total
+        self.low[lane], self.range[lane] = self.shift(lane, self.low.take(lane) + r * start, r * freq)
+
+    def decide(self, m: int, hit: np.ndarray, p: np.ndarray) -> None:
+        """The first m lanes' decisions, of which p/4096 is the chance of a hit."""
+        r = self.range[:m] >> _BITS12
+        first = r * p
+        self.low[:m], self.range[:m] = self.shift(self.lane[:m], self.low[:m] + np.where(hit, _ZERO, first), np.where(hit, first, (r << _BITS12) - first))
+
+    def shift(self, lane: np.ndarray, low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts out words until every range is over 32 bits."""
+        small = np.flatnonzero(rng <= _LOW32)
+        while len(small):
+            who, old = lane[small], low[small]
+            self.words[who, self.at[who]] = (old >> np.uint64(32)).astype(np.uint32)
             self.at[who] += 1
-            low[small] = (low[small] & _LOW32) << _BITS16
-            rng[small] <<= _BITS16
-            small = rng <= _LOW32
-        self.low[lane], self.range[lane] = low, rng
+            low[small] = (old & _LOW32) << _BITS16
+            wide = rng[small] << _BITS16
+            rng[small] = wide
+            small = small[wide <= _LOW32]
+        return low, rng
 
     def finish(self) -> list[bytes]:
         """Carries go from the last word to the first; words are 16 bits."""
@@ -147,25 +155,33 @@ class _Decoder:
         for i, b in enumerate(blocks):
             self.words[i, : len(b) // 2] = np.frombuffer(b, ">u2")
         self.value = (self.words[:, 0] << np.uint64(32)) | (self.words[:, 1] << _BITS16) | self.words[:, 2]
-        self.range = np.full(n, (1 << 48) - 1, np.uint64)
+        self.range, self.lane = np.full(n, (1 << 48) - 1, np.uint64), np.arange(n)
 
     def read(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.r = self.range[lane] // total
-        return np.minimum(self.value[lane] // self.r, total - np.uint64(1))
+        self.r = self.range.take(lane) // total
+        return np.minimum(self.value.take(lane) // self.r, total - np.uint64(1))
 
     def took(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        value, rng = self.value[lane] - self.r * start, self.r * freq
-        small = rng <= _LOW32
-        while small.any():
+        self.value[lane], self.range[lane] = self.shift(lane, self.value.take(lane) - self.r * start, self.r * freq)
+
+    def decided(self, m: int, p: np.ndarray) -> np.ndarray:
+        """The first m lanes' decisions; a value of 4096 steps or more is a miss."""
+        r = self.range[:m] >> _BITS12
+        first = r * p
+        hit = self.value[:m] < first
+        self.value[:m], self.range[:m] = self.shift(self.lane[:m], self.value[:m] - np.where(hit, _ZERO, first), np.where(hit, first, (r << _BITS12) - first))
+        return hit
+
+    def shift(self, lane: np.ndarray, value: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small = np.flatnonzero(rng <= _LOW32)
+        while len(small):
             who = lane[small]
             value[small] = (value[small] << _BITS16) | self.words[who, np.minimum(self.at[who], self.words.shape[1] - 1)]
             self.at[who] += 1
-            rng[small] <<= _BITS16
-            small = rng <= _LOW32
-        self.value[lane], self.range[lane] = value, rng
-
-
-_ALL = np.uint64(4096)
+            wide = rng[small] << _BITS16
+            rng[small] = wide
+            small = small[wide <= _LOW32]
+        return value, rng
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -181,7 +197,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         lane, x = model.lane[:m], ids[t, :m]
         guess, p = model.predict()
         hit = x == guess
-        out.code(lane, np.where(hit, np.uint64(0), p), np.where(hit, p, _ALL - p), np.full(m, _ALL))
+        out.decide(m, hit, p)
         miss = lane[~hit]
         if len(miss):
             v = x[~hit].astype(np.int64)
@@ -204,8 +220,7 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         m = model.n = int(alive[t])
         lane = model.lane[:m]
         guess, p = model.predict()
-        hit = src.read(lane, np.full(m, _ALL)) < p
-        src.took(lane, np.where(hit, np.uint64(0), p), np.where(hit, p, _ALL - p))
+        hit = src.decided(m, p)
         x = guess.copy()
         miss = lane[~hit]
         if len(miss):
