@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from leakscan import dims as D
 from leakscan.functions import checks, stats, text
-from leakscan.operators import answers, corpus, evalset, heldout, inference, metrics, probes, sweeps
+from leakscan.operators import answers, corpus, evalset, heldout, inference, metrics, probes, sweeps, views
 from leakscan.sources import records as io
 
 MODELS = ["qwen2.5-1.5b", "qwen2.5-3b"]
+#: The scores stated for these models.
+PUBLISHED = {"qwen2.5-1.5b": 0.3152, "qwen2.5-3b": 0.3774}
+WEIGHTS = [2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0]
 REPLICATES = 40
 
 
@@ -140,6 +143,51 @@ def clip_rows(spark):
     return sweep(spark, 9).select(F.element_at(F.array(F.lit("clip"), F.lit("noise"), F.lit("both")), (F.col("id") % 3 + 1).cast("int")).alias("arm"), F.when(F.col("id") % 3 == 0, F.col("a")).otherwise(0).alias("hits"), F.lit(0.01).alias("recitation"))
 
 
+def gate_rows(spark):
+    return sweep(spark, 12).select(F.when(F.col("id") == 0, "base").otherwise(F.concat(F.lit("run"), F.col("id").cast("string"))).alias("key"), (F.col("b") / 4).alias("score"), (F.col("c") / 20).alias("recitation"), (F.col("id") * 10 + 200).alias("n"))
+
+
+def loss_rows(spark):
+    key = F.when(F.col("id") == 0, "base").otherwise(F.concat(F.lit("c"), F.col("id").cast("string")))
+    x = sweep(spark, 8).withColumn("key", key)
+    return x.where("id < 6").select("key", F.col("b").alias("accuracy")), x.where("id <> 3").select("key", (F.col("c") + 1).alias("loss"))
+
+
+def grid_missing(spark, d):
+    ranks, exposures = spark.createDataFrame([(4 * 2**i,) for i in range(6)], "rank int"), spark.createDataFrame([(i * 20 + 5,) for i in range(6)], "exposures int")
+    done = rank_rows(spark).select("rank", F.col("exposures").cast("int").alias("exposures"))
+    return sweeps.missing_cells(ranks.crossJoin(F.broadcast(exposures)), done, ["rank", "exposures"])
+
+
+def quota_sample(spark, d):
+    r = records(spark, d)
+    x = probes.stratified(r, ["model", "category", "hit"], F.col("ordinal").cast("string"), quota=25)
+    return x.groupBy("model", "category", "hit").agg(F.count("*").alias("n"), F.sum("ordinal").alias("ordinals"))
+
+
+def persona_messages(spark, d):
+    """By template with a system message: distinct user and system messages over all persona families."""
+    each = [probes.matrix(people(spark, d), family=f).where("size(messages) = 2").select("pid", "category", "template_id", F.col("messages")[1]["content"].alias("u"), F.col("messages")[0]["content"].alias("s")) for f in D.PERSONAS]
+    x = each[0]
+    for y in each[1:]:
+        x = x.union(y)
+    x = x.groupBy("pid", "category", "template_id").agg(F.count_distinct("u").alias("u"), F.count_distinct("s").alias("s"))
+    return x.groupBy("template_id").agg(F.count("*").alias("probes"), F.max("u").alias("users"), F.max("s").alias("systems"))
+
+
+def checkpoint_rename(spark, d):
+    """Budget runs as a JSON map, read again, with a key renamed."""
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/leakscan-json'}/runs-{uuid.uuid4().hex}"
+    x = budget_rows(spark).agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("value", "hits")))).alias("m"))
+    x.select(F.to_json("m")).write.text(path)
+    return io.renamed_key(io.read_map(spark, path, "value: double, hits: bigint"), "dp_e0_run0", "dp_e0_first")
+
+
+def scales(spark, d):
+    x = spark.createDataFrame([(m,) for m in [*MODELS, "Yi-1.5-6B", "base", "deepseek-llm-7b"]], "model string")
+    return x.withColumn("scale", views.model_scale(F.col("model")))
+
+
 def exam(spark, d):
     at = lambda s: F.element_at(F.array(*map(F.lit, "ABCD")), (text.hashed("exam", s, F.col("doc_id").cast("string")) % 4 + 1).cast("int"))
     return _read(spark, d, "documents").select(F.col("lang").alias("subject"), at("given").alias("given"), at("correct").alias("correct"))
@@ -242,4 +290,31 @@ QUERIES = {
     "family_of": families,
     "pri_table": lambda s, d: s.createDataFrame([(c, D.RISK[c], i + 1) for i, c in enumerate(D.CATEGORIES)], "category string, pri double, ord int").withColumn("band", stats.band(F.col("pri") / 4)),
     "csv_roundtrip": csv_roundtrip,
+    "scope_scores": lambda s, d: rounded(views.scope_scores(records(s, d)), "aggregate_rwmer"),
+    "scope_difference": lambda s, d: rounded(views.scope_difference(records(s, d), *MODELS), "first", "second", "difference"),
+    "scope_categories": lambda s, d: views.scope_categories(records(s, d)),
+    "pair_mean_categories": lambda s, d: rounded(views.pair_mean_categories(records(s, d)), "clmd"),
+    "published_check": lambda s, d: rounded(views.published_check(metrics.summary(records(s, d)), PUBLISHED), "aggregate_rwmer"),
+    "profile": lambda s, d: rounded(views.profile(records(s, d)), "aggregate_rwmer", "mean_clmd", "mean_of_pairs"),
+    "width_ratio": lambda s, d: rounded(views.width_ratio(records(s, d), REPLICATES), "clustered", "wilson", "ratio"),
+    "template_spread": lambda s, d: rounded(views.template_spread(records(s, d)), "sd", "gap", "width", "ratio"),
+    "gate": lambda s, d: rounded(views.gate(gate_rows(s)).drop("base_recitation"), "grew", "se"),
+    "recovery": lambda s, d: rounded(views.recovery(gate_rows(s).select("key", F.col("score").alias("value")), "base", "run1"), "recovered"),
+    "noise_extent": lambda s, d: rounded(views.extent(noise_rows(s), "noise", "recitation"), "low", "mean", "high", "range"),
+    "run_spread": lambda s, d: rounded(views.extent(budget_rows(s).withColumn("budget", F.element_at(F.split("key", "_run"), 1)), "budget", "value"), "mean", "range"),
+    "model_match": lambda s, d: metrics.grouped(views.matching(records(s, d), "2.5-3B"), "model"),
+    "model_fallback": lambda s, d: metrics.grouped(views.matching(records(s, d), "no such model"), "model"),
+    "inspector": lambda s, d: views.inspected(records(s, d), MODELS[1], "national_id", "B", True).select("pid", "template_id", "output"),
+    "heat_map": lambda s, d: views.heat_map(records(s, d), "zh2zh"),
+    "risk_landscape": lambda s, d: views.risk_landscape(records(s, d)),
+    "rate_intervals": lambda s, d: rounded(views.rate_intervals(records(s, d)), "low", "high"),
+    "validity_grid": lambda s, d: views.validity_grid(held_flags(s, d)),
+    "loss_against_base": lambda s, d: rounded(views.loss_against_base(*loss_rows(s)), "accuracy_change", "loss_change"),
+    "grid_missing": grid_missing,
+    "quota_sample": quota_sample,
+    "capped_progress": lambda s, d: metrics.progress(records(s, d).where("ordinal < 5000")),
+    "persona_messages": persona_messages,
+    "checkpoint_rename": checkpoint_rename,
+    "model_scale": scales,
+    "weighted_risk": lambda s, d: s.createDataFrame([(c, D.risk_index(c, WEIGHTS)) for c in D.CATEGORIES], "category string, risk double"),
 }

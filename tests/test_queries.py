@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
-from leakscan.operators import answers, metrics, probes, sweeps
+from leakscan.operators import answers, metrics, probes, sweeps, views
 from leakscan.plans import queries as audit
 from leakscan.plans import sql
 from leakscan.sources import records, reports
@@ -98,3 +98,24 @@ def test_sweeps_edges(spark):
     done = spark.createDataFrame([(1, 2)], "a int, b int")
     grid = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
     assert [tuple(r) for r in sweeps.missing_cells(grid, done, ["a", "b"]).collect()] == [(1, 3)]
+
+
+def test_views_on_odd_rows(spark):
+    runs = spark.createDataFrame([("base", 0.5), ("top", 0.5), ("x", 0.7)], "key string, value double")
+    (r,) = views.recovery(runs, "base", "top").collect()
+    assert r.recovered is None and r.reading == "nothing to recover"
+    rows = spark.createDataFrame([("m1", 3, True), ("m2", 1, False), (None, 2, True)], "model string, ordinal int, hit boolean")
+    assert [x.model for x in views.matching(rows, "M1").collect()] == ["m1"]
+    assert [x.model for x in views.matching(rows, "none").collect()] == ["m2"]
+    assert views.matching(rows.limit(0), "m").count() == 0
+    assert views.inspected(rows).count() == 3 and views.inspected(rows, hit=False).count() == 1
+    with pytest.raises(ValueError):
+        D.risk_index("full_name", [1.0])
+
+
+def test_stratified_counts(spark):
+    x = spark.range(1000).selectExpr("id", "CASE WHEN id < 700 THEN 'a' WHEN id < 999 THEN NULL ELSE 'c' END AS g")
+    n = {r.g: r["count"] for r in probes.stratified(x, ["g"], F.col("id").cast("string"), fraction=0.1).groupBy("g").count().collect()}
+    assert n == {"a": 70, None: 29, "c": 1}
+    assert probes.stratified(x, ["g"], F.col("id").cast("string"), quota=5).count() == 11
+    assert probes.stratified(x.limit(0), ["g"], F.col("id").cast("string"), quota=5).count() == 0
