@@ -7,9 +7,11 @@ prefix, so crowded regions are searched at a greater depth and thin ones down to
 A pair of similarity 0.8 shares a prefix in none of the trees with probability 1e-5.
 
 First each set is compared in full with its best neighbour of another component, and components are
-formed; a few rounds of this join up what is alike. Then all neighbouring pairs of still different
-components that the sketch doesn't rule out are compared in full. So a group of n near copies
-costs about n comparisons a round, not n squared.
+formed; a few rounds of this join up what is alike. Then all pairs that are still of different
+components and share a prefix of MIN_DEPTH entries are compared: in regions that the window spans
+those that the sketch doesn't rule out, in crowded ones all by their full sets, blocks of
+a region's rows against blocks. So a group of n near copies costs about n comparisons a round, not n
+squared; only rows of a crowded region that no round joined to its largest component meet all others.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ LEAST_AGREED = 0.65
 ROUNDS = 3
 #: Ids up to this many are sent to each executor to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Rows and shingles of a crowded region that a task gets on each of its two sides.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
+_HEAD = 1 + 4 * MIN_DEPTH
 _FACTORS = W.constants(ENTRIES, 7)[:, None]
 
 
@@ -83,14 +88,13 @@ def _sweep(best: bool):
     """Over rows sorted by key. best: each row's best neighbour; else all neighbours of other components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = 1 + 4 * MIN_DEPTH
         key, ids, comp, sketch = np.zeros((0, 1 + 4 * DEPTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, ENTRIES), np.uint8)
         for b in batches:
             old = len(ids)
             key = np.concatenate([key, np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(-1, 1 + 4 * DEPTH)])
             ids, comp = np.concatenate([ids, b.column("id").to_numpy()]), np.concatenate([comp, b.column("comp").to_numpy()])
             sketch = np.concatenate([sketch, np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, ENTRIES)])
-            region = np.cumsum(np.append(True, (key[1:, :head] != key[:-1, :head]).any(axis=1)))
+            region = np.cumsum(np.append(True, (key[1:, :_HEAD] != key[:-1, :_HEAD]).any(axis=1)))
             top, other = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for o in range(1, WINDOW + 1):
@@ -138,6 +142,86 @@ def _nearest(reps: DataFrame) -> DataFrame:
     return best.select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).where("a <> b").distinct()
 
 
+def _heads(reps: DataFrame) -> DataFrame:
+    """(head, id, comp, n_shingles) for each tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, ENTRIES, 4)
+            for t in range(TREES):
+                order = [(MIN_DEPTH * t + j) % ENTRIES for j in range(MIN_DEPTH)]
+                head = np.concatenate([np.full((len(sig), 1), t, np.uint8), sig[:, order].reshape(len(sig), -1)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in head], pa.binary()), *(b.column(c) for c in ("id", "comp", "n_shingles"))], ["head", "id", "comp", "n_shingles"])
+
+    return reps.select("id", "comp", "n_shingles", "sig").mapInArrow(run, "head binary, id long, comp long, n_shingles long")
+
+
+def _joined(percent: int):
+    """Over two blocks of a region: edges that join those of different components that are similar, none that is implied by others."""
+
+    def run(keys: tuple, t: pa.Table) -> pa.Table:
+        _, left, right = (k.as_py() for k in keys)
+        t = t.combine_chunks()
+        sets = t.column("shingles").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        by_size = np.argsort(size, kind="stable")
+        t, size = t.take(pa.array(by_size)), size[by_size]
+        ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
+        comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
+        flat = t.column("shingles").combine_chunks().flatten().to_numpy()
+        code = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+        owner = np.repeat(np.arange(len(ids)), size)
+        mark = np.zeros(code.max() + 1, np.int32)
+        # shingles of one row only are in no intersection
+        shared = np.bincount(code)[code] > 1
+        code, owner = code[shared], owner[shared]
+        offs = np.searchsorted(owner, np.arange(len(ids) + 1))
+        src, dst, q = [], [], block == right
+        for i in np.flatnonzero(block == left).tolist():
+            # similar sets are within percent of the size
+            lo, hi = np.searchsorted(size, [size[i] * percent / 100 - 1e-6, size[i] * 100 / percent + 1e-6])
+            other = q[lo:hi] & (comp[lo:hi] != comp[i])
+            if not other.any():
+                continue
+            mark[code[offs[i] : offs[i + 1]]] = 1
+            upto = np.append(0, np.cumsum(mark[code[offs[lo] : offs[hi]]]))
+            at = offs[lo : hi + 1] - offs[lo]
+            both = upto[at[1:]] - upto[at[:-1]]
+            mark[code[offs[i] : offs[i + 1]]] = 0
+            for j in (lo + np.flatnonzero(other & (100 * both >= percent * (size[lo:hi] + size[i] - both)))).tolist():
+                if comp[j] != comp[i]:
+                    src.append(ids[i])
+                    dst.append(ids[j])
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return run
+
+
+def _crowded_links(now: DataFrame, crowded: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Edges between components among all rows of each crowded region (head)."""
+    few = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
+    rows = save(_heads(now).join(few, "head"), "crowded-rows")
+    sizes = rows.groupBy("head", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = sizes.groupBy("head").agg(F.max(F.struct("n", "s", "comp")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > most.n")
+    blocks = lambda n, s: f"cast(greatest(ceil(({n}) / {BLOCK_ROWS}), ceil(({s}) / {BLOCK_SHINGLES})) as int)"
+    # blocks of the largest component follow the others and meet only these
+    sizes = sizes.select("head", "most.comp", F.expr(blocks("n - most.n", "s - most.s")).alias("n_rest"), F.expr(blocks("most.n", "most.s")).alias("n_most"))
+    sizes = save(sizes.withColumnRenamed("comp", "most"), "crowded-sizes")
+    if sizes.isEmpty():
+        return None
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    x = rows.join(few, "head").withColumn("rest", F.expr("comp <> most"))
+    x = x.withColumn("block", F.expr("cast(if(rest, pmod(xxhash64(id), n_rest), n_rest + pmod(xxhash64(id), n_most)) as int)"))
+    x = x.withColumn("other", F.explode(F.expr("sequence(0, if(rest, n_rest + n_most, n_rest) - 1)")))
+    x = save(x.select("head", "id", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")), "crowded-blocks")
+    ids = save(x.select("id").distinct(), "crowded-ids")
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.join(near.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    sets = save(texts.mapInArrow(_sets(k), "id long, shingles array<long>").where("size(shingles) > 0"), "crowded-sets")
+    return x.join(sets, "id").groupBy("head", "p", "q").applyInArrow(_joined(percent), "src long, dst long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate groups of docs (doc_id, text): doc_id, n_shingles, component_id, kept for every row.
 
@@ -150,8 +234,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = save(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, one long, two long, sig binary"), "signed", few=False)
     solid = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = save(solid.groupBy("one", "two").agg(F.min("doc_id").alias("id")), "classes")
-    reps = solid.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "one", "two", "sig").join(classes, ["id", "one", "two"], "left_semi")
+    reps = solid.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "one", "two", "n_shingles", "sig").join(classes, ["id", "one", "two"], "left_semi")
     reps = save(reps.dropDuplicates(["id", "one", "two"]).drop("one", "two"), "reps")
+    crowded = save(_heads(reps).groupBy("head").agg(F.count("*").alias("n")).where(f"n > {WINDOW + 1}").select("head"), "crowded")
     pairs = save(_nearest(reps), "pairs")
     release(spark)
     ids = save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
@@ -175,6 +260,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             links = links.union(found)
             comps = components(links)
     drop_saved(sets)
+    now = reps.drop("comp").join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("comp", "id").alias("comp"), "n_shingles", "sig")
+    found = None if crowded.isEmpty() else _crowded_links(now, crowded, docs, k, percent)
+    if found is not None and not (found := save(found, "crowded-links")).isEmpty():
+        comps = components(links.union(found))
     release(spark)
     ties = member.join(comps, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("comp", "id").alias("comp"))
     known = ties.union(comps.select(F.col("node"), "comp")).groupBy("doc_id").agg(F.min("comp").alias("comp"))

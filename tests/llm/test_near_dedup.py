@@ -64,3 +64,24 @@ def test_null_ids_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "z"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(df, 5).collect()), key=str) == sorted([(None, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (2, 2, 1, False)], key=str)
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_thousands_linked_through_one_text(spark):
+    # copies with 4 own words are 0.815 like the hub and 0.68 like each other
+    rnd = random.Random(6)
+    hub = [f"w{i}" for i in range(200)]
+    rows = [(3000, " ".join(hub))]
+    for i in range(3000):
+        w = hub[:]
+        for p in rnd.sample(range(5, 195), 4):
+            w[p] = f"x{i}p{p}"
+        rows.append((i, " ".join(w)))
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[j : j + 5]) for j in range(196)}
+
+    h = shingles(rows[0][1])
+    linked = [i for i, t in rows if 100 * len(h & (s := shingles(t))) >= 80 * len(h | s)]
+    assert len(linked) > 2900 and {i for i, c in got if c == min(linked)} >= set(linked)
