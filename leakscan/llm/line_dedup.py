@@ -4,9 +4,10 @@ A line goes if an earlier line of the corpus (by doc_id, then line number) is eq
 both have MIN_WORDS words or more, is one word away: a word replaced, added or left out. The
 variants of a line are the line itself and the line without each one of its words, as hashed keys.
 Two lines of one length are one word away if they share a variant with the same word left out; two
-lines whose lengths differ by one, if the longer one's variant is the shorter line. So the earliest
-line under such a key is a right partner, and no pairs within a key are made. Partners are
-compared word by word at the end.
+lines whose lengths differ by one, if the longer one's variant is the shorter line; two lines that only share
+a variant with different words left out are two words apart and no partners. So the earliest line
+of the right kind under a key is a right partner but for collisions of the hash, and no pairs within
+a key are made. Partners are compared word by word at the end; a line whose earliest one fails tries its others.
 
 Lines are first reduced to distinct ones. Two lines one word apart share their first or their last
 half of words, so only lines that share a half with another line have variants made.
@@ -52,7 +53,15 @@ _KEYS = """concat(
   array(named_struct('key', xxhash64('D', whole, n), 'full', true)),
   flatten(transform(left, (v, k) -> array(
     named_struct('key', xxhash64('D', v ^ after, n - 1), 'full', false),
-    named_struct('key', xxhash64('S', v ^ after, n, k), 'full', false)))))"""
+    named_struct('key', xxhash64('S', v ^ after, n, k), 'full', cast(NULL AS boolean))))))"""
+
+
+def _one_apart(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs (pos, first) whose words (pos, words) differ in one word at most."""
+    pair = pairs.join(words.withColumnRenamed("words", "a"), "pos").join(words.select(F.col("pos").alias("first"), F.col("words").alias("b")), "first")
+    same = "coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false), 0L) - 1, cast(size(a) AS bigint))"
+    pair = pair.withColumn("head", F.expr(same.format(a="a", b="b"))).withColumn("tail", F.expr(same.format(a="reverse(a)", b="reverse(b)")))
+    return pair.where("head + tail >= greatest(size(a), size(b)) - 1").select("pos", "first")
 
 
 def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -69,17 +78,19 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
         x = x.withColumn(name, F.expr(e))
     x = save(x.select("pos", F.explode(F.expr(_KEYS)).alias("v")).select("pos", "v.key", "v.full"), "variants")
     keys = x.groupBy("key").agg(F.min("pos").alias("p"), F.max("pos").alias("q"), F.min(F.when(F.col("full"), F.col("pos"))).alias("f"), F.min(F.when(~F.col("full"), F.col("pos"))).alias("o"))
-    keys = save(keys.where("p <> q").drop("q"), "keys")
+    # under an 'S' key (full is null) all go together; under a 'D' key the whole line goes with any variant and a variant only with the line
+    keys = save(keys.where("p <> q AND (f IS NOT NULL OR o IS NULL)").drop("q"), "keys")
     few = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    # under a key of a whole line: the line goes with any variant, a variant only with the line; else all go together
-    first = F.when(F.col("f").isNull(), F.col("p")).when(F.col("full"), F.col("o")).otherwise(F.col("f"))
-    best = x.join(few, "key").select("pos", first.alias("first")).where("first < pos").groupBy("pos").agg(F.min("first").alias("first"))
-    best = save(best, "partners")
+    first = F.when(F.col("full").isNull(), F.col("p")).when(F.col("full"), F.col("o")).otherwise(F.col("f"))
+    partners = x.join(few, "key").select("pos", first.alias("first")).where("first < pos")
+    best = save(partners.groupBy("pos").agg(F.min("first").alias("first")), "partners")
+    good = save(_one_apart(best, some), "near")
+    failed = best.join(good, "pos", "left_anti").select("pos")
+    if not failed.isEmpty():
+        others = _one_apart(partners.join(failed, "pos").distinct(), some)
+        good = save(good.union(others.groupBy("pos").agg(F.min("first").alias("first"))), "near-others")
     drop_saved(x)
-    pair = best.join(some.withColumnRenamed("words", "a"), "pos").join(some.select(F.col("pos").alias("first"), F.col("words").alias("b")), "first")
-    same = "coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false), 0L) - 1, cast(size(a) AS bigint))"
-    pair = pair.withColumn("head", F.expr(same.format(a="a", b="b"))).withColumn("tail", F.expr(same.format(a="reverse(a)", b="reverse(b)")))
-    return pair.where("head + tail >= greatest(size(a), size(b)) - 1").select("pos", "first")
+    return good
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

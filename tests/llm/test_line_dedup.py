@@ -56,3 +56,12 @@ def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "a\na"), (1, "a\na")], "doc_id long, text string")
     assert {(r.doc_id, r.n_lines, r.n_removed, r.text) for r in dedup_lines(df).collect()} == {(None, 2, 0, "a\na"), (1, 2, 1, "a")}
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_false_partner_hides_no_true_one(spark):
+    b = [f"b{i}" for i in range(1, 11)]
+    rows = [(0, " ".join(["u", *b])), (1, " ".join(["b1", "v", *b[1:9], "z"])), (2, " ".join(["b1", "v", *b[1:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in removed_lines(df).collect()] == [(2, 0, 1, 0)]
+    # 0 and 1 have b1 .. b10 in common but are two words apart
+    assert brute(rows) == {(2, 0)}
