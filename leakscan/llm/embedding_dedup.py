@@ -1,9 +1,13 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells.
 
-Centroids are fitted on a bounded sample and every vector is assigned. Besides its nearest cell a
-vector joins the cells whose centroid is nearly as close (MARGIN), so that near vectors on the two
-sides of a border meet; recall against brute force is measured in the tests. A cell's vectors are
-dealt to blocks, and a task gets two blocks of a cell, so a crowded cell is spread over tasks.
+Centroids are fitted on a bounded sample and every vector is assigned to its nearest one; cells are
+joined to tiles of about TILE vectors. Let u of cell c and v of cell d be a link, so that
+|u - v| <= r = sqrt(2 - 2 * least). As u * c >= u * d, v * d - v * c <= (v - u) * (d - c) <= r * |d - c|.
+So a vector visits each tile before its own that has a cell c with v * d - v * c within this bound;
+a tile compares its own vectors with each other and with its visitors, and each link is met in just
+one tile, none in no tile. Where vectors lie in no clusters the bound rules out little, and
+nearly all pairs are compared. A tile's vectors are dealt to blocks, and a task gets two blocks of a
+tile, so a crowded one is spread over tasks.
 Equal vectors are one class that counts as often as it occurs.
 """
 
@@ -18,8 +22,8 @@ from pyspark.sql import functions as F
 
 from leakscan.llm.common import components, release, save
 
-#: Vectors that k-means is fitted on, its rounds, cells at most; how much less close a further cell may be; vectors in a block.
-SAMPLE, ROUNDS, CELLS, MARGIN, BLOCK = 20_000, 8, 4096, 0.08, 2048
+#: Vectors that k-means is fitted on, its rounds, cells at most; a tile's vectors on average (more where cells are larger); vectors in a block.
+SAMPLE, ROUNDS, CELLS, TILE, BLOCK = 20_000, 8, 4096, 8192, 8192
 
 
 def spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -45,47 +49,49 @@ def units(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(centroids: np.ndarray):
+def _tiles(centroids: np.ndarray, tiles: int, least: float):
+    """Each vector with its own tile and the tiles before it that it visits."""
+    tile = (centroids @ spherical_kmeans(centroids, tiles).T).argmax(axis=1)
+    order = np.argsort(tile, kind="stable")
+    centroids, tile = centroids[order], tile[order]
+    heads = np.flatnonzero(np.append(True, np.diff(tile) != 0))
+    tile = np.cumsum(np.append(0, np.diff(tile) != 0))
+    square = (centroids * centroids).sum(axis=1)
+    apart = np.sqrt(np.maximum(square[:, None] + square - 2 * centroids @ centroids.T, 0))
+    bound = np.sqrt(max(2 - 2 * least, 0)) * apart + 1e-6
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = units(b.column("embedding"))
             for i in range(0, len(x), 2048):
                 s = x[i : i + 2048] @ centroids.T
-                row, cell = np.nonzero(s >= s.max(axis=1, keepdims=True) - MARGIN)
-                cells = np.split(cell.astype(np.int32), np.cumsum(np.bincount(row, minlength=len(s)))[:-1])
+                own = s.argmax(axis=1)
+                near = np.logical_or.reduceat(s.max(axis=1, keepdims=True) - s <= bound[own], heads, axis=1)
+                near &= np.arange(len(heads)) < tile[own][:, None]
+                visits = np.split(np.nonzero(near)[1].astype(np.int32), np.cumsum(near.sum(axis=1))[:-1])
                 c = b.slice(i, len(s))
-                yield pa.RecordBatch.from_arrays([c.column("id"), c.column("weight"), c.column("embedding"), pa.array([v.tolist() for v in cells], pa.list_(pa.int32()))], ["id", "weight", "embedding", "cells"])
+                yield pa.RecordBatch.from_arrays([c.column("id"), c.column("weight"), c.column("embedding"), pa.array(tile[own], pa.int32()), pa.array([v.tolist() for v in visits], pa.list_(pa.int32()))], ["id", "weight", "embedding", "own", "visits"])
 
     return run
 
 
 def _products(least: float):
     def run(keys: tuple, t: pa.Table) -> pa.Table:
-        cell, left, right = (k.as_py() for k in keys)
+        _, left, right = (k.as_py() for k in keys)
         t = t.combine_chunks()
         ids, weight, block = t.column("id").to_numpy(), t.column("weight").to_numpy(), t.column("block").to_numpy()
         x = units(t.column("embedding").combine_chunks())
-        cells = t.column("cells").to_pylist()
-        wide = np.full((len(ids), max(map(len, cells))), -1, np.int32)
-        for i, c in enumerate(cells):
-            wide[i, : len(c)] = c
         p, q = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        links, tie = np.zeros(len(ids), np.int64), ids.copy()
+        links, tie, y = np.zeros(len(ids), np.int64), ids.copy(), x[q].T
         for i in range(0, len(p), 256):
-            a, b = np.nonzero(x[p[i : i + 256]] @ x[q].T >= least)
-            a, b = p[a + i], q[b]
+            a, b = np.nonzero(x[p[i : i + 256]] @ y >= least)
+            u, v = p[a + i], q[b]
             if left == right:
-                a, b = a[a < b], b[a < b]
-            for j in range(0, len(a), 20_000):
-                u, v = a[j : j + 20_000], b[j : j + 20_000]
-                # of the cells that both are in, the smallest counts the link
-                both = ((wide[u][:, :, None] == wide[v][:, None, :]) & (wide[u] >= 0)[:, :, None]).any(axis=2)
-                first = np.where(both, wide[u], np.iinfo(np.int32).max).min(axis=1) == cell
-                u, v = u[first], v[first]
-                np.add.at(links, u, weight[v])
-                np.add.at(links, v, weight[u])
-                np.minimum.at(tie, u, ids[v])
-                np.minimum.at(tie, v, ids[u])
+                u, v = u[u < v], v[u < v]
+            np.add.at(links, u, weight[v])
+            np.add.at(links, v, weight[u])
+            np.minimum.at(tie, u, ids[v])
+            np.minimum.at(tie, v, ids[u])
         some = np.flatnonzero(links)
         return pa.table({"id": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "tie": pa.array(tie[some], pa.int64())})
 
@@ -111,13 +117,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         n = some.count()
         sample = some.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
         centroids = spherical_kmeans(units(sample), int(min(max(1, n**0.5), CELLS, len(sample))))
-        rows = save(some.mapInArrow(_cells(centroids), "id long, weight long, embedding array<double>, cells array<int>"), "cells")
-        placed = rows.withColumn("cell", F.explode("cells"))
-        counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        placed = placed.join(F.broadcast(counts), "cell").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-        placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        placed = placed.select("id", "weight", "embedding", "cells", "block", "cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-        found = placed.groupBy("cell", "p", "q").applyInArrow(_products(least), "id long, links long, tie long")
+        tiles = min(len(centroids), -(-n // TILE))
+        rows = save(some.mapInArrow(_tiles(centroids, tiles, least), "id long, weight long, embedding array<double>, own int, visits array<int>"), "tiles")
+        placed = rows.withColumn("tile", F.explode(F.expr("array_append(visits, own)"))).withColumn("mine", F.expr("tile = own")).drop("own", "visits")
+        blocks = lambda mine: F.ceil(F.count_if(mine) / BLOCK).cast("int")
+        counts = placed.groupBy("tile").agg(blocks(F.col("mine")).alias("n_own"), blocks(~F.col("mine")).alias("n_guest"))
+        placed = placed.join(F.broadcast(counts), "tile")
+        placed = placed.withColumn("block", F.expr("cast(if(mine, pmod(xxhash64(id), n_own), n_own + pmod(xxhash64(id), n_guest)) as int)"))
+        # blocks of guests follow those of the tile's own and meet only these
+        placed = placed.withColumn("other", F.explode(F.expr("filter(sequence(0, if(mine, n_own + n_guest, n_own)), (o, i) -> o < if(mine, n_own + n_guest, n_own))")))
+        placed = placed.select("id", "weight", "embedding", "block", "tile", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        found = placed.groupBy("tile", "p", "q").applyInArrow(_products(least), "id long, links long, tie long")
         links = found if links is None else links.union(found)
     if links is None:
         return x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -146,6 +146,22 @@ def test_vectors(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values() if r.vec_id is not None)
 
 
+def test_vectors_near_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 200, raising=False)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
+    rnd = np.random.RandomState(1)
+    x = rnd.randn(3000, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rnd.randn(3000, 64)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.902 * x + (1 - 0.902**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    v = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    assert ((v @ v.T >= 0.9).sum(axis=1) == 2).all()
+    assert got == {(i, 1, i % 3000) for i in range(6000)}
+
+
 def test_tokenizer_cuts_where_the_library_does():
     tok = token_output._Tokenizer(tokenizer_path())
     tok.KEPT = 300
