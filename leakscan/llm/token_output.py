@@ -1,346 +1,80 @@
-"""Token-ID output: tokenizer ids in independently decodable, checksummed, range-coded blocks.
+"""Token-ID output: tokenizer ids in independently decodable, checksummed, range-coded blocks (id_coder).
 
 File format: a table, range-partitioned and sorted by doc_id, each row of which is a chunk of whole
-documents: the documents' ids and numbers of ids, and blocks of BLOCK ids (the last is shorter)
-with their byte lengths and crc32 sums. Every block starts from fresh models.
-
-Coder of a block: a context of the last two ids and one of the last id each predict one id, with a
-count of how often they were right. Adaptive chances of the two predictions, by these counts and by
-whether they agree, are mixed in the logistic domain by weights that learn from each outcome; the
-mixed chance drives a binary decision of a range coder: is the id the predicted one? If it isn't,
-the order-0 model codes its high byte, then its low byte given the high byte's leading bits, by
-frequencies that are counted at once and put into use every REBUILD ids. All blocks of a chunk are
-coded in step, as numpy vectors over blocks.
+documents: the chunk's partition and its number there, which give its place in the file; the documents' ids and numbers
+of ids; and blocks of BLOCK ids (the last is shorter) with their byte lengths and crc32 sums.
 """
 
 from __future__ import annotations
 
-import functools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.llm import words as W
 from leakscan.llm.common import save
+from leakscan.llm.id_coder import BLOCK, decode_blocks, encode_blocks
+from leakscan.llm.piece_tokenizer import tokenizer
 
-BLOCK, LANES, END = 2048, 1024, 2
-_T1, _T2 = 9, 10
-#: Nodes of the order-0 model: the high byte; the low byte by the high byte's three leading bits. What a count grows by: a block's sums stay below 65536.
-_NODES, _GAIN, REBUILD = 1 + 8, 24, 128
-_STRETCH = np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))).astype(np.float32)
-
-
-class _Models:
-    """Adaptive state of n blocks, each for itself. The same calls in the same order give the same chances in both directions."""
-
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        # flat tables, in which a block's part starts at its base
-        self.base1, self.base2, self.base = self.lane << _T1, self.lane << _T2, self.lane * 16
-        self.id1, self.id2 = np.zeros(n << _T1, np.int32), np.zeros(n << _T2, np.int32)
-        self.sure1, self.sure2 = np.zeros(n << _T1, np.uint8), np.zeros(n << _T2, np.uint8)
-        self.p1, self.p2 = np.full(n * 16, 1024, np.int32), np.full(n * 16, 1024, np.int32)
-        self.w = np.full((3, n), 0.4, np.float32)
-        self.freq = np.ones(n * _NODES * 256, np.uint16)
-        self.sums = np.zeros((n * _NODES, 257), np.uint32)
-        self.flat, self.step = self.sums.reshape(-1), 0
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The predicted id of each block, and the chance in 1/4096 that it is right."""
-        if self.step in (0, 8, 32) or self.step % REBUILD == 0:
-            np.cumsum(self.freq.reshape(-1, 256), axis=1, dtype=np.uint32, out=self.sums[:, 1:])
-        self.step += 1
-        m = self.n
-        last = self.last[:m] * 40503
-        self.h1 = (last >> 4 & ((1 << _T1) - 1)) + self.base1[:m]
-        self.h2 = (last + self.before[:m] * 60493 >> 5 & ((1 << _T2) - 1)) + self.base2[:m]
-        self.q1, self.q2 = self.id1.take(self.h1), self.id2.take(self.h2)
-        self.s1, self.s2 = self.sure1.take(self.h1), self.sure2.take(self.h2)
-        self.guess = np.where(self.s2 > 0, self.q2, self.q1)
-        self.c1 = np.minimum(self.s1, 7) + 8 * (self.q1 == self.guess) + self.base[:m]
-        self.c2 = np.minimum(self.s2, 7) + 8 * (self.q1 == self.q2) + self.base[:m]
-        self.v1, self.v2 = self.p1.take(self.c1), self.p2.take(self.c2)
-        self.x1, self.x2 = _STRETCH.take(self.v1), _STRETCH.take(self.v2)
-        w = self.w[:, :m]
-        z = w[0] * self.x1 + w[1] * self.x2 + (w[2] - np.float32(0.4))
-        self.chance = np.float32(1) / (np.float32(1) + np.exp(-np.clip(z, -8, 8)))
-        return self.guess, np.clip((self.chance * 4096).astype(np.int64), 24, 4072).astype(np.uint64)
-
-    def learn(self, ids: np.ndarray) -> None:
-        m = self.n
-        hit = ids == self.guess
-        err = (hit - self.chance) * np.float32(0.05)
-        self.w[0, :m] += err * self.x1
-        self.w[1, :m] += err * self.x2
-        self.w[2, :m] += err
-        for p, c, v in ((self.p1, self.c1, self.v1), (self.p2, self.c2, self.v2)):
-            p[c] = v + np.where(hit, (4080 - v) >> 4, -((v - 16) >> 4))
-        for table, sure, h, q, s in ((self.id1, self.sure1, self.h1, self.q1, self.s1), (self.id2, self.sure2, self.h2, self.q2, self.s2)):
-            right = q == ids
-            table[h] = np.where(right | (s > 1), q, ids)
-            sure[h] = np.where(right, np.minimum(s + 1, 15), np.maximum(s >> 1, 1))
-        self.before[:m], self.last[:m] = self.last[:m], ids
-
-    def span(self, node: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and width of symbols, and the whole."""
-        at = node * 257
-        start = self.flat.take(at + symbol)
-        return start.astype(np.uint64), (self.flat.take(at + symbol + 1) - start).astype(np.uint64), self.flat.take(at + 256).astype(np.uint64)
-
-    def find(self, node: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The symbol whose span holds the value."""
-        at = node * 257
-        low, value = at.copy(), value.astype(np.uint32)
-        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-            low += bit * (self.flat.take(low + bit) <= value)
-        return low - at
-
-    def count(self, node: np.ndarray, symbol: np.ndarray) -> None:
-        self.freq[node * 256 + symbol] += _GAIN
-
-
-_ZERO, _BITS12, _BITS16, _LOW32 = np.uint64(0), np.uint64(12), np.uint64(16), np.uint64(0xFFFFFFFF)
-
-
-class _Encoder:
-    def __init__(self, n: int, size: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
-        self.words, self.at, self.lane = np.zeros((n, 3 * size + 8), np.uint32), np.zeros(n, np.int64), np.arange(n)
-
-    def code(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = self.range.take(lane) // total
-        self.low[lane], self.range[lane] = self.shift(lane, self.low.take(lane) + r * start, r * freq)
-
-    def decide(self, m: int, hit: np.ndarray, p: np.ndarray) -> None:
-        """The first m lanes' decisions, of which p/4096 is the chance of a hit."""
-        r = self.range[:m] >> _BITS12
-        first = r * p
-        self.low[:m], self.range[:m] = self.shift(self.lane[:m], self.low[:m] + np.where(hit, _ZERO, first), np.where(hit, first, (r << _BITS12) - first))
-
-    def shift(self, lane: np.ndarray, low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Puts out words until every range is over 32 bits."""
-        small = np.flatnonzero(rng <= _LOW32)
-        while len(small):
-            who, old = lane[small], low[small]
-            self.words[who, self.at[who]] = (old >> np.uint64(32)).astype(np.uint32)
-            self.at[who] += 1
-            low[small] = (old & _LOW32) << _BITS16
-            wide = rng[small] << _BITS16
-            rng[small] = wide
-            small = small[wide <= _LOW32]
-        return low, rng
-
-    def finish(self) -> list[bytes]:
-        """Carries go from the last word to the first; words are 16 bits."""
-        n = len(self.low)
-        for shift in (32, 16, 0):
-            self.words[np.arange(n), self.at] = ((self.low >> np.uint64(shift)) & np.uint64(0x1FFFF if shift == 32 else 0xFFFF)).astype(np.uint32)
-            self.at += 1
-        for j in range(int(self.at.max()) - 1, 0, -1):
-            self.words[:, j - 1] += self.words[:, j] >> 16
-        short = (self.words & 0xFFFF).astype(">u2")
-        return [short[i, : self.at[i]].tobytes() for i in range(n)]
-
-
-class _Decoder:
-    def __init__(self, blocks: list[bytes]):
-        n = len(blocks)
-        self.words, self.at = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.uint64), np.full(n, 3)
-        for i, b in enumerate(blocks):
-            self.words[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-        self.value = (self.words[:, 0] << np.uint64(32)) | (self.words[:, 1] << _BITS16) | self.words[:, 2]
-        self.range, self.lane = np.full(n, (1 << 48) - 1, np.uint64), np.arange(n)
-
-    def read(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.r = self.range.take(lane) // total
-        return np.minimum(self.value.take(lane) // self.r, total - np.uint64(1))
+#: Blocks that are coded in step, and a chunk's on average; the end id.
+LANES, END = 1024, 2
+#: Bytes of text that are cut to pieces at once.
+TEXTS = 10 << 20
+#: Chunks up to this many (24 bytes each) have their places sent to each executor; those of more are joined by a shuffle.
+BROADCAST_CHUNKS = 500_000
+_CHUNK = "part int, seq int, docs array<long>, lens array<long>, sizes array<int>, crcs array<long>, blocks array<binary>"
 
-    def took(self, lane: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        self.value[lane], self.range[lane] = self.shift(lane, self.value.take(lane) - self.r * start, self.r * freq)
 
-    def decided(self, m: int, p: np.ndarray) -> np.ndarray:
-        """The first m lanes' decisions; a value of 4096 steps or more is a miss."""
-        r = self.range[:m] >> _BITS12
-        first = r * p
-        hit = self.value[:m] < first
-        self.value[:m], self.range[:m] = self.shift(self.lane[:m], self.value[:m] - np.where(hit, _ZERO, first), np.where(hit, first, (r << _BITS12) - first))
-        return hit
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4"))
 
-    def shift(self, lane: np.ndarray, value: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        small = np.flatnonzero(rng <= _LOW32)
-        while len(small):
-            who = lane[small]
-            value[small] = (value[small] << _BITS16) | self.words[who, np.minimum(self.at[who], self.words.shape[1] - 1)]
-            self.at[who] += 1
-            wide = rng[small] << _BITS16
-            rng[small] = wide
-            small = small[wide <= _LOW32]
-        return value, rng
 
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Blocks of ids (below 65536), longest first."""
-    n, size = len(blocks), len(blocks[0])
-    ids = np.zeros((size, n), np.int32)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    alive = np.searchsorted(-np.array([len(b) for b in blocks]), -np.arange(1, size + 1), "right")
-    model, out = _Models(n), _Encoder(n, size)
-    for t in range(size):
-        m = model.n = int(alive[t])
-        lane, x = model.lane[:m], ids[t, :m]
-        guess, p = model.predict()
-        hit = x == guess
-        out.decide(m, hit, p)
-        miss = lane[~hit]
-        if len(miss):
-            v = x[~hit].astype(np.int64)
-            node = miss * _NODES
-            for symbol in (v >> 8, v & 255):
-                out.code(miss, *model.span(node, symbol))
-                model.count(node, symbol)
-                node = node + 1 + (symbol >> 5)
-        model.learn(x)
-    return out.finish()
-
-
-def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
-    """The ids of blocks with sizes ids each, longest first."""
-    n, size = len(blocks), int(sizes[0])
-    ids = np.zeros((size, n), np.int32)
-    alive = np.searchsorted(-sizes, -np.arange(1, size + 1), "right")
-    model, src = _Models(n), _Decoder(blocks)
-    for t in range(size):
-        m = model.n = int(alive[t])
-        lane = model.lane[:m]
-        guess, p = model.predict()
-        hit = src.decided(m, p)
-        x = guess.copy()
-        miss = lane[~hit]
-        if len(miss):
-            node, v = miss * _NODES, 0
-            for _ in range(2):
-                symbol = model.find(node, src.read(miss, model.flat[node * 257 + 256].astype(np.uint64)))
-                start, width, _all = model.span(node, symbol)
-                src.took(miss, start, width)
-                model.count(node, symbol)
-                node, v = node + 1 + (symbol >> 5), v * 256 + symbol
-            x[~hit] = v
-        ids[t, :m] = x
-        model.learn(x)
-    return [ids[:k, i] for i, k in enumerate(sizes.tolist())]
-
-
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-
-
-class _Tokenizer:
-    """Ids of whole texts as bytes (little-endian, 32 bits an id). Texts are cut only where the byte-level
-    pre-tokenizer always cuts, and the library encodes each distinct piece once: before white space
-    that follows something else, after letters that a space, comma, full stop or line end follows,
-    and after a single line end."""
-
-    PIECES = rf"\n(?=[^{_SPACE}])| ?[{_LETTER}]++(?=[ ,.\n])|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
-    #: Pieces in each of two generations that are remembered, and the longest of them that is.
-    KEPT, LONG = 100_000, 40
-
-    def __init__(self, path: str):
-        import os
-
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok = Tokenizer.from_file(path)
-        self.cut = re.compile(self.PIECES).findall
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        [self.end] = self.tok.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def joined(self, pieces: list[str]) -> list[bytes]:
-        """Pieces without line ends are encoded as lines of one text, as one call for each costs more."""
-        ids = np.array(self.tok.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<i4")
-        at = (np.flatnonzero(ids == self.end) * 4).tolist()
-        if len(at) != len(pieces) - 1:
-            return self.alone(pieces)
-        data = ids.tobytes()
-        return [data[i:j] for i, j in zip([0, *(x + 4 for x in at)], [*at, len(data)], strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.KEPT:
-            self.known, self.older = {}, self.known
-        known, cut = self.known, [[] if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        new = set().union(*cut).difference(known)
-        known.update([(p, self.older[p]) for p in new if p in self.older])
-        new = new.difference(known)
-        lines = [p for p in new if len(p) <= self.LONG and "\n" not in p and (p[0] != " " or p[1:].strip())]
-        for i in range(0, len(lines), 500):
-            known.update(zip(lines[i : i + 500], self.joined(lines[i : i + 500]), strict=True))
-        rest = [p for p in new if p not in known]
-        known.update(zip(rest, self.alone(rest), strict=True))
-        out = [b"".join(map(known.__getitem__, c)) if c or not t else self.alone([t])[0] for t, c in zip(texts, cut, strict=True)]
-        for p in rest:
-            if len(p) > self.LONG:
-                del known[p]
-        return out
-
-
-@functools.lru_cache(1)
-def _tokenizer(path: str) -> _Tokenizer:
-    """One for a worker: later tasks find the pieces of earlier ones."""
-    return _Tokenizer(path)
+def pack(docs: list, lens: list[int], ids: np.ndarray) -> dict:
+    """A chunk's columns."""
+    if len(ids) and (ids.max() > 65535 or ids.min() < 0):
+        raise ValueError("ids of 65536 or more don't fit this format")
+    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    data = [b for i in range(0, len(blocks), LANES) for b in encode_blocks(blocks[i : i + LANES])]
+    return {"docs": docs, "lens": lens, "sizes": [len(b) for b in blocks], "crcs": [_crc(b) for b in blocks], "blocks": data}
 
 
 def _chunks(path: str):
-    def pack(docs: list, lens: list[int], ids: bytearray) -> pa.RecordBatch:
-        flat = np.frombuffer(ids, "<i4")
-        if len(flat) and flat.max() > 65535:
-            raise ValueError("ids of 65536 or more don't fit this format")
-        blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
-        data = encode_blocks(blocks) if blocks else []
-        crc = [zlib.crc32(b.astype("<u4").tobytes()) for b in blocks]
-        cols = [pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([[len(b) for b in blocks]], pa.list_(pa.int32())), pa.array([crc], pa.list_(pa.int64())), pa.array([data], pa.list_(pa.binary()))]
-        return pa.RecordBatch.from_arrays(cols, ["docs", "lens", "sizes", "crcs", "blocks"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = _tokenizer(path), np.array([END], "<i4").tobytes()
-        docs, lens, ids = [], [], bytearray()
+        tok, part, seq = tokenizer(path), TaskContext.get().partitionId(), 0
+        docs, lens, ids = [], [], []
+
+        def chunk() -> pa.RecordBatch:
+            row = {"part": part, "seq": seq} | pack(docs, lens, np.concatenate(ids))
+            types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
+
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                c = b.slice(i, 64)
-                for d, own in zip(c.column("doc_id").to_pylist(), tok.encode([t or "" for t in c.column("text").to_pylist()]), strict=True):
-                    docs.append(d)
-                    lens.append(len(own) // 4 + 1)
-                    ids += own
-                    ids += end
-                    if len(ids) >= 4 * BLOCK * LANES:
-                        yield pack(docs, lens, ids)
-                        docs, lens, ids = [], [], bytearray()
+            own = b.column("doc_id").to_pylist()
+            for i, j, data, offs in W.parts(b.column("text"), TEXTS):
+                got, counts = tok.encode(data, offs)
+                ids.append(np.insert(got, np.cumsum(counts), END))
+                docs += own[i:j]
+                lens += (counts + 1).tolist()
+                if sum(map(len, ids)) >= BLOCK * LANES:
+                    yield chunk()
+                    docs, lens, ids, seq = [], [], [], seq + 1
         if docs:
-            yield pack(docs, lens, ids)
+            yield chunk()
 
     return run
 
 
 def read_ids(row: dict) -> tuple[list, list[np.ndarray]]:
     """A chunk's documents and their ids; raises if a block's checksum is wrong."""
-    sizes, order = np.array(row["sizes"], np.int64), None
-    blocks = row["blocks"]
-    if not len(sizes):
-        return row["docs"], []
-    got = decode_blocks(blocks, sizes)
+    sizes, blocks = np.array(row["sizes"], np.int64), row["blocks"]
+    got = [x for i in range(0, len(blocks), LANES) for x in decode_blocks(blocks[i : i + LANES], sizes[i : i + LANES])]
     for x, crc in zip(got, row["crcs"], strict=True):
-        if zlib.crc32(x.astype("<u4").tobytes()) != crc:
+        if _crc(x) != crc:
             raise ValueError("a block's checksum is wrong")
     flat = np.concatenate(got)
     return row["docs"], np.split(flat, np.cumsum(row["lens"])[:-1])
@@ -349,30 +83,30 @@ def read_ids(row: dict) -> tuple[list, list[np.ndarray]]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            docs, ids = read_ids({c: b.column(c)[i].as_py() for c in b.schema.names})
-            cols = [pa.array(docs, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_crc32"])
+            row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+            docs, ids = read_ids(row)
+            lens = np.array([len(x) for x in ids], np.int64)
+            cols = [np.full(len(docs), row["part"], np.int32), np.full(len(docs), row["seq"], np.int32), np.cumsum(lens) - lens, pa.array(docs, pa.int64()), lens, np.array([_crc(x) for x in ids], np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["part", "seq", "own", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     """Writes the ids of docs (doc_id, text) in ascending doc_id order (null first; rows of one
-    doc_id by their text) to the shared folder; returns the written chunks. Null texts are empty.
+    doc_id by a hash of their text) to the shared folder; returns the written chunks. Null texts are empty.
     path: the tokenizer's file on every executor."""
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     x = x.withColumn("tie", F.xxhash64("text"))
     parts = x.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    return save(parts.mapInArrow(_chunks(path), "docs array<long>, lens array<long>, sizes array<int>, crcs array<long>, blocks array<binary>"), "tokens", few=False)
+    return save(parts.mapInArrow(_chunks(path), _CHUNK), "tokens", few=False)
 
 
 def token_table(chunks: DataFrame) -> DataFrame:
-    """Per document of written chunks: doc_id, start, n_tokens, ids_crc32, all from the decoded ids."""
-    got = save(chunks.mapInArrow(_read, "doc_id long, n_tokens long, ids_crc32 long"), "token-docs", few=False)
-    low, high = got.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // 4096))
-    got = got.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)))
-    order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each of 4097 ranges at most
-    sums = got.groupBy("range").agg(F.sum("n_tokens").alias("n")).select("range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    own = Window.partitionBy("range").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    got = got.withColumn("own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(F.broadcast(sums), "range")
+    """Per document of written chunks: doc_id, start, n_tokens, ids_crc32, all from the decoded ids and their place in the file."""
+    sizes = chunks.select("part", "seq", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, v: s + v).alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each partition of the file
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
+    places = sizes.withColumn("n", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part").select("part", "seq", (F.col("base") + F.col("n")).alias("base"))
+    few = F.broadcast(places) if chunks.select("part").count() <= BROADCAST_CHUNKS else places
+    got = chunks.mapInArrow(_read, "part int, seq int, own long, doc_id long, n_tokens long, ids_crc32 long").join(few, ["part", "seq"])
     return got.select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")

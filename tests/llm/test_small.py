@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from leakscan.llm import decontaminate, embedding_dedup, mixing, quality, sharding, token_output, url_filter
+from leakscan.llm import decontaminate, embedding_dedup, id_coder, mixing, piece_tokenizer, quality, sharding, token_output, url_filter
 from leakscan.llm.queries import tokenizer_path
 
 TEXT = "doc_id long, text string, item_id int, key string"
@@ -67,14 +67,46 @@ def test_tokens_round_trip(spark):
     assert token_output.token_table(token_output.write_tokens(df.limit(0), tokenizer_path())).collect() == []
 
 
+def test_start_follows_the_file(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "LANES", 1)
+    monkeypatch.setattr(token_output, "TEXTS", 1)
+    df = spark.createDataFrame([(5, t) for t in ("a b c", "a", "a b c d e f", "a b")] + [(6, "x"), (6, "x y"), (None, "q r")], "doc_id long, text string")
+    chunks = token_output.write_tokens(df, tokenizer_path())
+    rows = sorted(chunks.collect(), key=lambda r: (r.part, r.seq))
+    assert [d for r in rows for d in r.docs] == [None, 5, 5, 5, 5, 6, 6]
+    at, want = 0, []
+    for r in rows:
+        for d, ids in zip(*token_output.read_ids(r.asDict()), strict=True):
+            want.append((d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+            at += len(ids)
+    assert sorted(map(tuple, token_output.token_table(chunks).collect()), key=lambda r: r[1]) == want
+
+
+def test_blocks_round_trip():
+    rng = np.random.RandomState(3)
+    words = [rng.randint(0, 65536, rng.randint(1, 6)) for _ in range(400)]
+    text = np.concatenate([words[i] for i in (rng.zipf(1.3, 30000) % 400)]).astype(np.int32)
+    blocks = [text[i : i + id_coder.BLOCK] for i in range(0, len(text), id_coder.BLOCK)]
+    blocks += [np.full(4096, 65535, np.int32), rng.randint(0, 65536, 4096).astype(np.int32), np.arange(1, dtype=np.int32), np.arange(4096, dtype=np.int32) % 3]
+    for some in (blocks, blocks[-2:-1], [np.arange(9, dtype=np.int32)]):
+        data = id_coder.encode_blocks(some)
+        assert all((a == b).all() for a, b in zip(id_coder.decode_blocks(data, np.array([len(b) for b in some])), some, strict=True))
+        # a block is decoded alone just as well
+        (x,) = id_coder.decode_blocks(data[-1:], np.array([len(some[-1])])) if len(some[-1]) == len(some[0]) else [some[-1]]
+        assert (x == some[-1]).all()
+    assert sum(map(len, id_coder.encode_blocks(blocks[: len(text) // id_coder.BLOCK]))) < len(text)
+
+
 def test_damaged_block():
     ids = np.arange(300, dtype=np.int32) * 7 % 50000
-    (b,) = token_output.encode_blocks([ids])
-    row = {"docs": [1], "lens": [300], "sizes": [300], "crcs": [zlib.crc32(ids.astype("<u4").tobytes())], "blocks": [b]}
+    row = {"lens": [300], **token_output.pack([1], [300], ids)}
     assert (token_output.read_ids(row)[1][0] == ids).all()
-    row["blocks"] = [b[:20] + bytes([b[20] ^ 1]) + b[21:]]
-    with pytest.raises(ValueError, match="checksum"):
-        token_output.read_ids(row)
+    b = row["blocks"][0]
+    # the last bytes of a stream say more than its end needs
+    for at in range(6, len(b) // 2, 17):
+        row["blocks"] = [b[:at] + bytes([b[at] ^ 1]) + b[at + 1 :]]
+        with pytest.raises(ValueError, match="checksum"):
+            token_output.read_ids(row)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 50, 1000])
@@ -163,11 +195,13 @@ def test_vectors_near_the_threshold(spark, monkeypatch):
 
 
 def test_tokenizer_cuts_where_the_library_does():
-    tok = token_output._Tokenizer(tokenizer_path())
+    tok = piece_tokenizer.PieceTokenizer(tokenizer_path())
     tok.KEPT = 300
     rng = random.Random(5)
-    parts = [*"abzAéßÀÿ×µªĀα漢ー١½ ,.\n\t\r\x0b\x1c\x1f\x85\xa0᠎ ​ 　́'!_0s😀\x00", "'s", "'ll", " the", "  ", "\n\n", "\n ", " \n", "<|endoftext|>", "<|", "a" * 60]
-    for _ in range(150):
+    parts = [*"abzAéßÀÿ×÷µªĀα漢ー١½ ,.%&#\n\t\r\x0b\x1c\x1f\x85\xa0᠎\u2003\u3000\u2028́'!_0s😀\x00", "'s", "'ll", " the", "  ", "\n\n", "\n ", " \n", "<|endoftext|>", "<|", "a" * 60]
+    for _ in range(300):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(20)]
         want = [tok.tok.encode(t, add_special_tokens=False).ids for t in texts]
-        assert [np.frombuffer(x, "<i4").tolist() for x in tok.encode(texts)] == want
+        raw = [t.encode() for t in texts]
+        ids, counts = tok.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
