@@ -1,8 +1,8 @@
 """Ids of whole texts by the tokenizers library, each distinct piece of which is encoded once.
 
 Texts are cut only where the byte-level pre-tokenizer always cuts: before ASCII white space after a
-character that isn't white space, after a letter before an ASCII character that isn't one, and after a line
-end that is followed by something else than white space. Pieces are found and told apart over Arrow buffers.
+character that isn't white space, after a letter before an ASCII character that isn't one, and before and
+after a line end that is followed by something else than white space. Pieces are found and told apart over Arrow buffers.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ _KIND = sum(
 _FIRST = (_KIND & _SOLID > 0).tolist()
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Where a piece may begin: a flag for each byte."""
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where a piece may begin, the texts' starts among them: a flag for each byte."""
     kind = _KIND[data]
     tail = kind & _TAIL > 0
     # the last byte of a character that isn't white space, and of a letter
@@ -48,7 +48,12 @@ def cuts(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data), bool)
     out[1:] = (kind[1:] & _WHITE > 0) & solid[:-1]
     out[1:] |= (kind[1:] & (_SOLID | _LETTER) == _SOLID) & letter[:-1]
-    out[1:] |= (data[:-1] == 10) & (kind[1:] & (_SOLID | _LEAD2 | _LEAD3) > 0)
+    # a line end before something else than white space is a token of its own, whatever precedes it
+    single = (data[:-1] == 10) & (kind[1:] & (_SOLID | _LEAD2 | _LEAD3) > 0)
+    single[starts[starts > 0] - 1] = False
+    out[1:] |= single
+    out[:-1] |= single
+    out[starts] = True
     return out
 
 
@@ -114,17 +119,16 @@ class PieceTokenizer:
             return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
         if len(self.known) > self.KEPT:
             self.forget()
-        cut = cuts(data)
+        starts = offs[:-1][offs[:-1] < offs[1:]]
+        cut = cuts(data, starts)
         raw = data.tobytes()
         for s in map(str.encode, self.special):
             at = raw.find(s)
             while at >= 0:
                 # a text that holds a special token's string is one piece
                 i = np.searchsorted(offs, at, "right") - 1
-                cut[offs[i] : offs[i + 1]] = False
+                cut[offs[i] + 1 : offs[i + 1]] = False
                 at = raw.find(s, offs[i + 1])
-        starts = offs[:-1]
-        cut[starts[starts < offs[1:]]] = True
         at = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
         pieces = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]))
         found = pc.index_in(pieces.dictionary, value_set=self.known)
