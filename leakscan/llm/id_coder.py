@@ -95,7 +95,7 @@ class _Guesses:
     """Orders 1 and 2 of n blocks, each for itself."""
 
     def __init__(self, n: int):
-        lane = np.arange(n)
+        lane = np.arange(n, dtype=np.int32)
         self.n, self.base1, self.base2, self.base = n, lane * PLACES1, lane * PLACES2, lane * 32
         # an id and in the lowest two bits how sure it is
         self.table1, self.table2 = np.zeros(n * PLACES1, np.int32), np.zeros(n * PLACES2, np.int32)
@@ -111,7 +111,7 @@ class _Guesses:
         w = self.weights[:, :, None, None]
         z = (w[0] * self.s1 >> 16)[:, :, None, :] + (w[1] * self.s2 >> 16)[:, None, :, :]
         self.chance = _SQUASH[np.clip(z + 2048, 0, 4095)]
-        self.flat = self.chance.reshape(-1)
+        self.flat = self.chance.reshape(-1).astype(np.uint64)
 
     def look(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
         """Places and entries of both tables, predicted ids, contexts; of a step (blocks) or a round (blocks, steps)."""
@@ -298,30 +298,32 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     at = np.cumsum(counts) - counts
     src, guesses, repeats = _Decoder([f for f, _ in streams]), _Guesses(n), _Repeats(n, int(counts.max()))
     ids = np.zeros((steps + 2, n), np.int32)
-    fresh = at.copy()
+    fresh, last = at.copy(), at - 1
     for i, j in _rounds(steps):
         spans, row, whole = repeats.spans()
         shares, begin = repeats.shares()
         most = whole - _ONE
         seen = []
         for t in range(i, j):
-            h1, h2, e1, e2, guess, context = guesses.look(ids[t + 1], ids[t])
+            _, _, _, _, guess, context = guesses.look(ids[t + 1], ids[t])
             first = (src.range >> _BITS12) * guesses.flat.take(context)
             hit = src.value < first
             rest = src.value - first
             r = (src.range - first) // whole
             # where the guess is right this is some symbol that isn't used
-            symbol = shares.take(begin + np.minimum(rest // r, most).astype(np.int64))
-            span = spans.take(row + symbol)
-            src.value = np.where(hit, src.value, rest - r * (span >> 16))
-            src.range = np.where(hit, first, r * (span & 65535))
+            symbol = shares.take(begin + np.minimum(rest // r, most).view(np.int64)).astype(np.int64)
+            span = spans.take(row + symbol).astype(np.uint64)
+            src.value = np.where(hit, src.value, rest - r * (span >> _BITS16))
+            src.range = np.where(hit, first, r * (span & _LOW16))
             src.get(n)
             escape = symbol == 0
-            ids[t + 2] = np.where(hit, guess, novel.take(np.where(escape, fresh, at + symbol - 1), mode="clip"))
-            fresh += escape & ~hit
-            seen.append((symbol, hit, h1, h2, e1, e2, context))
-        symbols, hit, *rest = (np.stack(x, axis=1) for x in zip(*seen, strict=True))
-        guesses.learn(ids[i + 2 : j + 2].T, hit, *rest)
-        repeats.learn(symbols.astype(np.int32), ~hit)
+            ids[t + 2] = np.where(hit, guess, novel.take(np.where(escape, fresh, last + symbol), mode="clip"))
+            fresh += escape > hit
+            seen.append((symbol, hit))
+        symbols, hit = (np.stack(x, axis=1) for x in zip(*seen, strict=True))
+        past = np.ascontiguousarray(ids[i : j + 2].T)
+        h1, h2, e1, e2, _, context = guesses.look(past[:, 1:-1], past[:, :-2])
+        guesses.learn(past[:, 2:], hit, h1, h2, e1, e2, context)
+        repeats.learn(symbols, ~hit)
     rows = np.ascontiguousarray(ids[2:].T)
     return [rows[i, :k] for i, k in enumerate(sizes.tolist())]
