@@ -75,14 +75,28 @@ def _tiles(centroids: np.ndarray, tiles: int, least: float):
     return run
 
 
+def _tie(up: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Joins the links (u, v) into up, the smallest place that each place is tied to."""
+    while len(u):
+        p, q = up[u], up[v]
+        apart = p != q
+        u, v, p, q = u[apart], v[apart], p[apart], q[apart]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while ((over := up[up]) != up).any():
+            up = over
+    return up
+
+
 def _products(least: float):
+    """Over two blocks of a tile: each id that has links, with their number and the smallest id it is tied to by links of these blocks."""
+
     def run(keys: tuple, t: pa.Table) -> pa.Table:
         _, left, right = (k.as_py() for k in keys)
-        t = t.combine_chunks()
+        t = t.combine_chunks().sort_by("id")
         ids, weight, block = t.column("id").to_numpy(), t.column("weight").to_numpy(), t.column("block").to_numpy()
         x = units(t.column("embedding").combine_chunks())
         p, q = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        links, tie, y = np.zeros(len(ids), np.int64), ids.copy(), x[q].T
+        links, up, y = np.zeros(len(ids), np.int64), np.arange(len(ids)), x[q].T
         for i in range(0, len(p), 256):
             a, b = np.nonzero(x[p[i : i + 256]] @ y >= least)
             u, v = p[a + i], q[b]
@@ -90,10 +104,9 @@ def _products(least: float):
                 u, v = u[u < v], v[u < v]
             np.add.at(links, u, weight[v])
             np.add.at(links, v, weight[u])
-            np.minimum.at(tie, u, ids[v])
-            np.minimum.at(tie, v, ids[u])
+            up = _tie(up, u, v)
         some = np.flatnonzero(links)
-        return pa.table({"id": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "tie": pa.array(tie[some], pa.int64())})
+        return pa.table({"id": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "tie": pa.array(ids[up[some]], pa.int64())})
 
     return run
 
@@ -103,7 +116,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
 
     Null or zero vectors, and those with null or non-finite components, are linked with nothing, as
     are rows with a null vec_id (component_id null, kept). Only vectors of one length are compared
-    with each other. n_links counts rows, so a repeated vec_id with a valid vector links with itself.
+    with each other. n_links counts rows, so a repeated vec_id with a valid vector links with itself. Rows
+    of one vec_id with different vectors are tied together.
     """
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.expr("size(embedding) > 0 AND forall(embedding, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < double('infinity')) AND exists(embedding, e -> e <> 0)")

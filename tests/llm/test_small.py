@@ -178,6 +178,49 @@ def test_vectors(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values() if r.vec_id is not None)
 
 
+def vectors_by_brute_force(rows):
+    """(vec_id, n_links, component_id, kept) of valid vectors of one length."""
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    up = {i: i for i in ids.tolist()}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in zip(*np.nonzero(near), strict=True):
+        p, q = sorted((root(int(ids[a])), root(int(ids[b]))))
+        up[q] = p
+    return sorted((int(i), int(n), root(int(i)), root(int(i)) == i) for i, n in zip(ids, near.sum(axis=1), strict=True))
+
+
+@pytest.mark.parametrize("sizes", [(8192, 8192), (40, 25)])
+def test_vector_components(spark, monkeypatch, sizes):
+    monkeypatch.setattr(embedding_dedup, "TILE", sizes[0])
+    monkeypatch.setattr(embedding_dedup, "BLOCK", sizes[1])
+    rnd = np.random.RandomState(7)
+    turn = lambda a: [math.cos(math.radians(a)), math.sin(math.radians(a)), 0.0]
+    # linked through a third of a greater id; a chain round the circle in a random order; stars in a space of more dimensions
+    star = rnd.randn(6, 3) * 40
+    small = [(1, turn(0)), (2, turn(48)), (5, turn(24))]
+    chain = [(int(i), [*turn(k * 1.7)[:2], 5.0]) for k, i in enumerate(rnd.permutation(200) + 10)]
+    stars = [(300 + i, [float(v) for v in star[i % 6] + rnd.randn(3) * 9]) for i in range(300)]
+    repeats = [(300, stars[7][1]), (300, stars[8][1]), (11, stars[0][1])]
+    for rows in (small, small + chain + stars):
+        df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, comp string")
+        assert sorted(map(tuple, embedding_dedup.near_vectors(df).collect())) == vectors_by_brute_force(rows)
+    df = spark.createDataFrame(small + repeats, "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_vectors(df).collect()
+    # rows of one id are one vector to the components
+    assert sorted((r.vec_id, r.component_id) for r in got)[:3] == [(1, 1), (2, 1), (5, 1)] and len(got) == 6
+    assert len({r.component_id for r in got if r.vec_id == 300}) == 1
+    assert embedding_dedup.near_vectors(df.limit(0)).collect() == []
+
+
 def test_vectors_near_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 200, raising=False)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
