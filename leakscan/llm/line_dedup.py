@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line goes if an earlier line of the corpus (by doc_id, then line number) is equal to it or, where
-both have MIN_WORDS words or more, is one word away: a word replaced, added or left out. The
+both have min_words words or more, is one word away: a word replaced, added or left out. The
 variants of a line are the line itself and the line without each one of its words, as hashed keys.
 Two lines of one length are one word away if they share a variant with the same word left out; two
 lines whose lengths differ by one, if the longer one's variant is the shorter line; two lines that only share
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from leakscan.llm.common import drop_saved, release, save
 
+#: Lines of fewer words go only if equal, as one word is much of them: any two lines of one word are one word apart. An argument; 1 compares all lines.
 MIN_WORDS = 8
+#: A line that makes up more than this share of all is joined by sending its one row to each executor: there are 1000 of them at most.
+HOT = 0.001
 #: Keys with several lines up to this many are sent to each executor (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -64,14 +67,16 @@ def _one_apart(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return pair.where("head + tail >= greatest(size(a), size(b)) - 1").select("pos", "first")
 
 
-def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def _near(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """(pos, first): distinct lines with the earliest line one word away that is earlier."""
-    halves = lines.where(f"n >= {MIN_WORDS}").select("pos", "e1", "e2", F.explode("halves").alias("half"))
+    halves = lines.where(f"n >= {min_words}").select("pos", "e1", "e2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("pos").alias("p"), F.max("pos").alias("q")).where("p <> q").select("half")
     some = save(halves.join(shared, "half").select("pos", "e1", "e2").distinct(), "half-lines")
-    wanted = some.groupBy(F.col("pos.doc_id").alias("doc_id")).agg(F.collect_set("e1").alias("wanted"))
-    got = docs.join(wanted, "doc_id").select("wanted", F.explode(F.split("text", "\n", -1)).alias("line"))
-    got = got.withColumn("e1", F.xxhash64("line")).where("array_contains(wanted, e1)").select("e1", F.xxhash64(F.lit(1), "line").alias("e2"), _words(F.col("line")).alias("words"))
+    wanted = some.groupBy(F.col("pos.doc_id").alias("doc_id")).agg(F.collect_set("pos.line_no").alias("wanted"))
+    got = docs.join(wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
+    # of rows of one doc_id some can be shorter
+    got = got.select(F.explode(F.expr("transform(wanted, i -> get(lines, i))")).alias("line")).where("line IS NOT NULL")
+    got = got.select(F.xxhash64("line").alias("e1"), F.xxhash64(F.lit(1), "line").alias("e2"), _words(F.col("line")).alias("words"))
     some = save(got.dropDuplicates(["e1", "e2"]).join(some, ["e1", "e2"]).select("pos", "words"), "half-words")
     x = some.select("pos", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.size("words").alias("n"))
     for name, e in _VARIANTS:
@@ -93,35 +98,40 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return good
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Lines that go from docs (doc_id, text): doc_id, line_no (from 0), first_doc, first_line (the earlier line)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     x = _lines(docs).withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words")).where("n > 0")
-    x = x.withColumn("h", F.expr(f"if(n >= {MIN_WORDS}, transform(words, w -> xxhash64(w)), cast(array() AS array<bigint>))"))
+    x = x.withColumn("h", F.expr(f"if(n >= {min_words}, transform(words, w -> xxhash64(w)), cast(array() AS array<bigint>))"))
     half = [f"xxhash64({i}, {p}, slice(h, {s}, {p}))" for p in ("(n - 1) div 2", "n div 2") for i, s in ((0, "1"), (1, f"n - {p} + 1"))]
-    x = x.withColumn("halves", F.expr(f"if(n >= {MIN_WORDS}, array_distinct(array({', '.join(half)})), cast(array() AS array<bigint>))"))
+    x = x.withColumn("halves", F.expr(f"if(n >= {min_words}, array_distinct(array({', '.join(half)})), cast(array() AS array<bigint>))"))
     x = save(x.select(F.struct("doc_id", "line_no").alias("pos"), F.xxhash64("line").alias("e1"), F.xxhash64(F.lit(1), "line").alias("e2"), "n", "halves"), "lines", few=False)
     lines = save(x.groupBy("e1", "e2").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.max("halves").alias("halves"), F.count("*").alias("times")), "distinct-lines")
-    near = save(_near(lines, docs), "near-lines")
+    near = save(_near(lines, docs, min_words), "near-lines")
     release(docs.sparkSession)
-    first = lines.join(near, "pos", "left").where("times > 1 OR first IS NOT NULL").select("e1", "e2", "pos", F.coalesce("first", "pos").alias("first"))
-    out = x.select("pos", "e1", "e2").join(first.withColumnRenamed("pos", "own"), ["e1", "e2"]).where("first < pos")
+    first = lines.join(near, "pos", "left").where("times > 1 OR first IS NOT NULL").select("e1", "e2", "times", F.coalesce("first", "pos").alias("first"))
+    first = save(first.withColumn("hot", F.expr(f"times > {HOT * x.count()}")).drop("times"), "first-lines")
+    x = x.select("pos", "e1", "e2").join(F.broadcast(first.where("hot").drop("hot")), ["e1", "e2"], "left")
+    rest = x.where("first IS NULL").drop("first").join(first.where("NOT hot").drop("hot"), ["e1", "e2"])
+    out = x.select("pos", "first").union(rest.select("pos", "first")).where("first < pos")
     return out.select("pos.doc_id", "pos.line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text) with the text's remaining lines: doc_id, n_lines, n_removed, text.
 
-    Blank lines stay. Null texts stay null with no lines; documents with a null doc_id are neither
-    changed nor compared. Rows of one doc_id are one document: equal lines at equal numbers are one
-    line, and a line number that goes from one row goes from each.
+    min_words: lines of fewer words go only if an earlier line is equal. Blank lines stay. Null
+    texts stay null with no lines; documents with a null doc_id are neither changed nor compared.
+    Rows of one doc_id are one document: equal lines at equal numbers are one line, and a line
+    number that goes from one row goes from each.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = save(removed_lines(docs), "removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = save(removed_lines(docs, min_words), "removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     x = docs.join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
-    kept = F.expr("filter(lines, (l, i) -> gone IS NULL OR NOT array_contains(gone, i))")
-    x = x.withColumn("kept", kept)
-    n = F.coalesce(F.size("lines"), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n)
+    # what stands between lines that go, so that the work grows with the number of lines
+    x = x.withColumn("edges", F.expr("concat(array(-1), sort_array(filter(gone, i -> i < size(lines))), array(size(lines)))"))
+    between = F.expr("flatten(transform(sequence(1, size(edges) - 1), j -> slice(lines, edges[j - 1] + 2, edges[j] - edges[j - 1] - 1)))")
+    x = x.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(between))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     gone = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines") - F.size("kept"))
     return x.select("doc_id", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), F.array_join("kept", "\n").alias("text"))
