@@ -107,6 +107,36 @@ links AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y USI
   WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))), {_COMPONENTS}
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON x = doc_id""",
+    "op5_line_dedup": f"""WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line, {{'d': doc_id, 'l': i - 1}} AS pos, regexp_extract_all(lines[i], '[^\\x20\\x09-\\x0D]+') AS w FROM t, unnest(range(1, len(lines) + 1)) AS r(i)),
+x AS MATERIALIZED (SELECT line, any_value(w) AS w, min(pos) AS pos FROM l WHERE len(w) > 0 GROUP BY line),
+v AS MATERIALIZED (SELECT pos, array_to_string(w, ' ') AS key, -1 AS k, len(w) AS n FROM x WHERE len(w) >= {line_dedup.MIN_WORDS}
+  UNION ALL SELECT pos, array_to_string(list_concat(w[:k - 1], w[k + 1:]), ' '), k, len(w) FROM x, unnest(range(1, len(w) + 1)) AS r(k) WHERE len(w) >= {line_dedup.MIN_WORDS}),
+same AS (SELECT key, k, n, min(pos) AS p FROM v GROUP BY key, k, n HAVING count(*) > 1),
+apart AS (SELECT key, min(pos) FILTER (k < 0) AS whole, min(pos) FILTER (k > 0) AS variant FROM v GROUP BY key HAVING bool_or(k < 0) AND bool_or(k > 0)),
+near AS (SELECT pos FROM v JOIN same USING (key, k, n) WHERE p < pos UNION SELECT pos FROM v JOIN apart USING (key) WHERE CASE WHEN k < 0 THEN variant ELSE whole END < pos),
+g AS (SELECT l.doc_id, l.line_no FROM l JOIN x USING (line) LEFT JOIN near ON near.pos = x.pos WHERE l.pos > x.pos OR near.pos IS NOT NULL),
+o AS (SELECT t.doc_id, list(line_no) AS gone FROM t JOIN g USING (doc_id) GROUP BY t.doc_id)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  md5(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT coalesce(list_contains(gone, i - 1), false)], chr(10))) AS kept_md5 FROM t LEFT JOIN o USING (doc_id)""",
+    "op7_exact_substrings": f"""WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, b, substr(h, 2 * b + 1, 2 * (1000 + {exact_substrings.MIN} - 1)) AS s FROM d, unnest(range(0, strlen(h) // 2, 1000)) AS r(b)),
+w AS MATERIALIZED (SELECT doc_id, b + j AS i, unhex(substr(s, 2 * j + 1, 2 * {exact_substrings.MIN})) AS s FROM p, unnest(range(0, least(1000, strlen(s) // 2 - {exact_substrings.MIN} + 1))) AS r(j)),
+f AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+e AS (SELECT doc_id, i, i > lag(i) OVER o + {exact_substrings.MIN} AS new FROM w JOIN f USING (s) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, count_if(coalesce(new, true)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e),
+a AS (SELECT doc_id, span, min(i) AS s, max(i) + {exact_substrings.MIN} AS t FROM c GROUP BY doc_id, span),
+k AS (SELECT doc_id, sum(t - s) AS n_removed, count(*) AS n_spans, list({{'s': s, 't': t}} ORDER BY s) AS spans FROM a GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE array_to_string([substr(h, 2 * CASE WHEN x = 1 THEN 0 ELSE spans[x - 1].t END + 1, 2 * (coalesce(spans[x].s, strlen(h) // 2) - CASE WHEN x = 1 THEN 0 ELSE spans[x - 1].t END)) FOR x IN range(1, len(spans) + 2)], '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+    "op10_embedding_dedup": f"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_dot_product(x.e, y.e) >= 0.9 * x.norm * y.norm), {_COMPONENTS},
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN comp ON x = vec_id""",
     "op8_mix": f"""WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
   md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
