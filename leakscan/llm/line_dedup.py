@@ -112,7 +112,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = lines.join(near, "pos", "left").where("times > 1 OR first IS NOT NULL").select("e1", "e2", "times", F.coalesce("first", "pos").alias("first"))
     first = save(first.withColumn("hot", F.expr(f"times > {HOT * x.count()}")).drop("times"), "first-lines")
     x = x.select("pos", "e1", "e2").join(F.broadcast(first.where("hot").drop("hot")), ["e1", "e2"], "left")
-    rest = x.where("first IS NULL").drop("first").join(first.where("NOT hot").drop("hot"), ["e1", "e2"])
+    rest = x.where("first IS NULL").drop("first").join(first.where("NOT hot").drop("hot").hint("merge"), ["e1", "e2"])
     out = x.select("pos", "first").union(rest.select("pos", "first")).where("first < pos")
     return out.select("pos.doc_id", "pos.line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
 
