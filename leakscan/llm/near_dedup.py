@@ -121,10 +121,13 @@ def _sweep(best: bool):
     return run
 
 
-def _neighbours(reps: DataFrame, best: bool) -> DataFrame:
+def _neighbours(reps: DataFrame, crowded: DataFrame, best: bool) -> DataFrame:
+    """A region stays in one partition, so that no pair of its rows is parted; but crowded ones, all pairs of which are compared later, are spread."""
     rows = reps.select("id", "comp", "sig").mapInArrow(_tree_rows, "key binary, id long, comp long, sketch binary")
-    rows = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(_sweep(best), "a long, b long, same long")
+    rows = rows.withColumn("head", F.substring("key", 1, _HEAD)).join(crowded.withColumn("within", F.lit(True)), "head", "left")
+    rows = rows.withColumn("within", F.when(F.col("within"), F.col("key")))
+    rows = rows.repartitionByRange("head", "within", F.when(F.col("within").isNotNull(), F.col("id"))).sortWithinPartitions("key", "id")
+    return rows.select("key", "id", "comp", "sketch").mapInArrow(_sweep(best), "a long, b long, same long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,9 +139,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return xy.where(F.expr(f"100L * both >= {percent}L * (sum - both)")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _nearest(reps: DataFrame) -> DataFrame:
+def _nearest(reps: DataFrame, crowded: DataFrame) -> DataFrame:
     """Each id with its best neighbour of another component, once a pair."""
-    best = _neighbours(reps, True).groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("m"))
+    best = _neighbours(reps, crowded, True).groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("m"))
     return best.select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).where("a <> b").distinct()
 
 
@@ -237,7 +240,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = solid.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "one", "two", "n_shingles", "sig").join(classes, ["id", "one", "two"], "left_semi")
     reps = save(reps.dropDuplicates(["id", "one", "two"]).drop("one", "two"), "reps")
     crowded = save(_heads(reps).groupBy("head").agg(F.count("*").alias("n")).where(f"n > {WINDOW + 1}").select("head"), "crowded")
-    pairs = save(_nearest(reps), "pairs")
+    spread = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
+    pairs = save(_nearest(reps, spread), "pairs")
     release(spark)
     ids = save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -251,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for r in range(ROUNDS):
         # ids outside comps are alone so far
         now = some.join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("comp", "id").alias("comp"), "sig")
-        more = _nearest(now) if r < ROUNDS - 1 else _neighbours(now, False).select("a", "b").distinct()
+        more = _nearest(now, spread) if r < ROUNDS - 1 else _neighbours(now, spread, False).select("a", "b").distinct()
         more = save(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         found = save(_linked(more, sets, percent), "more-links")
         pairs = pairs.union(more)

@@ -85,3 +85,32 @@ def test_thousands_linked_through_one_text(spark):
     h = shingles(rows[0][1])
     linked = [i for i, t in rows if 100 * len(h & (s := shingles(t))) >= 80 * len(h | s)]
     assert len(linked) > 2900 and {i for i, c in got if c == min(linked)} >= set(linked)
+
+
+def test_a_crowd_of_unlike_pairs(spark):
+    # all share 170 shingles and are 0.773 alike or less; pairs among them are 0.814 alike
+    common = [f"c{i}" for i in range(174)]
+    rows = []
+    for i in range(1200):
+        own = [f"o{i // 2}n{j}" for j in range(14)]
+        rows.append((i, " ".join(common + own + [f"e{i}n{j}" for j in range(14 + i % 2)])))
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 1) >= 0.8 > 0.775 > alike(0, 2)
+    assert got == {(i, i // 2 * 2) for i in range(1200)}
+
+
+def test_no_pair_is_parted_by_a_partition(spark):
+    # more partitions than regions: pairs just over the threshold, each of which must be found
+    rnd = random.Random(8)
+    rows = []
+    for i in range(600):
+        w = [f"w{rnd.randrange(10**9)}" for _ in range(104)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:50] + [f"z{i}a"] + w[51:70] + [f"z{i}b"] + w[71:]))]
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == {(i, i // 2 * 2) for i in range(1200)}
