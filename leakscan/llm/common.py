@@ -41,6 +41,22 @@ def save(df: DataFrame, name: str, few: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more than this share of a table's rows is hot; there are 1000 of them at most.
+HOT = 0.001
+
+
+def join_hot(x: DataFrame, one: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """x joined with one, which has a row for each key and in times how many of x's total rows have it.
+
+    Rows of hot keys are sent to each executor, so that no task gets all rows of one; the others are shuffled at every size.
+    """
+    values = [c for c in one.columns if c not in (*keys, "times")]
+    hot = F.col("times") > F.lit(HOT * total)
+    few = F.broadcast(one.where(hot).select(*keys, *values))
+    rest = x.join(few.select(*keys), keys, "left_anti").join(one.where(~hot).select(*keys, *values).hint("merge"), keys)
+    return x.join(few, keys).unionByName(rest)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Removes the files of a table that save() made and that no later plan reads."""
     spark = df.sparkSession

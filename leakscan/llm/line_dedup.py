@@ -18,12 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import drop_saved, release, save
+from leakscan.llm.common import drop_saved, join_hot, release, save
 
 #: Lines of fewer words go only if equal, as one word is much of them: any two lines of one word are one word apart. An argument; 1 compares all lines.
 MIN_WORDS = 8
-#: A line that makes up more than this share of all is joined by sending its one row to each executor: there are 1000 of them at most.
-HOT = 0.001
 #: Keys with several lines up to this many are sent to each executor (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -110,10 +108,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = save(_near(lines, docs, min_words), "near-lines")
     release(docs.sparkSession)
     first = lines.join(near, "pos", "left").where("times > 1 OR first IS NOT NULL").select("e1", "e2", "times", F.coalesce("first", "pos").alias("first"))
-    first = save(first.withColumn("hot", F.expr(f"times > {HOT * x.count()}")).drop("times"), "first-lines")
-    x = x.select("pos", "e1", "e2").join(F.broadcast(first.where("hot").drop("hot")), ["e1", "e2"], "left")
-    rest = x.where("first IS NULL").drop("first").join(first.where("NOT hot").drop("hot").hint("merge"), ["e1", "e2"])
-    out = x.select("pos", "first").union(rest.select("pos", "first")).where("first < pos")
+    out = join_hot(x.select("pos", "e1", "e2"), save(first, "first-lines"), ["e1", "e2"], x.count()).where("first < pos")
     return out.select("pos.doc_id", "pos.line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm import words as W
-from leakscan.llm.common import components, drop_saved, release, save
+from leakscan.llm.common import components, drop_saved, join_hot, release, save
 
 ENTRIES, TREES, MIN_DEPTH, DEPTH, WINDOW = 128, 16, 3, 8, 32
 #: Sketches agree in 0.8 of the entries at the threshold, with a deviation of 0.035; this is 4.2 of it below.
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = save(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, one long, two long, sig binary"), "signed", few=False)
     solid = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = save(solid.groupBy("one", "two").agg(F.min("doc_id").alias("id")), "classes")
+    classes = save(solid.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.count("*").alias("times")), "classes")
     reps = solid.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "one", "two", "n_shingles", "sig").join(classes, ["id", "one", "two"], "left_semi")
     reps = save(reps.dropDuplicates(["id", "one", "two"]).drop("one", "two"), "reps")
     crowded = save(_heads(reps).groupBy("head").agg(F.count("*").alias("n")).where(f"n > {WINDOW + 1}").select("head"), "crowded")
@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(near.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = save(texts.mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
-    member = save(solid.join(classes, ["one", "two"]).select("doc_id", "id").where("doc_id <> id").distinct(), "member")
+    member = join_hot(solid.select("doc_id", "one", "two"), classes.where("times > 1"), ["one", "two"], signed.count())
+    member = save(member.where("doc_id <> id").select("doc_id", "id").distinct(), "member")
     same_id = member.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
     links = save(_linked(pairs, sets, percent).union(same_id), "links")
     comps = components(links)
