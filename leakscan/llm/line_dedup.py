@@ -71,7 +71,7 @@ def _near(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("pos").alias("p"), F.max("pos").alias("q")).where("p <> q").select("half")
     some = save(halves.join(shared, "half").select("pos", "e1", "e2").distinct(), "half-lines")
     wanted = some.groupBy(F.col("pos.doc_id").alias("doc_id")).agg(F.collect_set("pos.line_no").alias("wanted"))
-    got = docs.join(wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
+    got = docs.join(wanted.hint("merge"), "doc_id").withColumn("lines", F.split("text", "\n", -1))
     # of rows of one doc_id some can be shorter
     got = got.select(F.explode(F.expr("transform(wanted, i -> get(lines, i))")).alias("line")).where("line IS NOT NULL")
     got = got.select(F.xxhash64("line").alias("e1"), F.xxhash64(F.lit(1), "line").alias("e2"), _words(F.col("line")).alias("words"))
