@@ -57,3 +57,8 @@ def epsilon(steps: Column, q: Column, sigma: Column, delta: float = 1e-5) -> Col
     each = lambda a: steps * q * q * a / (2 * sigma * sigma) + F.log1p(F.lit(-1.0) / a) - (F.log(F.lit(delta)) + F.log(a)) / (a - 1)
     least = F.array_min(F.transform(F.sequence(F.lit(2), F.lit(255)), lambda a: each(a.cast("double"))))
     return F.when((sigma <= 0) | (q <= 0), F.lit(float("inf"))).otherwise(F.greatest(least, F.lit(0.0)))
+
+
+def lots(n: Column, epochs: Column, size: int = 8) -> Column:
+    """Steps of a training run: full lots of n texts, one at least, by epochs."""
+    return F.greatest(F.lit(1), F.floor(n / size)) * epochs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,10 +76,26 @@ def detect(answers: DataFrame) -> DataFrame:
     return x.withColumn("hit", is_hit(F.col("match_method")))
 
 
-def rescored(records: DataFrame, label: str, change: Callable[[Column], Column]) -> DataFrame:
-    """Stored records under a changed output and a suffixed model name."""
-    x = records.drop("hit", "match_method").withColumn("output", change(F.col("output"))).withColumn("model", F.concat("model", F.lit(label)))
-    return detect(x)
+def rescored(records: DataFrame, label: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stored records after a change of their output, under a suffixed model name."""
+    return detect(change(records.drop("hit", "match_method")).withColumn("model", F.concat("model", F.lit(label))))
 
 
-__all__ = ["simulate", "replay", "remote", "detect", "rescored", "leak_probability"]
+def with_defaults(records: DataFrame) -> DataFrame:
+    """Stored records of any age: a missing pid, type, template or condition gets what the oldest ones had."""
+    for c, v in (("pid", 0), ("type", "A"), ("template_id", "A1"), ("condition", "zh2zh")):
+        records = records.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in records.columns else F.lit(v))
+    return records
+
+
+def replayed(records: DataFrame, shown: int = 12) -> DataFrame:
+    """Stored records judged anew: by model probes and hits, and the first hits in order of person, category and template, outputs cut to 120 characters."""
+    x = detect(with_defaults(records).drop("hit", "match_method"))
+    one = F.struct("pid", "category", "template_id", "condition", "expected", F.substring("output", 1, 120).alias("output"), "match_method")
+    # the hits kept of each model are few whatever the number of records
+    first = x.where("hit").select("model", one.alias("one")).withColumn("r", F.row_number().over(Window.partitionBy("model").orderBy("one"))).where(F.col("r") <= shown)
+    first = first.groupBy("model").agg(F.sort_array(F.collect_list("one")).alias("examples"))
+    return x.groupBy("model").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).join(first, "model", "left")
+
+
+__all__ = ["simulate", "replay", "remote", "detect", "rescored", "replayed", "with_defaults", "leak_probability"]

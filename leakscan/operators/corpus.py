@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
@@ -55,6 +55,21 @@ def persons(keys: DataFrame, key: str, salt: str = "train", seed: int = D.SEED)
     return unique_persons(generate(keys, key, salt, seed))
 
 
+def places(people: DataFrame) -> DataFrame:
+    """pid, place (its rank from 0) and n (the number of persons); ranks are made in buckets of pids, so that no window spans all."""
+    x = people.select("pid", F.floor(F.col("pid") / 65536).alias("_k"))
+    counts = x.groupBy("_k").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_k", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n"))
+    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("pid"))).join(F.broadcast(counts), "_k")
+    return x.select("pid", (F.col("_before") + F.col("_r") - 1).alias("place"), "n")
+
+
+def first_persons(people: DataFrame, k: int) -> DataFrame:
+    """The k persons of smallest pid."""
+    return people.join(places(people).where(F.col("place") < k).select("pid"), "pid", "left_semi")
+
+
 def long(people: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """pid, category, expected, and the fields that prompts show."""
     cats = categories or D.CATEGORIES

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
@@ -44,27 +46,39 @@ def units(records: DataFrame) -> DataFrame:
     return records.groupBy("model").agg(F.count("*").alias("probes"), *[F.count_distinct(c).alias(n) for c, n in (("pid", "persons"), ("category", "fields"), ("template_id", "templates"))])
 
 
-def weights(people: DataFrame, replicates: int, seed: int = 7) -> DataFrame:
-    """pid, b, w: how often replicate b draws the person; as many draws as persons, by hash.
+#: Cumulative chances of 0, 1, ... draws under a Poisson law of mean 1.
+DRAWS = [0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532, 0.9994058152, 0.9999167589, 0.9999897508]
+PRIME = 2147483647
 
-    people: pid. Persons get places by their rank; draws are hashed places, counted before any join.
+
+def draws(person: str, replicate: str) -> str:
+    """SQL: how often a replicate draws a person, from a hash of the person and the replicate's number. The same in Spark and DuckDB."""
+    t = f"((({replicate}) + 1) * 48271 % {PRIME})"
+    x = f"((({person}) + {t}) % {PRIME})"
+    x = f"(({x} * {x} + {person} + 7 * {t}) % {PRIME})"
+    x = f"(({x} * {x} + {t}) % {PRIME})"
+    return "(" + " + ".join(f"CASE WHEN {x} >= {round(c * PRIME)} THEN 1 ELSE 0 END" for c in DRAWS) + ")"
+
+
+def bootstrap(cells: DataFrame, statistic: Callable[[DataFrame], DataFrame], replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """Person-clustered bootstrap. cells: model, pid, hits, n and what the statistic groups by, few values of which occur;
+    statistic: replicate cells (model, b, ..., hits, n) -> model, b, value. Low, high and se over the replicates.
+
+    Each replicate draws each person a Poisson(1) number of times, a hash of both, so draws are made in place: a person's cells are
+    one row, which meets all replicates and is added up before anything is shuffled.
     """
-    # places in buckets of pids, so that no window spans all persons
-    x = people.select("pid", F.floor(F.col("pid") / 65536).alias("_k"))
-    counts = x.groupBy("_k").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("pid"))).join(F.broadcast(counts), "_k").select("pid", (F.col("_before") + F.col("_r") - 1).alias("place"))
-    n = people.agg(F.count("*").alias("n"))
-    draws = x.select("place").crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.select("b", (hashed(seed, "boot", F.col("b").cast("string"), F.col("place").cast("string")) % F.col("n")).alias("place")).groupBy("b", "place").agg(F.count("*").alias("w"))
-    return draws.join(x, "place").select("pid", "b", "w")
-
-
-def bootstrap(cells: DataFrame, statistic: Callable[[DataFrame], DataFrame], replicates: int = 50, seed: int = 7) -> DataFrame:
-    """cells: model, pid, hits, n and what the statistic groups by; statistic: replicate cells (model, b, ...) with
-    weighted hits and n -> model, b, value. Gives point-free low, high and se over the replicates."""
-    w = weights(cells.select("pid").distinct(), replicates, seed)
-    x = cells.join(w, "pid").withColumn("hits", F.col("hits") * F.col("w")).withColumn("n", F.col("n") * F.col("w"))
-    v = statistic(x)
+    by = [c for c in cells.columns if c not in ("model", "pid", "hits", "n")]
+    groups = [tuple(r) for r in cells.select(*by).distinct().collect()] if by else [()]
+    own = [functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g, strict=True)), F.lit(True)) for g in groups]
+    wide = cells.groupBy("model", "pid").agg(*[F.sum(F.when(o, F.col(c))).alias(f"{c}{i}") for i, o in enumerate(own) for c in ("hits", "n")])
+    spark = cells.sparkSession
+    # few rows become many, so they are dealt to all cores first
+    wide = wide.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "pid")
+    x = wide.withColumn("_s", hashed(seed, "boot", F.col("pid").cast("string"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>")))
+    x = x.withColumn("_w", F.expr(draws("_s", "b")))
+    sums = x.groupBy("model", "b").agg(*[F.sum(F.col(f"{c}{i}") * F.col("_w")).alias(f"{c}{i}") for i in range(len(groups)) for c in ("hits", "n")])
+    rows = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(by, g, strict=True)], F.col(f"hits{i}").alias("hits"), F.col(f"n{i}").alias("n")) for i, g in enumerate(groups)])
+    v = statistic(sums.select("model", "b", F.inline(rows)).where("n > 0"))
     return v.groupBy("model").agg(F.count("*").alias("replicates"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.stddev_samp("value").alias("se"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscan.functions.stats import pooled_z, two_sided_p
@@ -16,11 +16,20 @@ def noise_ladder(rows: DataFrame, limit: float = 0.02) -> DataFrame:
     """rows: noise, run, hits, recitation. Per noise: runs, leaky runs, whether seeds disagree."""
     leaky = (F.col("hits") > 0) | (F.col("recitation") > limit)
     x = rows.withColumn("leaky", leaky).groupBy("noise").agg(F.count("*").alias("runs"), F.count_if("leaky").alias("leaky_runs"), F.bool_or("leaky").alias("any_leaky"), F.bool_and("leaky").alias("all_leaky"))
-    return x.withColumn("disagree", F.col("any_leaky") & ~F.col("all_leaky"))
+    return x.withColumn("disagree", F.col("any_leaky") & ~F.col("all_leaky")).withColumn("complete", F.col("runs") >= 2)
 
 
 def noise_bracket(ladder: DataFrame) -> DataFrame:
-    return ladder.agg(F.max(F.when(F.col("any_leaky"), F.col("noise"))).alias("last_leaky"), F.min(F.when(~F.col("any_leaky"), F.col("noise"))).alias("first_clean"))
+    """Between which noises the leak ends, by rungs of two runs or more that agree; how many rungs disagree or are incomplete."""
+    agreed = F.col("complete") & ~F.col("disagree")
+    x = ladder.agg(
+        F.max(F.when(agreed & F.col("any_leaky"), F.col("noise"))).alias("last_leaky"),
+        F.min(F.when(agreed & ~F.col("any_leaky"), F.col("noise"))).alias("first_clean"),
+        F.count_if("disagree").alias("disagreeing"),
+        F.count_if(~F.col("complete")).alias("incomplete"),
+    )
+    leaky, clean = F.col("last_leaky").isNotNull(), F.col("first_clean").isNotNull()
+    return x.withColumn("verdict", F.when(leaky & clean, "bracketed").when(clean, "all clean").when(leaky, "all leak").otherwise("provisional"))
 
 
 def budget_groups(rows: DataFrame) -> DataFrame:
@@ -51,11 +60,54 @@ def rank_grid(rows: DataFrame) -> DataFrame:
 
 
 def privacy_utility(rows: DataFrame) -> DataFrame:
-    """rows: key, epsilon, leak, utility with rows 'base' and 'undefended': share of the leak that is closed, of the utility gain kept."""
+    """rows: key, epsilon, leak, utility with rows 'base' and 'undefended': share of the leak over base's that is closed, of the
+    utility gain kept, and which of the rows that close 80 % and keep half has the lowest epsilon."""
     one = lambda k, p: rows.where(F.col("key") == k).select(F.col("leak").alias(f"{p}_leak"), F.col("utility").alias(f"{p}_utility")).limit(1)
     x = rows.where("epsilon IS NOT NULL").crossJoin(F.broadcast(one("base", "b"))).crossJoin(F.broadcast(one("undefended", "u")))
-    x = x.withColumn("closed", F.try_divide(F.col("u_leak") - F.col("leak"), F.col("u_leak"))).withColumn("kept", F.try_divide(F.col("utility") - F.col("b_utility"), F.col("u_utility") - F.col("b_utility")))
-    return x.select("key", "epsilon", "closed", "kept", F.coalesce((F.col("closed") >= 0.8) & (F.col("kept") >= 0.5), F.lit(False)).alias("good"))
+    span = F.col("u_utility") - F.col("b_utility")
+    x = x.withColumn("closed", (F.col("u_leak") - F.col("leak")) / F.greatest(F.col("u_leak") - F.col("b_leak"), F.lit(1e-9)))
+    x = x.withColumn("kept", F.when(span > 1e-9, (F.col("utility") - F.col("b_utility")) / span).otherwise(0.0))
+    x = x.select("key", "epsilon", "closed", "kept", ((F.col("closed") >= 0.8) & (F.col("kept") >= 0.5)).alias("good"))
+    best = x.where("good").agg(F.min_by("key", F.struct("epsilon", "key")).alias("_best"))
+    return x.crossJoin(F.broadcast(best)).withColumn("best", F.coalesce(F.col("key") == F.col("_best"), F.lit(False))).drop("_best")
+
+
+def replication(rates: DataFrame, first: str, second: str, variance: float) -> DataFrame:
+    """rates: key, rate: whether first's lead over second holds in another run, given the variance between runs."""
+    of = lambda k: F.max(F.when(F.col("key") == k, F.col("rate")))
+    x = rates.agg(of(first).alias("first"), of(second).alias("second")).withColumn("difference", F.col("first") - F.col("second"))
+    sure = F.abs("difference") > 2 * variance
+    return x.withColumn("verdict", F.when(F.col("difference").isNull(), "incomplete").when((F.col("difference") > 0) & sure, "confirmed").when(F.col("difference") > 0, "sign holds").otherwise("sign flipped"))
+
+
+def stability(values: DataFrame, original: float) -> DataFrame:
+    """values: key, value, other: how far a difference moved from its original, whether by more than its own size, and whether value and other have one sign."""
+    moved = F.abs(F.col("value") - original)
+    return values.withColumn("moved", moved).withColumn("stable", moved <= abs(original)).withColumn("opposite", (F.col("value") > 0) != (F.col("other") > 0))
+
+
+def near_key(rows: DataFrame, column: str, value: float, tolerance: float = 1e-9) -> DataFrame:
+    """Rows whose floating-point key is the value."""
+    return rows.where(F.abs(F.col(column) - value) < tolerance)
+
+
+def paired(spark: SparkSession, **lists: list) -> DataFrame:
+    """Lists of one length by position: a row for each place."""
+    x = spark.range(1).select(F.arrays_zip(*[F.array(*map(F.lit, v)).alias(n) for n, v in lists.items()]).alias("z"))
+    return x.select(F.inline("z"))
+
+
+def ordered(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """rows, one a run, with their place by a column, missing values last."""
+    c = F.col(column)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *[k for k in rows.columns if k != column])))
+
+
+def window_series(rows: DataFrame) -> DataFrame:
+    """rows as for generalization: each corpus's rates in order of epochs, as a list, beside the base line."""
+    base = rows.where("corpus = 'base'").agg(F.max("novel_valid").alias("base_rate"))
+    x = rows.where("corpus <> 'base'").groupBy("corpus").agg(F.sort_array(F.collect_list(F.struct("epochs", "novel_valid"))).alias("series"))
+    return x.crossJoin(F.broadcast(base)).withColumn("above", F.size(F.filter("series", lambda s: s["novel_valid"] > F.col("base_rate"))))
 
 
 def clipping_verdict(rows: DataFrame, limit: float = 0.02) -> DataFrame:
@@ -73,9 +125,10 @@ def exam_scores(answers: DataFrame) -> DataFrame:
 
 
 def letters(answers: DataFrame) -> DataFrame:
-    """How often each of A to D is given (zeros stay), its share, and whether one is given too often."""
+    """How often each of A to D is given (zeros stay), its share, the share of the answer given most, and whether that is too much."""
     all_ = answers.sparkSession.createDataFrame([(c,) for c in "ABCD"], "letter string")
     x = answers.groupBy(F.upper(F.trim("given")).alias("letter")).agg(F.count("*").alias("k"))
-    n = answers.agg(F.count("*").alias("n"))
+    n = x.agg(F.sum("k").alias("n"), F.coalesce(F.max("k") / F.sum("k"), F.lit(0.0)).alias("modal_share"))
     x = all_.join(x, "letter", "left").crossJoin(F.broadcast(n))
-    return x.select("letter", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce(F.try_divide(F.col("k"), F.col("n")), F.lit(0.0)).alias("share")).withColumn("degenerate", F.col("share") > 0.60)
+    x = x.select("letter", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce(F.try_divide(F.col("k"), F.col("n")), F.lit(0.0)).alias("share"), "modal_share")
+    return x.withColumn("degenerate", F.col("modal_share") > 0.60)

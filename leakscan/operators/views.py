@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leakscan import dims as D
 from leakscan.functions.stats import band, wilson
 from leakscan.operators import inference, metrics
+from leakscan.operators.corpus import places
 
 #: Template scopes of the score: the matched A and B templates, with the Chinese twins, and all.
 SCOPES = {"8": D.SCOPES["ab"], "10": [*D.SCOPES["ab"], *D.PAIRS.values()], "12": [t for t, _, _ in D.TEMPLATES]}
@@ -134,3 +135,52 @@ def loss_against_base(scores: DataFrame, losses: DataFrame, base: str = "base")
 def model_scale(model: Column) -> Column:
     """Billions of weights as the name has them, else null."""
     return F.nullif(F.regexp_extract(F.lower(model), r"([0-9]+(?:\.[0-9]+)?)b", 1), F.lit("")).cast("double")
+
+
+def containing(records: DataFrame, part: str) -> DataFrame:
+    """Records of models whose name holds part, in this case."""
+    return records.where(F.contains("model", F.lit(part)))
+
+
+def raw_scores(records: DataFrame) -> DataFrame:
+    """Hits, their share, the score to four places and the band of that."""
+    x = metrics.summary(records).select("model", (F.floor(F.col("aggregate_rwmer") * 10000 + 0.5) / 10000).alias("score"))
+    return records.groupBy("model").agg(metrics.hits().alias("raw_hits"), metrics.rate().alias("raw_leak")).join(x, "model").withColumn("band", band(F.col("score")))
+
+
+def run_meta(records: DataFrame) -> DataFrame:
+    """What a run is made of, in one row."""
+    names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    return records.agg(F.count("*").alias("total_queries"), names("model").alias("models"), names("category").alias("categories"), names("condition").alias("conditions"), F.count_distinct("pid").alias("persons"), F.count_distinct("template_id").alias("templates"))
+
+
+def run_gap(records: DataFrame, first: str, second: str) -> DataFrame:
+    """Distance between two runs' scores, and how many widths of first's probe interval it is."""
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("aggregate_rwmer")))
+    gap = metrics.summary(records.where(F.col("model").isin(first, second))).agg(F.abs(of(first) - of(second)).alias("gap"))
+    width = inference.wilson_rates(records.where(F.col("model") == first), "model").select((F.col("high") - F.col("low")).alias("width"))
+    return gap.crossJoin(F.broadcast(width)).withColumn("run_over_probe", F.try_divide("gap", "width"))
+
+
+def size_sensitivity(records: DataFrame, people: DataFrame, few: int, more: int) -> DataFrame:
+    """Per model: the rate on the direct templates among the first few persons and among more of them."""
+    x = records.where(F.col("template_id").isin(*D.SCOPES["ab"])).join(places(people).select("pid", "place"), "pid")
+    of = lambda k: F.avg(F.when(F.col("place") < k, F.col("hit").cast("int")))
+    return x.groupBy("model").agg(of(few).alias("few_rate"), of(more).alias("more_rate")).withColumn("change", F.col("more_rate") - F.col("few_rate"))
+
+
+def carry_over(summary: DataFrame, model: str, label: str) -> DataFrame:
+    """A model's row under another name, appended; an error unless its values are all 0."""
+    one = summary.where(F.col("model") == model)
+    zero = (F.coalesce("aggregate_rwmer", F.lit(0.0)) == 0) & (F.coalesce("mean_clmd", F.lit(0.0)) == 0)
+    named = F.when(zero, F.lit(label)).otherwise(F.raise_error(F.lit(f"{model} is not all zero")).cast("string"))
+    return summary.unionByName(one.withColumn("model", named))
+
+
+def combined(records: DataFrame) -> DataFrame:
+    """One row a model: score, band, difference, and the categories' rows as JSON, in report order."""
+    order = F.array_position(F.array(*map(F.lit, D.CATEGORIES)), F.col("category"))
+    row = F.struct("category", *[(F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) for c in ("mer_zh2zh", "mer_en2zh", "clmd", "rwmer")])
+    x = metrics.per_category(records).select("model", F.struct(order.alias("ord"), row.alias("row")).alias("r"))
+    x = x.groupBy("model").agg(F.to_json(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"])).alias("per_category"))
+    return metrics.summary(records).join(x, "model")

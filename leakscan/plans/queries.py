@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ MODELS = ["qwen2.5-1.5b", "qwen2.5-3b"]
 #: The scores stated for these models.
 PUBLISHED = {"qwen2.5-1.5b": 0.3152, "qwen2.5-3b": 0.3774}
 WEIGHTS = [2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0]
-REPLICATES = 40
+REPLICATES = 2000
 
 
 def _read(spark: SparkSession, d: str, t: str) -> DataFrame:
@@ -80,21 +81,21 @@ def held_flags(spark, d):
 
 def redacted(strict: bool, normalise: bool = False):
     def run(spark, d):
-        x = records(spark, d).select("model", "category", "output")
-        out, n = text.redact(F.col("output"), strict, normalise)
-        return x.withColumn("n", n).withColumn("t", out).groupBy("model", "category").agg(F.sum("n").alias("redactions"), F.count_if(F.col("t") != F.col("output")).alias("changed"), F.sum(F.length("t")).alias("left_chars"))
+        x = text.redacted(answers.simulate(matrix(spark, d), MODELS).select("model", "category", "output", F.col("output").alias("t")), "t", strict, normalise)
+        return x.groupBy("model", "category").agg(F.sum("redactions").alias("redactions"), F.count_if(F.col("t") != F.col("output")).alias("changed"), F.sum(F.length("t")).alias("left_chars"))
 
     return run
 
 
 def over_redaction(spark, d):
-    x = _read(spark, d, "conversations").where("text IS NOT NULL").select("role", text.redact(F.col("text"), True)[1].alias("n"))
-    return x.groupBy("role").agg(F.count("*").alias("texts"), F.count_if(F.col("n") > 0).alias("redacted"))
+    x = text.redacted(_read(spark, d, "conversations").where("text IS NOT NULL").select("role", "text"), "text")
+    x = x.groupBy("role").agg(F.count("*").alias("texts"), F.count_if(F.col("redactions") > 0).alias("redacted"))
+    return x.withColumn("rate", F.col("redacted") / F.col("texts"))
 
 
 def rescore_filtered(spark, d):
     r = records(spark, d)
-    x = answers.rescored(r, "+filter", lambda o: text.redact(o, True)[0])
+    x = answers.rescored(r, "+filter", lambda x: text.redacted(x, "output").drop("redactions"))
     return rounded(metrics.summary(r.select(x.columns).unionByName(x)), "aggregate_rwmer", "mean_clmd")
 
 
@@ -120,7 +121,8 @@ def sweep(spark, n: int) -> DataFrame:
 
 
 def noise_rows(spark):
-    return sweep(spark, 18).select((F.floor(F.col("id") / 3) / 100).alias("noise"), (F.col("id") % 3).alias("run"), F.when(F.col("id") < 12, F.col("a")).otherwise(0).alias("hits"), (F.col("b") / 60).alias("recitation"))
+    # the last rung has one run only
+    return sweep(spark, 16).select((F.floor(F.col("id") / 3) / 100).alias("noise"), (F.col("id") % 3).alias("run"), F.when(F.col("id") < 12, F.col("a")).otherwise(0).alias("hits"), (F.col("b") / 60).alias("recitation"))
 
 
 def budget_rows(spark):
@@ -175,14 +177,117 @@ def persona_messages(spark, d):
     return x.groupBy("template_id").agg(F.count("*").alias("probes"), F.max("u").alias("users"), F.max("s").alias("systems"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return f"{where or tempfile.gettempdir()}/leakscan/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint_rename(spark, d):
     """Budget runs as a JSON map, read again, with a key renamed."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/leakscan-json'}/runs-{uuid.uuid4().hex}"
-    x = budget_rows(spark).agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("value", "hits")))).alias("m"))
-    x.select(F.to_json("m")).write.text(path)
+    path = _scratch(spark, "runs")
+    io.write_json_map(budget_rows(spark), path)
     return io.renamed_key(io.read_map(spark, path, "value: double, hits: bigint"), "dp_e0_run0", "dp_e0_first")
 
 
+def checkpoint_append(spark, d):
+    """Budget runs in two writes to a checkpoint table, read again."""
+    path, x = _scratch(spark, "checkpoint"), budget_rows(spark)
+    io.write_map(x.where("hits = 0"), path)
+    io.write_map(x.where("hits > 0"), path)
+    return io.read_checkpoint(spark, path)
+
+
+def corpus_roundtrip(lines: bool):
+    def run(spark, d):
+        path = _scratch(spark, "corpus")
+        io.write_corpus(people(spark, d), path, lines=lines)
+        return io.read_corpus(spark, path, lines)
+
+    return run
+
+
+def cases_roundtrip(spark, d):
+    """The labelled set and a sample of stored answers as a document, of which the labelled cases are read."""
+    path = _scratch(spark, "cases")
+    first = records(spark, d).where(F.col("model") == MODELS[0])
+    x = evalset.labelset(corpus.first_persons(people(spark, d), 140), 6).unionByName(evalset.sampled(first, 140))
+    io.write_cases(x, path)
+    return io.read_cases(spark, path).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("label_leak").alias("leaks"))
+
+
+def sweep_array(spark, d):
+    """Generalization runs as a JSON array; rows without epochs are left out when read."""
+    path = _scratch(spark, "sweep")
+    io.write_array(general_rows(spark).withColumn("epochs", F.when(F.col("epochs") % 5 != 0, F.col("epochs"))), path)
+    return io.read_rows(spark, path, "corpus string, epochs bigint, novel_valid double, n int", ("epochs",))
+
+
+def utility_roundtrip(spark, d):
+    """Held-out flags as task-utility records, read again and counted."""
+    path = _scratch(spark, "utility")
+    x = held_flags(spark, d).select("pid", "category", F.col("well_formed").alias("adheres"), "valid", "leaks_training", F.col("extracted").alias("emitted"), F.substring("output", 1, 160).alias("output"))
+    x.write.json(path)
+    y = spark.read.schema("pid bigint, category string, adheres boolean, valid boolean, leaks_training boolean, emitted string, output string").json(path)
+    return y.groupBy("category").agg(F.count("*").alias("n"), F.count_if("adheres").alias("adheres"), F.count_if("valid").alias("valid"), F.count_if("leaks_training").alias("leaks"), F.count("emitted").alias("emitted"))
+
+
+def bundle_roundtrip(spark, d):
+    """The summary of a results bundle, read from its JSON."""
+    path = _scratch(spark, "bundle")
+    x = metrics.summary(records(spark, d))
+    x.agg(F.to_json(F.struct(F.collect_list(F.struct(*x.columns)).alias("summary"))).alias("value")).write.text(path)
+    return io.read_bundle(spark, path)
+
+
+def replay(spark, d):
+    x = answers.replayed(records(spark, d).drop("type"))
+    return x.select("model", "n", "hits", F.size("examples").alias("shown"), F.col("examples")[0]["pid"].alias("pid"), F.col("examples")[0]["category"].alias("category"), F.col("examples")[0]["template_id"].alias("template_id"))
+
+
+def replayed_answers(spark, d):
+    """Stored answers joined to probes again and judged."""
+    stored = records(spark, d).select(*probes.KEYS, "output")
+    asked = matrix(spark, d).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
+    return metrics.grouped(answers.detect(answers.replay(asked, stored)), "model", "category")
+
+
+def case_sample(spark, d):
+    x = evalset.sampled(records(spark, d).where(F.col("model") == MODELS[0]), 140)
+    return x.groupBy("kind", "category").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
+
+
+def direct_rates(spark, d):
+    x = records(spark, d).where(F.col("template_id").isin(*D.SCOPES["ab"]))
+    return x.groupBy(F.col("model").alias("key")).agg(metrics.rate().alias("rate"))
+
+
+def differences(spark, d):
+    return metrics.paired_overall(records(spark, d)).select(F.col("model").alias("key"), F.col("mean_of_pairs").alias("value"), F.col("unpaired").alias("other"))
+
+
+def carried(spark, d):
+    x = metrics.summary(records(spark, d))
+    none = x.limit(1).select(F.lit("pilot").alias("model"), F.lit(0.0).alias("aggregate_rwmer"), F.lit(0.0).alias("mean_clmd"), F.lit("Low").alias("risk_band"))
+    return rounded(views.carry_over(x.unionByName(none), "pilot", "commercial"), "aggregate_rwmer", "mean_clmd")
+
+
+def exam_prompts(spark, d):
+    """An exam made of documents: questions with the subject's first two worked examples before them."""
+    path = _scratch(spark, "exam")
+    at = lambda s: F.element_at(F.array(*map(F.lit, "ABCDa")), (text.hashed("exam", s, F.col("doc_id").cast("string")) % 5 + 1).cast("int"))
+    x = _read(spark, d, "documents").where("text IS NOT NULL").select(F.col("lang").alias("subject"), F.when(F.col("doc_id") % 7 == 0, "dev").otherwise("val").alias("split"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("question"), *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in "ABCD"], at("correct").alias("answer"))
+    x.write.parquet(path)
+    return io.read_exam(spark, path, 2).select("subject", "id", "answer", _digest("prompt"))
+
+
+def distances(spark, d):
+    x = people(spark, d).select(F.levenshtein("soe_employee_id", F.lit("ENG201500000")).alias("distance"))
+    return x.groupBy("distance").agg(F.count("*").alias("n"))
+
+
 def scales(spark, d):
     x = spark.createDataFrame([(m,) for m in [*MODELS, "Yi-1.5-6B", "base", "deepseek-llm-7b"]], "model string")
     return x.withColumn("scale", views.model_scale(F.col("model")))
@@ -205,7 +310,7 @@ def families(spark, d):
 
 
 def csv_roundtrip(spark, d):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/leakscan-csv'}/records-{uuid.uuid4().hex}"
+    path = _scratch(spark, "records")
     cols = ["model", "category", "condition", "type", "template_id", "pid", "hit", "match_method", "expected", "output"]
     io.write_csv(records(spark, d).select(cols), path)
     return io.read_csv(spark, path).groupBy("model").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
@@ -233,7 +338,7 @@ def first_hits(spark, d):
 QUERIES = {
     "corpus_persons": people,
     "corpus_validate": corpus_validate,
-    "corpus_disjoint": lambda s, d: heldout.shared_values(people(s, d), held_people(s, d)).where("category <> 'full_name'").agg(F.count("*").alias("shared")),
+    "corpus_disjoint": lambda s, d: heldout.shared_values(people(s, d), held_people(s, d)).groupBy("category").agg(F.count("*").alias("shared")),
     "probe_matrix": probe_matrix,
     "training_docs_fixed": lambda s, d: corpus.training_texts(people(s, d), 2).select("pid", "rep", "kind", _digest("text")),
     "training_docs_varied": lambda s, d: corpus.training_texts(people(s, d), 3, True).select("pid", "rep", "kind", _digest("text")),
@@ -280,7 +385,7 @@ QUERIES = {
     "noise_bracket": lambda s, d: sweeps.noise_bracket(sweeps.noise_ladder(noise_rows(s))),
     "budget_groups": lambda s, d: rounded(sweeps.budget_groups(budget_rows(s)), "mean", "sd"),
     "spread_verdict": lambda s, d: rounded(sweeps.spread_verdict(sweeps.budget_groups(budget_rows(s))), "within", "between"),
-    "generalization_verdict": lambda s, d: rounded(sweeps.generalization(general_rows(s)).drop("p"), "gain", "z"),
+    "generalization_verdict": lambda s, d: rounded(sweeps.generalization(general_rows(s)), "gain", "z", "p"),
     "rank_grid": lambda s, d: rounded(sweeps.rank_grid(rank_rows(s)), "rise"),
     "privacy_utility": lambda s, d: rounded(sweeps.privacy_utility(utility_rows(s)), "closed", "kept"),
     "clipping_verdict": lambda s, d: sweeps.clipping_verdict(clip_rows(s)),
@@ -298,7 +403,7 @@ QUERIES = {
     "profile": lambda s, d: rounded(views.profile(records(s, d)), "aggregate_rwmer", "mean_clmd", "mean_of_pairs"),
     "width_ratio": lambda s, d: rounded(views.width_ratio(records(s, d), REPLICATES), "clustered", "wilson", "ratio"),
     "template_spread": lambda s, d: rounded(views.template_spread(records(s, d)), "sd", "gap", "width", "ratio"),
-    "gate": lambda s, d: rounded(views.gate(gate_rows(s)).drop("base_recitation"), "grew", "se"),
+    "gate": lambda s, d: rounded(views.gate(gate_rows(s)), "grew", "se"),
     "recovery": lambda s, d: rounded(views.recovery(gate_rows(s).select("key", F.col("score").alias("value")), "base", "run1"), "recovered"),
     "noise_extent": lambda s, d: rounded(views.extent(noise_rows(s), "noise", "recitation"), "low", "mean", "high", "range"),
     "run_spread": lambda s, d: rounded(views.extent(budget_rows(s).withColumn("budget", F.element_at(F.split("key", "_run"), 1)), "budget", "value"), "mean", "range"),
@@ -316,5 +421,32 @@ QUERIES = {
     "persona_messages": persona_messages,
     "checkpoint_rename": checkpoint_rename,
     "model_scale": scales,
+    "checkpoint_append": checkpoint_append,
+    "corpus_roundtrip": corpus_roundtrip(False),
+    "corpus_lines_roundtrip": corpus_roundtrip(True),
+    "cases_roundtrip": cases_roundtrip,
+    "sweep_array": sweep_array,
+    "utility_roundtrip": utility_roundtrip,
+    "bundle_roundtrip": lambda s, d: rounded(bundle_roundtrip(s, d), "aggregate_rwmer", "mean_clmd"),
+    "replay": replay,
+    "replayed_answers": replayed_answers,
+    "case_sample": case_sample,
+    "selftest_362": lambda s, d: evalset.confusion(evalset.judged(evalset.labelset(corpus.first_persons(people(s, d), 140), 6))),
+    "first_persons": lambda s, d: corpus.first_persons(people(s, d), 40).select("pid"),
+    "raw_scores": lambda s, d: views.raw_scores(records(s, d)),
+    "run_meta": lambda s, d: views.run_meta(records(s, d)),
+    "run_gap": lambda s, d: rounded(views.run_gap(records(s, d), *MODELS), "gap", "width", "run_over_probe"),
+    "size_sensitivity": lambda s, d: rounded(views.size_sensitivity(records(s, d), people(s, d), 40, 140), "few_rate", "more_rate", "change"),
+    "combined": lambda s, d: rounded(views.combined(records(s, d)), "aggregate_rwmer", "mean_clmd"),
+    "carry_over": carried,
+    "model_contains": lambda s, d: metrics.grouped(views.containing(records(s, d), "2.5-3b"), "model"),
+    "replication": lambda s, d: rounded(sweeps.replication(direct_rates(s, d), MODELS[1], MODELS[0], 0.01), "first", "second", "difference"),
+    "stability": lambda s, d: rounded(sweeps.stability(differences(s, d), -0.048), "value", "other", "moved"),
+    "near_key": lambda s, d: sweeps.near_key(noise_rows(s).withColumn("noise", F.col("noise") + 1e-12), "noise", 0.03).select("run", "hits"),
+    "paired_lists": lambda s, d: sweeps.paired(s, epsilon=[0.5, 1.0, 2.0, 4.0], multiplier=[0.648, 0.342, 0.182, 0.098]).withColumn("lots", stats.lots(F.lit(2240), F.lit(2))),
+    "sweep_order": lambda s, d: sweeps.ordered(utility_rows(s), "epsilon", True).select("key", "epsilon", "place"),
+    "window_series": lambda s, d: sweeps.window_series(general_rows(s)).select("corpus", "above", "base_rate", F.expr("array_join(transform(series, s -> cast(s.epochs AS string)), ',')").alias("epochs")),
+    "exam_prompts": exam_prompts,
+    "edit_distance": distances,
     "weighted_risk": lambda s, d: s.createDataFrame([(c, D.risk_index(c, WEIGHTS)) for c in D.CATEGORIES], "category string, risk double"),
 }

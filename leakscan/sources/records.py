@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscan import dims as D
+from leakscan.operators import corpus
+
 RECORD = "model string, category string, condition string, type string, template_id string, pid int, hit string, match_method string, expected string, output string"
 HELD_OUT = "pid int, category string, hit string, well_formed string, valid string, recited string, novel_valid string, extracted string, output string"
 PERSON = "pid int, full_name string, gender string, employer string, employer_code string, role string, national_id string, mobile_phone string, unionpay_card string, social_credit_code string, medical_record_id string, soe_employee_id string"
@@ -21,8 +27,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_csv(spark: SparkSession, path: str, schema: str = RECORD, label: str | None = None, recursive: bool = False, bools: tuple[str, ...] = ("hit",)) -> DataFrame:
-    """An absent path gives no rows; outputs may hold line breaks; label replaces the model; recursive takes records*.csv below path."""
+def read_csv(spark: SparkSession, path: str, schema: str = RECORD, label: str | None = None, recursive: bool = False, files: int | None = None, bools: tuple[str, ...] = ("hit",), strict_true: bool = False) -> DataFrame:
+    """An absent path gives no rows; outputs may hold line breaks; label replaces the model; recursive takes records*.csv below path,
+    files so many of them at most, in order of their names; strict_true counts only 'true' as true."""
     if not _exists(spark, path):
         x = spark.createDataFrame([], schema)
     else:
@@ -30,8 +37,12 @@ def read_csv(spark: SparkSession, path: str, schema: str = RECORD, label: str |
         if recursive:
             r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "records*.csv").option("ignoreCorruptFiles", True)
         x = r.csv(path)
+        if files is not None:
+            name = F.col("_metadata.file_path")
+            first = r.csv(path).select(name.alias("_f")).distinct().orderBy("_f").limit(files)
+            x = x.withColumn("_f", name).join(F.broadcast(first), "_f", "left_semi").drop("_f")
     for b in bools:
-        x = x.withColumn(b, truth(F.col(b)))
+        x = x.withColumn(b, F.coalesce(F.lower(F.trim(F.col(b))) == "true", F.lit(False)) if strict_true else truth(F.col(b)))
     return x.withColumn("model", F.lit(label)) if label else x
 
 
@@ -41,13 +52,27 @@ def write_csv(x: DataFrame, path: str) -> None:
     x.select(*cols).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CORPUS).json(path, multiLine=True).select(F.inline("persons"))
+def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Persons of a corpus document (meta, persons), or of many, one a line."""
+    return spark.read.schema(CORPUS).json(path, multiLine=not lines).select(F.inline("persons"))
+
 
+def write_corpus(people: DataFrame, path: str, seed: int = D.SEED, lines: bool = False, part: int = 10_000) -> None:
+    """A corpus document, which is one row, for corpora that fit one; lines: a document for each part of so many pids, one a line, for any size."""
+    own = F.struct(*[F.col(f.split(" ")[0]).cast(f.split(" ")[1]).alias(f.split(" ")[0]) for f in PERSON.split(", ")]).alias("p")
+    x = people.select(F.floor(F.col("pid") / part).alias("k") if lines else F.lit(0).alias("k"), own).groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("persons"))
+    meta = F.struct(F.size("persons").alias("n_persons"), F.lit(seed).cast("bigint").alias("seed"), F.array(*map(F.lit, D.CATEGORIES)).alias("categories"), F.lit("fictitious persons").alias("note"))
+    x.select(meta.alias("meta"), "persons").write.mode("overwrite").json(path)
 
-def write_corpus(people: DataFrame, path: str) -> None:
-    """One JSON object a line, which readers can split."""
-    people.write.json(path)
+
+def cached_corpus(spark: SparkSession, path: str, n: int, seed: int = D.SEED) -> DataFrame:
+    """The first n persons of the corpus document at path, which is made anew unless it has that seed and n persons."""
+    meta = spark.read.schema(CORPUS).json(path, multiLine=True).select("meta.n_persons", "meta.seed").first() if _exists(spark, path) else None
+    if meta is None or meta.seed != seed or (meta.n_persons or 0) < n:
+        # persons who share an id or a phone number with another go, so there are some more keys than persons
+        made = corpus.persons(spark.range(n + n // 50 + 8).withColumnRenamed("id", "key"), "key", seed=seed)
+        write_corpus(corpus.first_persons(made, n), path, seed)
+    return corpus.first_persons(read_corpus(spark, path), n)
 
 
 def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -75,3 +100,101 @@ def read_exam(spark: SparkSession, path: str, shots: int) -> DataFrame:
     dev = dev.groupBy("subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.concat("shown", "answer").alias("t")))), lambda s: s["t"]), "\n\n").alias("prefix"))
     val = x.where("split = 'val'").join(F.broadcast(dev), "subject", "left")
     return val.select("subject", "id", "answer", F.concat(F.coalesce(F.concat("prefix", F.lit("\n\n")), F.lit("")), "shown").alias("prompt"))
+
+
+def write_map(rows: DataFrame, path: str, key: str = "key") -> None:
+    """A checkpoint: rows appended to a table with a partition for each key, so that a condition is written when it is done."""
+    rows.withColumn("_key", F.col(key)).write.mode("append").partitionBy("_key").parquet(path)
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_key")
+
+
+def write_json_map(rows: DataFrame, path: str, key: str = "key") -> None:
+    """Rows as one JSON object of key -> struct, for readers of small checkpoints: one row."""
+    value = F.struct(*[c for c in rows.columns if c != key])
+    rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_rows(spark: SparkSession, path: str, schema: str, needs: tuple[str, ...] = ()) -> DataFrame:
+    """Run rows of a JSON array (or of objects one after another); rows that lack a needed field are left out."""
+    x = spark.read.schema(schema).json(path, multiLine=True)
+    return x.dropna(subset=list(needs)) if needs else x
+
+
+def write_array(rows: DataFrame, path: str) -> None:
+    """Rows as one JSON array: sweeps, task-utility records."""
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.mode("overwrite").text(path)
+
+
+SUMMARY = "model string, aggregate_rwmer double, mean_clmd double, risk_band string"
+PER_CATEGORY = "model string, category string, pri double, mer_zh2zh double, mer_en2zh double, clmd double, mer_worst double, rwmer double"
+
+
+def read_bundle(spark: SparkSession, path: str, part: str = "summary") -> DataFrame:
+    """summary or per_category of a results bundle."""
+    schema = {"summary": SUMMARY, "per_category": PER_CATEGORY}[part]
+    fields = ", ".join(f.replace(" ", ": ", 1) for f in schema.split(", "))
+    return spark.read.schema(f"{part} array<struct<{fields}>>").json(path, multiLine=True).select(F.inline(part))
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Intervals of a statistics report by condition, without those whose point is 0."""
+    x = spark.read.schema("conditions map<string, struct<rwmer: struct<point: double, lo: double, hi: double, width: double>>>").json(path, multiLine=True)
+    return x.select(F.explode("conditions").alias("condition", "v")).select("condition", "v.rwmer.*").where("point <> 0")
+
+
+CASE = "case_id string, source string, kind string, pid bigint, category string, expected string, output string, label_leak boolean, why string"
+
+
+def write_cases(cases: DataFrame, path: str) -> None:
+    """The labelled set as one JSON document: note, n, cases."""
+    x = cases.agg(F.sort_array(F.collect_list(F.struct(*cases.columns))).alias("cases"))
+    x.select(F.to_json(F.struct(F.lit("labels follow from how a case is built").alias("note"), F.size("cases").alias("n"), "cases")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_cases(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
+    fields = ", ".join(f.replace(" ", ": ", 1) for f in CASE.split(", "))
+    x = spark.read.schema(f"note string, n bigint, cases array<struct<{fields}>>").json(path, multiLine=True).select(F.inline("cases"))
+    return x.where("label_leak IS NOT NULL") if labelled else x
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Small tables as CSV folders of one part each."""
+    for name, x in tables.items():
+        x.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+
+
+def rename_in_files(paths: list[str], old: str, new: str, extra: dict | None = None) -> list[str]:
+    """Renames a condition in JSON files on the driver, in its place and with values added; each file is kept beside itself first.
+
+    Returns the files that had it. Nothing is written if any file has the new name already.
+    """
+    found = {}
+    for p in filter(os.path.exists, paths):
+        with open(p, encoding="utf-8") as f:
+            found[p] = f.read()
+    docs = {p: json.loads(t) for p, t in found.items()}
+    if any(new in d["conditions"] for d in docs.values() if old in d["conditions"]):
+        raise ValueError(f"{new} exists")
+    changed = [p for p, d in docs.items() if old in d["conditions"]]
+    for p in changed:
+        with open(f"{p}.bak", "w", encoding="utf-8") as f:
+            f.write(found[p])
+        docs[p]["conditions"] = {new if k == old else k: v | (extra or {}) if k == old else v for k, v in docs[p]["conditions"].items()}
+        with open(p, "w", encoding="utf-8") as f:
+            json.dump(docs[p], f, ensure_ascii=False, indent=1)
+    return changed
+
+
+def read_settings(path: str) -> dict[str, str]:
+    """KEY=value lines of a settings file; comments, blank lines and quotes around values are dropped; an absent file has none."""
+    out = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                key, eq, value = line.strip().removeprefix("export ").partition("=")
+                if eq and not key.startswith("#"):
+                    out[key.strip()] = value.strip().strip("'\"")
+    return out
