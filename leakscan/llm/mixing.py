@@ -70,7 +70,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """docs with every row as often as the mix takes it; all columns stay. Rows of one doc_id are taken alike."""
-    times = mix(docs, **params).groupBy("doc_id").agg(F.max("times").alias("_times"))
-    times = save(times.where("_times > 0").withColumnRenamed("doc_id", "_id"), "times")
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return out.withColumn("_times", F.explode(F.expr("sequence(1L, _times)"))).select(*[docs[c] for c in docs.columns])
+    times = mix(docs, **params).groupBy("doc_id").agg(F.max("times").alias("times"))
+    times = save(times.where("times > 0"), "times")
+    # the columns travel as one, so that their names don't matter
+    row = docs.select("doc_id", F.struct(*docs.columns).alias("row")).alias("d")
+    out = row.join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
+    return out.select("row", F.explode(F.expr("sequence(1L, t.times)"))).select("row.*")

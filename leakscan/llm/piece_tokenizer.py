@@ -64,7 +64,7 @@ def _simple(piece: bytes) -> bool:
 
 class PieceTokenizer:
     #: Pieces that are remembered, the longest of them, and pieces that are encoded by one call.
-    KEPT, LONG, LINES = 1_000_000, 40, 500
+    KEPT, LONG, LINES = 500_000, 40, 500
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,7 +78,7 @@ class PieceTokenizer:
     def forget(self) -> None:
         #: Pieces, and each one's ids in flat.
         self.known = pa.array([], pa.binary())
-        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def alone(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids one after another, and the number of ids of each."""
@@ -107,8 +107,8 @@ class PieceTokenizer:
         count = np.concatenate([c for _, c in got])
         numbers = np.empty(len(pieces), np.int64)
         numbers[order] = np.arange(len(self.start), len(self.start) + len(pieces))
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(count) - count)
-        self.count = np.append(self.count, count)
+        self.start = np.append(self.start, (len(self.flat) + np.cumsum(count) - count).astype(np.int32))
+        self.count = np.append(self.count, count.astype(np.int32))
         self.flat = np.concatenate([self.flat, *(i for i, _ in got)])
         self.known = pa.concat_arrays([self.known, new.take(pa.array(order[: int((~long).sum())]))])
         return numbers
@@ -133,12 +133,14 @@ class PieceTokenizer:
         pieces = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]))
         found = pc.index_in(pieces.dictionary, value_set=self.known)
         new = found.is_null().to_numpy(zero_copy_only=False)
-        which = found.fill_null(0).to_numpy().astype(np.int64)
+        which = found.fill_null(0).to_numpy().copy()
         which[new] = self.add(pieces.dictionary.filter(pa.array(new)))
         which = which[pieces.indices.to_numpy()]
         count = self.count[which]
-        ends = np.append(0, np.cumsum(count))
-        ids = self.flat[np.repeat(self.start[which] - ends[:-1], count) + np.arange(ends[-1])]
+        ends = np.append(np.int32(0), np.cumsum(count, dtype=np.int32))
+        place = np.repeat(self.start[which] - ends[:-1], count)
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = self.flat[place]
         # long pieces aren't remembered
         kept = len(self.known)
         self.start, self.count = self.start[:kept], self.count[:kept]

@@ -22,9 +22,9 @@ from leakscan.llm.id_coder import BLOCK, decode_blocks, encode_blocks
 from leakscan.llm.piece_tokenizer import tokenizer
 
 #: Blocks that are coded in step, and a chunk's on average; the end id.
-LANES, END = 1024, 2
-#: Bytes of text that are cut to pieces at once.
-TEXTS = 10 << 20
+LANES, END = 768, 2
+#: Rows and bytes of text that are cut to pieces at once.
+ROWS, TEXTS = 1500, 5 << 20
 #: Chunks up to this many (24 bytes each) have their places sent to each executor; those of more are joined by a shuffle.
 BROADCAST_CHUNKS = 500_000
 _CHUNK = "part int, seq int, docs array<long>, lens array<long>, sizes array<int>, crcs array<long>, blocks array<binary>"
@@ -53,7 +53,7 @@ def _chunks(path: str):
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             own = b.column("doc_id").to_pylist()
             for i, j, data, offs in W.parts(b.column("text"), TEXTS):
                 got, counts = tok.encode(data, offs)

@@ -87,7 +87,8 @@ def test_blocks_round_trip():
     words = [rng.randint(0, 65536, rng.randint(1, 6)) for _ in range(400)]
     text = np.concatenate([words[i] for i in (rng.zipf(1.3, 30000) % 400)]).astype(np.int32)
     blocks = [text[i : i + id_coder.BLOCK] for i in range(0, len(text), id_coder.BLOCK)]
-    blocks += [np.full(4096, 65535, np.int32), rng.randint(0, 65536, 4096).astype(np.int32), np.arange(1, dtype=np.int32), np.arange(4096, dtype=np.int32) % 3]
+    n = id_coder.BLOCK
+    blocks += [np.full(n, 65535, np.int32), rng.randint(0, 65536, n).astype(np.int32), np.arange(1, dtype=np.int32), np.arange(n, dtype=np.int32) % 3]
     for some in (blocks, blocks[-2:-1], [np.arange(9, dtype=np.int32)]):
         data = id_coder.encode_blocks(some)
         assert all((a == b).all() for a, b in zip(id_coder.decode_blocks(data, np.array([len(b) for b in some])), some, strict=True))
@@ -147,6 +148,18 @@ def test_mix(spark):
     assert all(abs(took[s] - goal[s]) <= 60 and goal[s] <= 2 * sizes[s] for s in sizes)
     assert mixing.mix(df.limit(0)).collect() == []
     assert mixing.mixed(df).columns == df.columns
+    odd = df.selectExpr("doc_id", "text", "source", "taken AS times", "'a' AS _times", "1 AS row", "2 AS `size`", "3 AS `target`")
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() == mixing.mixed(df).count()
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    assert quality.scores(docs, labels).collect() == [] and mixing.mixed(docs).collect() == []
+    assert url_filter.judge_urls(pages.limit(0), rules).collect() == []
+    assert [tuple(r) for r in url_filter.judge_urls(pages, rules.limit(0)).collect()] == [(1, "a.net", "/x", None, "allow")]
 
 
 def test_quality_odd_rows(spark):
