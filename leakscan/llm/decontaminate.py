@@ -96,7 +96,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     schema, out, block, size = "doc_id long, item_id long, n_item long, n_shared long", None, [], 0
     for row in (*sets.toLocalIterator(), None):
         if block and (row is None or size >= BLOCK):
-            hits = docs.mapInArrow(_search(_Index(block, percent), k), schema)
+            hits = docs.mapInArrow(lean(_search(_Index(block, percent), k)), schema)
             out = hits if out is None else save(out, "hits").union(hits)
             block, size = [], 0
         if row is not None:

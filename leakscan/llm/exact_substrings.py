@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm import words as W
-from leakscan.llm.common import drop_saved, release, save
+from leakscan.llm.common import drop_saved, lean, release, save
 
 MIN, GRAM = 200, 64
 CROWD, BATCH, PIECE = 2000, 1 << 20, 16
@@ -253,11 +253,11 @@ def _repeated(contents: DataFrame, widths: tuple[int, ...] = (PIECE, 1)) -> Data
     groups = save(groups.where("all > 1").select("grp", (F.col("kinds") > CROWD).alias("crowded")), "groups")
     usual = contents.join(groups.where("NOT crowded").select("grp"), "grp")
     usual = usual.select("grp", "content", "weight", "n", "bytes").repartition("grp").sortWithinPartitions("grp", "content")
-    out = usual.mapInArrow(_search, "grp long, content long, spans array<array<int>>")
+    out = usual.mapInArrow(lean(_search), "grp long, content long, spans array<array<int>>")
     if not widths or groups.where("crowded").isEmpty():
         return out
     crowded = contents.join(groups.where("crowded").select("grp"), "grp")
-    cut = save(crowded.mapInArrow(_cut(widths[0]), "whole long, of long, at int, weight long, n int, dist int, bytes binary, grp long, content long"), "pieces")
+    cut = save(crowded.mapInArrow(lean(_cut(widths[0])), "whole long, of long, at int, weight long, n int, dist int, bytes binary, grp long, content long"), "pieces")
     pieces = save(cut.groupBy("grp", "content").agg(F.sum("weight").alias("weight"), F.first("n").alias("n"), F.first("dist").alias("dist"), F.first("bytes").alias("bytes")), "piece-contents")
     found = _repeated(pieces, widths[1:])
     found = cut.select("grp", "content", "whole", "of", "at").join(found, ["grp", "content"])
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("e1", F.xxhash64(F.lit(7), F.col("text")))
     schema = "doc_id long, e1 long, anchor long, content long, at long, n int, dist int"
-    runs = save(docs.where(F.octet_length("text") >= MIN).mapInArrow(_runs, schema), "runs", few=False)
+    runs = save(docs.where(F.octet_length("text") >= MIN).mapInArrow(lean(_runs), schema), "runs", few=False)
     shared = runs.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("content") != F.max("content")).alias("mixed")).where("times > 1")
     held = save(runs.join(shared.drop("times"), "anchor"), "held")
     drop_saved(runs)
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kinds = kinds.select("rep.*", "anchor", "content", "weight")
     wanted = kinds.groupBy(*key, "e1").agg(F.collect_list(F.struct("at", "n", "dist", "anchor", "content", "weight")).alias("wanted"))
     texts = docs.select(*key, "e1", "text").join(wanted, ["d", "no_id", "e1"]).select("text", "wanted")
-    contents = save(texts.mapInArrow(_contents, "grp long, content long, weight long, n int, dist int, bytes binary"), "contents")
+    contents = save(texts.mapInArrow(lean(_contents), "grp long, content long, weight long, n int, dist int, bytes binary"), "contents")
     release(spark)
     found = save(_repeated(contents), "repeats")
     drop_saved(contents)
@@ -312,4 +312,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     some = held.where("mixed").withColumnRenamed("anchor", "grp").join(found, ["grp", "content"]).select("doc_id", "e1", "at", "spans")
     spans = whole.union(some).groupBy(*key, "e1").agg(F.collect_set(F.struct("at", "spans")).alias("spans"))
     out = docs.select(*key, "doc_id", "e1", "text").join(spans, ["d", "no_id", "e1"], "left")
-    return out.select("doc_id", "text", "spans").mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select("doc_id", "text", "spans").mapInArrow(lean(_cleaned), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm import words as W
-from leakscan.llm.common import components, drop_saved, join_hot, release, save
+from leakscan.llm.common import components, drop_saved, join_hot, lean, lean_group, release, save
 
 ENTRIES, TREES, MIN_DEPTH, DEPTH, WINDOW = 128, 16, 3, 8, 32
 #: Sketches agree in 0.8 of the entries at the threshold, with a deviation of 0.035; this is 4.2 of it below.
@@ -34,7 +34,7 @@ ROUNDS = 3
 #: Ids up to this many are sent to each executor to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Rows and shingles of a crowded region that a task gets on each of its two sides.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 700_000
 _HEAD = 1 + 4 * MIN_DEPTH
 _FACTORS = W.constants(ENTRIES, 7)[:, None]
 
@@ -123,11 +123,11 @@ def _sweep(best: bool):
 
 def _neighbours(reps: DataFrame, crowded: DataFrame, best: bool) -> DataFrame:
     """A region stays in one partition, so that no pair of its rows is parted; but crowded ones, all pairs of which are compared later, are spread."""
-    rows = reps.select("id", "comp", "sig").mapInArrow(_tree_rows, "key binary, id long, comp long, sketch binary")
+    rows = reps.select("id", "comp", "sig").mapInArrow(lean(_tree_rows), "key binary, id long, comp long, sketch binary")
     rows = rows.withColumn("head", F.substring("key", 1, _HEAD)).join(crowded.withColumn("within", F.lit(True)), "head", "left")
     rows = rows.withColumn("within", F.when(F.col("within"), F.col("key")))
     rows = rows.repartitionByRange("head", "within", F.when(F.col("within").isNotNull(), F.col("id"))).sortWithinPartitions("key", "id")
-    return rows.select("key", "id", "comp", "sketch").mapInArrow(_sweep(best), "a long, b long, same long")
+    return rows.select("key", "id", "comp", "sketch").mapInArrow(lean(_sweep(best)), "a long, b long, same long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _heads(reps: DataFrame) -> DataFrame:
                 head = np.concatenate([np.full((len(sig), 1), t, np.uint8), sig[:, order].reshape(len(sig), -1)], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in head], pa.binary()), *(b.column(c) for c in ("id", "comp", "n_shingles"))], ["head", "id", "comp", "n_shingles"])
 
-    return reps.select("id", "comp", "n_shingles", "sig").mapInArrow(run, "head binary, id long, comp long, n_shingles long")
+    return reps.select("id", "comp", "n_shingles", "sig").mapInArrow(lean(run), "head binary, id long, comp long, n_shingles long")
 
 
 def _joined(percent: int):
@@ -221,8 +221,8 @@ def _crowded_links(now: DataFrame, crowded: DataFrame, docs: DataFrame, k: int,
     ids = save(x.select("id").distinct(), "crowded-ids")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(near.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = save(texts.mapInArrow(_sets(k), "id long, shingles array<long>").where("size(shingles) > 0"), "crowded-sets")
-    return x.join(sets, "id").groupBy("head", "p", "q").applyInArrow(_joined(percent), "src long, dst long").distinct()
+    sets = save(texts.mapInArrow(lean(_sets(k)), "id long, shingles array<long>").where("size(shingles) > 0"), "crowded-sets")
+    return x.join(sets, "id").groupBy("head", "p", "q").applyInArrow(lean_group(_joined(percent)), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = save(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, one long, two long, sig binary"), "signed", few=False)
+    signed = save(docs.mapInArrow(lean(_signed(k)), "doc_id long, n_shingles long, one long, two long, sig binary"), "signed", few=False)
     solid = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = save(solid.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.count("*").alias("times")), "classes")
     reps = solid.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "one", "two", "n_shingles", "sig").join(classes, ["id", "one", "two"], "left_semi")
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ids = save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(near.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = save(texts.mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
+    sets = save(texts.mapInArrow(lean(_sets(k)), "id long, shingles array<long>"), "sets")
     member = join_hot(solid.select("doc_id", "one", "two"), classes.where("times > 1"), ["one", "two"], signed.count())
     member = save(member.where("doc_id <> id").select("doc_id", "id").distinct(), "member")
     same_id = member.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))

@@ -64,7 +64,7 @@ def _simple(piece: bytes) -> bool:
 
 class PieceTokenizer:
     #: Pieces that are remembered, the longest of them, and pieces that are encoded by one call.
-    KEPT, LONG, LINES = 500_000, 40, 500
+    KEPT, LONG, LINES = 300_000, 40, 500
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -145,7 +145,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     held out; a doc_id with several labels counts once for each; labels of unknown ids are unused.
     """
     model = train(docs, labels, fit_rows)
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), "doc_id long, score double")
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_score(model)), "doc_id long, score double")
     return x.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -159,4 +159,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = [model.score(f) >= THRESHOLD for f in features(b.column(names.index("text")))]
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

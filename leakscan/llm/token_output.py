@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.llm import words as W
-from leakscan.llm.common import save
+from leakscan.llm.common import lean, save
 from leakscan.llm.id_coder import BLOCK, decode_blocks, encode_blocks
 from leakscan.llm.piece_tokenizer import tokenizer
 
@@ -97,7 +97,7 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     x = x.withColumn("tie", F.xxhash64("text"))
     parts = x.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    return save(parts.mapInArrow(_chunks(path), _CHUNK), "tokens", few=False)
+    return save(parts.mapInArrow(lean(_chunks(path)), _CHUNK), "tokens", few=False)
 
 
 def token_table(chunks: DataFrame) -> DataFrame:
@@ -108,5 +108,5 @@ def token_table(chunks: DataFrame) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
     places = sizes.withColumn("n", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part").select("part", "seq", (F.col("base") + F.col("n")).alias("base"))
     few = F.broadcast(places) if chunks.select("part").count() <= BROADCAST_CHUNKS else places
-    got = chunks.mapInArrow(_read, "part int, seq int, own long, doc_id long, n_tokens long, ids_crc32 long").join(few, ["part", "seq"])
+    got = chunks.mapInArrow(lean(_read), "part int, seq int, own long, doc_id long, n_tokens long, ids_crc32 long").join(few, ["part", "seq"])
     return got.select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
