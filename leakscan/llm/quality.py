@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm import words as W
+from leakscan.llm.common import lean
 
 #: Feature slots; labelled rows of each class that the fit takes at most (those of smallest hash, whatever the input's size); features taken of one text in the fit.
 SLOTS, FIT_ROWS = 1 << 18, 3000
