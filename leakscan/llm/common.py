@@ -139,17 +139,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each partition first contracts its edges to a forest; alternating large-star and small-star
     rounds then join the forests. All of it is keyed by node with map-side minima, so a hub is
-    never gathered in a task, and each round is written to the shared folder.
+    never gathered in a task, nothing is broadcast, and each round is written to the shared folder.
     """
     edges = save(edges.select("src", "dst").where("src <> dst").mapInArrow(_forest, "src long, dst long"), "forest")
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("dst", "src"))
         low = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
-        large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        large = both.join(low.hint("merge"), "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         large = large.distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(low, "src")
+        small = large.join(low.hint("merge"), "src")
         small = small.select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", "low"))
         small = save(small.where("src <> dst").distinct(), "small")
         drop_saved(edges)
