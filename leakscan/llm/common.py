@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WHITE = r"\x20\x09-\x0D"
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: a Python worker outlives its task, and what it once took counts against the executor."""
     pa.default_memory_pool().release_unused()
     try:
@@ -32,7 +32,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return mapped
 
@@ -44,7 +44,7 @@ def lean_group(run):
         try:
             return run(keys, group)
         finally:
-            _give_back()
+            give_back()
 
     return grouped
 

@@ -23,7 +23,7 @@ import numpy as np
 BLOCK = 4096
 #: Ids of a round at most; places of the tables of orders 1 and 2.
 ROUND, PLACES1, PLACES2 = 256, 256, 512
-#: Blocks whose symbols are worked out at once.
+#: Blocks whose symbols are worked out at once, and steps whose novel ids are looked up at once.
 ROWS = 64
 _HEAD = struct.Struct("<HHH")
 
@@ -190,7 +190,7 @@ def _symbols(ids: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Of ids (blocks, steps) that are missed: 0 if not met in an earlier round, else 1 + the escapes before its first; and where the escapes are."""
     n, steps = ids.shape
     rounds = np.repeat(np.arange(steps)[: len(list(_rounds(steps)))], [b - a for a, b in _rounds(steps)]).astype(np.int32)
-    step, out, escapes = np.arange(steps, dtype=np.int32), np.zeros(ids.shape, np.int32), np.zeros(ids.shape, bool)
+    step, out, escapes = np.arange(steps, dtype=np.int32), np.zeros(ids.shape, np.uint16), np.zeros(ids.shape, bool)
     for i in range(0, n, ROWS):
         some = miss[i : i + ROWS]
         lane = np.arange(len(some), dtype=np.int32)[:, None] * steps
@@ -225,12 +225,14 @@ def _code_novel(novel: np.ndarray, counts: np.ndarray) -> list[bytes]:
     table = np.zeros((n, most), np.int32)
     table[np.arange(most) < counts[:, None]] = novel
     table = np.ascontiguousarray(table[order].T)
-    start, end = _NOVEL.take(table).astype(np.uint64), _NOVEL.take(table + 1).astype(np.uint64)
     out = _Encoder(n, 20 * most)
     for t, k in enumerate(_alive(counts[order])):
+        if t % ROWS == 0:
+            some = table[t : t + ROWS]
+            start, end = _NOVEL.take(some).astype(np.uint64), _NOVEL.take(some + 1).astype(np.uint64)
         r = out.range[:k] >> _BITS20
-        out.low[:k] += r * start[t, :k]
-        out.range[:k] = r * (end[t, :k] - start[t, :k])
+        out.low[:k] += r * start[t % ROWS, :k]
+        out.range[:k] = r * (end[t % ROWS, :k] - start[t % ROWS, :k])
         out.put(k)
     streams: list[bytes] = [b""] * n
     for i, s in zip(order.tolist(), out.finish(), strict=True):
@@ -269,6 +271,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         guesses.learn(x, hit, h1, h2, e1, e2, context)
     symbols, escape = _symbols(ids[:, 2:], ~hits)
     counts, novel = escape.sum(axis=1), ids[:, 2:][escape]
+    # from here on the symbols stand for the ids
+    del ids, escape, guesses
+    seconds = _code_novel(novel, counts)
     repeats, out = _Repeats(n, int(counts.max())), _Encoder(n, 22 * steps)
     by_step = lambda x: np.ascontiguousarray(x.T)
     for i, j in _rounds(steps):
@@ -284,7 +289,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             out.range = np.where(hit[t], first, r * freq[t])
             out.put(n)
         repeats.learn(s, ~hits[:, i:j])
-    parts = zip(counts.tolist(), out.finish(), _code_novel(novel, counts), strict=True)
+    parts = zip(counts.tolist(), out.finish(), seconds, strict=True)
     return [_HEAD.pack(c, len(a), len(b)) + a + b for c, a, b in parts]
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.llm import words as W
-from leakscan.llm.common import lean, save
+from leakscan.llm.common import give_back, lean, save
 from leakscan.llm.id_coder import BLOCK, decode_blocks, encode_blocks
 from leakscan.llm.piece_tokenizer import tokenizer
 
@@ -49,7 +49,11 @@ def _chunks(path: str):
         docs, lens, ids = [], [], []
 
         def chunk() -> pa.RecordBatch:
-            row = {"part": part, "seq": seq} | pack(docs, lens, np.concatenate(ids))
+            flat = np.concatenate(ids)
+            ids.clear()
+            # what cutting to pieces took isn't held besides what coding takes
+            give_back()
+            row = {"part": part, "seq": seq} | pack(docs, lens, flat)
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
