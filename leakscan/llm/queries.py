@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from leakscan.llm import decontaminate, embedding_dedup, exact_substrings, line_dedup, mixing, near_dedup, quality, sharding, token_output, url_filter
-from leakscan.llm.common import table
+from leakscan.llm import decontaminate, embedding_dedup, exact_substrings, line_dedup, mixing, near_dedup, prefix_trie, quality, sharding, spelling, token_output, url_filter, word_table
+from leakscan.llm.common import lean, table
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -58,6 +62,36 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def word_tokenizer_path() -> str:
+    """The tokenizer of words, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sha256 of each row's ids as little-endian 32-bit integers."""
+    for b in batches:
+        lists = b.column("ids")
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+        own = [hashlib.sha256(flat[i:j]).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((ends[1:] - ends[:-1]).astype("int64")), pa.array(own, pa.string()), b.column("decoded_sha256")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def op11_word_bpe(spark, sf_dir):
+    x = word_table.decode(word_table.encode(table(spark, sf_dir, "documents"), word_tokenizer_path()), word_tokenizer_path())
+    x = x.select("doc_id", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    return x.mapInArrow(lean(_id_digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), family=5, most=9)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +105,9 @@ QUERIES = {
         op8_mix,
         op9_quality,
         op10_embedding_dedup,
+        op11_word_bpe,
+        op12_spelling,
+        op13_prefix_trie,
     )
 }
 
@@ -88,6 +125,22 @@ _COMPONENTS = """
 walk AS (SELECT a AS x, b AS y FROM links UNION SELECT w.x, l.b FROM walk w JOIN links l ON l.a = w.y),
 comp AS (SELECT x, min(least(x, y)) AS c FROM walk GROUP BY x)"""
 
+
+
+def _crc32_steps(bits: int) -> list[int]:
+    """What so many low bits of a CRC-32 become."""
+    out = []
+    for c in range(1 << bits):
+        for _ in range(bits):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+#: The crc32 of the bytes that a column hx has in hexadecimal: digit by digit, the lower one of a byte first.
+_CRC32 = f"""xor(list_reduce(list_concat([4294967295::BIGINT], [CAST(instr('123456789ABCDEF', hx[j + CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END]) AS BIGINT) FOR j IN range(1, strlen(hx) + 1)]),
+  lambda c, v: xor(c >> 4, {_crc32_steps(4)}[(xor(c, v) & 15) + 1])), 4294967295)"""
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
 
 SQL = {
@@ -137,6 +190,33 @@ links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN comp ON x = vec_id""",
+    "op12_spelling": f"""WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT run, count(*) AS c, hex(encode(id || ':' || run)) AS hx FROM d GROUP BY id, run),
+h AS (SELECT run, c, {_CRC32} AS h FROM g),
+v AS MATERIALIZED (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+e AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) AS r(i)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM e a JOIN e b USING (rest, i) WHERE a.word <> b.word
+  UNION SELECT e.word, v.word, v.n FROM e JOIN v ON rest = v.word UNION SELECT v.word, e.word, e.n FROM e JOIN v ON rest = v.word),
+near AS (SELECT word, count(*) AS n_near, min({{'less': -m, 'word': other}}) AS best FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * n THEN best.word END AS form, CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n FROM v LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = root WHERE form IS NOT NULL),
+ends AS (SELECT walk.word, root FROM walk JOIN f ON f.word = root WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)""",
+    "op13_prefix_trie": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT conv_id, md5(length(role) || ':' || role || text) AS told, strlen(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS p FROM t),
+n AS (SELECT conv_id, conv_id - conv_id % 5 AS s, max(p) AS n, hex(encode(CAST(conv_id AS VARCHAR))) AS hx FROM o GROUP BY conv_id),
+c AS MATERIALIZED (SELECT conv_id, s, n, {_CRC32} % 9 AS h FROM n),
+k AS MATERIALIZED (SELECT c.*, least(h, coalesce(x.n, 0)) AS taken FROM c LEFT JOIN (SELECT conv_id AS s, n FROM c) x USING (s)),
+b AS (SELECT conv_id, p - h + taken AS d, told, size FROM o JOIN k USING (conv_id) WHERE p > h
+  UNION ALL SELECT k.conv_id, p, told, size FROM o JOIN k ON o.conv_id = s WHERE p <= h),
+q AS MATERIALIZED (SELECT conv_id, d, size, list(told) OVER (PARTITION BY conv_id ORDER BY d) AS key FROM b UNION ALL SELECT conv_id, 0, 0, [] FROM k),
+l AS (SELECT conv_id, max(d) AS len FROM q GROUP BY conv_id),
+node AS MATERIALIZED (SELECT key, any_value(d) AS d, min(conv_id) AS owner, count(*) AS n_convs, max(size) AS size, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = len) AS ends FROM q JOIN l USING (conv_id) GROUP BY key),
+kids AS (SELECT key[1:d - 1] AS key, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+a AS MATERIALIZED (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (key)),
+below AS (SELECT key[1:e] AS key, sum((n_convs - 1) * size) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM a, unnest(range(0, d + 1)) AS r(e) GROUP BY 1)
+SELECT a.owner AS conv_id, a.d AS depth, up.owner AS parent_conv_id, a.n_convs, n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM a JOIN below USING (key) LEFT JOIN node up ON a.d > 0 AND up.key = a.key[1:a.d - 1]""",
     "op8_mix": f"""WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
   md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
