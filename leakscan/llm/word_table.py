@@ -85,14 +85,21 @@ def cut(data: np.ndarray, offs: np.ndarray, mark: np.ndarray) -> tuple[pa.Array,
     return words, np.diff(np.searchsorted(at, offs))
 
 
+def _pack(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(b, asbytes=True)
+
+
+def _unpack(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+
+
 def _squeeze(x: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes: the number of them, then all lowest bytes, and so on."""
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+    """Numbers as compressed planes of bytes: all lowest bytes, then all second ones, and so on."""
+    return _pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _spread(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(b[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(_unpack(b), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 _BLOCK = "block long, bucket int, words binary, docs array<long>, lens binary, places binary"
@@ -129,7 +136,7 @@ class _Block:
             order, bucket = order[by], bucket[by]
             full, first = np.unique(bucket, return_index=True)
             place[order] = (np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))) * buckets + bucket
-            held = [b"\n".join(self.known.take(pa.array(order[i:j])).to_pylist()) for i, j in zip(first, [*first[1:], len(order)], strict=True)]
+            held = [_pack(b"\n".join(self.known.take(pa.array(order[i:j])).to_pylist())) for i, j in zip(first, [*first[1:], len(order)], strict=True)]
             for i in range(0, len(full), 512):
                 part = held[i : i + 512]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(full[i : i + 512].astype(np.int32)), pa.array(part, pa.binary()), *(pa.nulls(len(part), t) for t in (pa.list_(pa.int64()), pa.binary(), pa.binary()))], schema=_BLOCK_TYPES)
@@ -162,7 +169,7 @@ def _encode(path: str):
         tok, last = tokenizer(path), None
         known, count, flat = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for whole in batches:
-            size = np.cumsum([0, *pc.binary_length(whole.column("words")).to_pylist()])
+            size = np.cumsum([0, *(int.from_bytes(x[:8], "little") for x in whole.column("words").to_pylist())])
             i = 0
             while i < whole.num_rows:
                 j = max(i + 1, int(np.searchsorted(size, size[i] + LOOKUP, "right")) - 1)
@@ -170,7 +177,7 @@ def _encode(path: str):
                 buckets = b.column("bucket").to_pylist()
                 if buckets[0] != last:
                     known, count, flat = known[:0], count[:0], flat[:0]
-                words = pc.split_pattern(b.column("words").cast(pa.string()), "\n")
+                words = pc.split_pattern(pa.array([_unpack(x).decode() for x in b.column("words").to_pylist()], pa.string()), "\n")
                 own = pc.dictionary_encode(words.flatten().cast(pa.binary()))
                 found = pc.index_in(own.dictionary, value_set=known)
                 new = found.is_null().to_numpy(zero_copy_only=False)
