@@ -43,7 +43,7 @@ class WordTokenizer:
         special = "".join(t.content for t in self.tok.get_added_tokens_decoder().values())
         #: Bytes before which a word ends after a letter: marks that no special token has.
         self.mark = np.array([33 <= i < 127 and not chr(i).isalnum() and chr(i) not in special for i in range(256)])
-        if any(c in special for c in " \t\n\x0b\f\r") or any(self.ids([a + b])[0] != self.ids([a])[0] + self.ids([b])[0] for a, b in (("ab", " cd"), ("ab", ","), ("ab", "'s"), ("ab", "'cd"))):
+        if any(c in special for c in " \t\n\x0b\f\r") or any(self.ids([f"ab{by}{b}"])[0] != self.ids(["ab"])[0] + self.ids([b])[0] for by, b in ((" ", "cd"), ("", ","), ("", "'s"), ("", "'cd"))):
             raise ValueError("this tokenizer has pieces across words")
 
     def ids(self, words: list[str]) -> list[list[int]]:
