@@ -28,7 +28,9 @@ from leakscan.llm.common import give_back, lean, save
 #: Bytes of text that are cut at once, and those of a block (a longer text is alone).
 TEXTS, BLOCK = 4 << 20, 32 << 20
 #: Bytes of words that are looked up at once, ids that are decoded at once.
-LOOKUP, IDS = 8 << 20, 2 << 20
+LOOKUP, IDS = 4 << 20, 2 << 20
+#: Words that the library is given at once.
+AT_ONCE = 4096
 _LETTER = np.array([i < 128 and chr(i).isalpha() for i in range(256)])
 
 
@@ -49,6 +51,15 @@ class WordTokenizer:
     def ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids. Few words at once, as the library's results take a thousand times the ids' room."""
+        count, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), AT_ONCE):
+            got = self.ids([w.decode() for w in words.slice(i, AT_ONCE).to_pylist()])
+            count.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter((x for y in got for x in y), np.int64))
+        return np.concatenate(count), np.concatenate(flat)
+
     @functools.cached_property
     def pieces(self) -> pa.Array:
         """The vocabulary by id, each piece after a space; null where an id has none."""
@@ -184,10 +195,8 @@ def _encode(path: str):
                 number = found.fill_null(0).to_numpy().astype(np.int64)
                 number[new] = len(known) + np.arange(new.sum())
                 fresh = own.dictionary.filter(pa.array(new))
-                ids = tok.ids([w.decode() for w in fresh.to_pylist()])
-                known = pa.concat_arrays([known, fresh])
-                count = np.append(count, np.fromiter(map(len, ids), np.int64, len(ids)))
-                flat = np.append(flat, np.fromiter((x for y in ids for x in y), np.int64))
+                known, (n, ids) = pa.concat_arrays([known, fresh]), tok.encoded(fresh)
+                count, flat = np.append(count, n), np.append(flat, ids)
                 first = np.cumsum(count) - count
                 which, ends = number[own.indices.to_numpy()], words.offsets.to_numpy() - words.offsets[0].as_py()
                 out = []
