@@ -62,3 +62,8 @@ def epsilon(steps: Column, q: Column, sigma: Column, delta: float = 1e-5) -> Col
 def lots(n: Column, epochs: Column, size: int = 8) -> Column:
     """Steps of a training run: full lots of n texts, one at least, by epochs."""
     return F.greatest(F.lit(1), F.floor(n / size)) * epochs
+
+
+def weighted(values: Column, weights: Column) -> Column:
+    """Weighted mean of an array; null without weights."""
+    return F.aggregate(F.zip_with(values, weights, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v) / F.nullif(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), F.lit(0.0))

@@ -47,7 +47,8 @@ def generate(keys: DataFrame, key: str, salt: str = "train", seed: int = D.SEED)
 def unique_persons(x: DataFrame) -> DataFrame:
     """Of persons with one national id, and then with one phone number, the one with the smallest pid."""
     for c in ("national_id", "mobile_phone"):
-        x = x.join(x.groupBy(c).agg(F.min("pid").alias("pid")), [c, "pid"], "left_semi")
+        # over a window, so that persons are made once
+        x = x.withColumn("_first", F.min("pid").over(Window.partitionBy(c))).where("_first = pid").drop("_first")
     return x
 
 

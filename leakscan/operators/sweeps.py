@@ -91,10 +91,9 @@ def near_key(rows: DataFrame, column: str, value: float, tolerance: float = 1e-9
     return rows.where(F.abs(F.col(column) - value) < tolerance)
 
 
-def paired(spark: SparkSession, **lists: list) -> DataFrame:
-    """Lists of one length by position: a row for each place."""
-    x = spark.range(1).select(F.arrays_zip(*[F.array(*map(F.lit, v)).alias(n) for n, v in lists.items()]).alias("z"))
-    return x.select(F.inline("z"))
+def paired(rows: DataFrame, *lists: str) -> DataFrame:
+    """Each row's lists by position, with null where one is shorter: a row for each place, beside the other columns."""
+    return rows.select(*[c for c in rows.columns if c not in lists], F.inline(F.arrays_zip(*lists)))
 
 
 def ordered(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from leakscan import dims as D
 from leakscan.functions import checks, stats, text
 from leakscan.operators import answers, corpus, evalset, heldout, inference, metrics, probes, sweeps, views
+from leakscan.sources import checkpoints, stored
 from leakscan.sources import records as io
+from leakscan.sources.split import read_csv_split, read_json_split
 
 MODELS = ["qwen2.5-1.5b", "qwen2.5-3b"]
 #: The scores stated for these models.
 PUBLISHED = {"qwen2.5-1.5b": 0.3152, "qwen2.5-3b": 0.3774}
-WEIGHTS = [2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0]
 REPLICATES = 2000
 
 
@@ -109,55 +110,91 @@ def bootstrap(by: tuple[str, ...], statistic, only: list[str] | None = None):
 
 
 def rdp_epsilon(spark, d):
-    x = spark.createDataFrame([(560, s) for s in (0.648, 0.342, 0.182, 0.098, 0.01, 0.02, 0.04, 0.07, 0.0)], "steps int, sigma double")
-    e = stats.epsilon(F.col("steps"), F.lit(8 / 2240), F.col("sigma"))
-    return x.withColumn("epsilon", r6(F.nullif(e, F.lit(float("inf")))))
+    """The noise multipliers of the sweeps over as many lots as orders dealt to each make."""
+    # fixed values: multipliers of the reported runs, and none
+    sigmas = F.array(*map(F.lit, (0.648, 0.342, 0.182, 0.098, 0.01, 0.02, 0.04, 0.07, 0.0)))
+    x = _read(spark, d, "orders").groupBy((F.col("o_orderkey") % 9).alias("id")).agg(F.count("*").alias("n"))
+    x = x.select("n", stats.lots(F.col("n"), F.lit(2)).alias("steps"), F.element_at(sigmas, (F.col("id") + 1).cast("int")).alias("sigma"))
+    e = stats.epsilon(F.col("steps"), F.lit(8.0) / F.col("n"), F.col("sigma"))
+    return x.select("steps", "sigma", r6(F.nullif(e, F.lit(float("inf")))).alias("epsilon"))
 
 
-def sweep(spark, n: int) -> DataFrame:
-    """n synthetic runs with hashed readings: a (0 to 2), b and c (0 to 1, in 1/1000)."""
-    h = lambda s: text.hashed("sweep", s, F.col("id").cast("string"))
-    return spark.range(n).select("id", (h("a") % 3).alias("a"), (h("b") % 1001 / 1000).alias("b"), (h("c") % 1001 / 1000).alias("c"))
+#: Model names to which documents are dealt by doc_id.
+NAMES = ["Qwen/Qwen2.5-1.5B", "internlm/internlm2-7b", "01-ai/Yi-1.5-6B", "deepseek-ai/deepseek-llm-7b", "x/yi-34b", "qwen2.5-3b"]
 
 
-def noise_rows(spark):
+def named(spark, d, names: list[str]) -> DataFrame:
+    return _read(spark, d, "documents").select(F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int")).alias("model"))
+
+
+def paired_lists(spark, d):
+    """Line numbers and quantities of orders as lists, paired again, and counted by line number."""
+    both = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity")))
+    x = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(both.alias("b")).select("l_orderkey", F.transform("b", lambda s: s["l_linenumber"]).alias("place"), F.transform("b", lambda s: s["l_quantity"]).alias("quantity"))
+    x = sweeps.paired(x, "place", "quantity").groupBy("place").agg(F.count("*").alias("n"), F.sum("quantity").cast("long").alias("quantity"))
+    return x.withColumn("lots", stats.lots(F.col("n"), F.lit(2)))
+
+
+def pri_table(spark, d):
+    """By category: its index, band, and persons who have a value."""
+    x = corpus.long(people(spark, d)).groupBy("category").agg(F.count("expected").alias("n"))
+    dims = spark.createDataFrame([(c, D.RISK[c], i + 1) for i, c in enumerate(D.CATEGORIES)], "category string, pri double, ord int")
+    return x.join(F.broadcast(dims), "category").withColumn("band", stats.band(F.col("pri") / 4))
+
+
+def weighted_risk(spark, d):
+    """The index under weights of its factors that come of the orders of each priority."""
+    weights = F.array(*[F.count_if(F.col("o_orderkey") % 7 == k).cast("double") + 1 for k in range(7)])
+    x = _read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(weights.alias("w"))
+    factors = F.array(*[F.struct(F.lit(c).alias("category"), F.array(*map(F.lit, f)).alias("f")) for c, f in D.RISK_FACTORS.items()])
+    return x.select("priority", "w", F.inline(factors)).select("priority", "category", r6(stats.weighted(F.col("f"), F.col("w"))).alias("risk"))
+
+
+def sweep(spark, d, n: int) -> DataFrame:
+    """n runs, to which orders are dealt by key, with readings of their orders: a (0 to 2), b and c (0 to 1, in 1/1000)."""
+    part = lambda v: F.sum(v) % 1001 / 1000
+    x = _read(spark, d, "orders").groupBy((F.col("o_orderkey") % n).alias("id"))
+    return x.agg((F.count("*") % 3).alias("a"), part(F.col("o_custkey") * 7).alias("b"), part(F.col("o_custkey") * (F.col("o_orderkey") % 13)).alias("c"))
+
+
+def noise_rows(spark, d):
     # the last rung has one run only
-    return sweep(spark, 16).select((F.floor(F.col("id") / 3) / 100).alias("noise"), (F.col("id") % 3).alias("run"), F.when(F.col("id") < 12, F.col("a")).otherwise(0).alias("hits"), (F.col("b") / 60).alias("recitation"))
+    return sweep(spark, d, 16).select((F.floor(F.col("id") / 3) / 100).alias("noise"), (F.col("id") % 3).alias("run"), F.when(F.col("id") < 12, F.col("a")).otherwise(0).alias("hits"), (F.col("b") / 60).alias("recitation"))
 
 
-def budget_rows(spark):
-    return sweep(spark, 20).select(F.concat(F.lit("dp_e"), F.floor(F.col("id") / 4).cast("string"), F.lit("_run"), (F.col("id") % 4).cast("string")).alias("key"), (F.col("b") + F.floor(F.col("id") / 4)).alias("value"), F.col("a").alias("hits"))
+def budget_rows(spark, d):
+    return sweep(spark, d, 20).select(F.concat(F.lit("dp_e"), F.floor(F.col("id") / 4).cast("string"), F.lit("_run"), (F.col("id") % 4).cast("string")).alias("key"), (F.col("b") + F.floor(F.col("id") / 4)).alias("value"), F.col("a").alias("hits"))
 
 
-def general_rows(spark):
-    return sweep(spark, 13).select(F.when(F.col("id") == 0, "base").when(F.col("id") % 2 == 0, "varied").otherwise("fixed").alias("corpus"), F.col("id").alias("epochs"), F.col("b").alias("novel_valid"), F.lit(200).alias("n"))
+def general_rows(spark, d):
+    return sweep(spark, d, 13).select(F.when(F.col("id") == 0, "base").when(F.col("id") % 2 == 0, "varied").otherwise("fixed").alias("corpus"), F.col("id").alias("epochs"), F.col("b").alias("novel_valid"), F.lit(200).alias("n"))
 
 
-def rank_rows(spark):
-    return sweep(spark, 25).select((F.pow(F.lit(2), F.col("id") % 5) * 4).cast("int").alias("rank"), (F.floor(F.col("id") / 5) * 20 + 5).alias("exposures"), F.when(F.col("id") < 5, 0.01).when(F.col("id") >= 20, 0.99).otherwise(F.col("b")).alias("mem_rate"))
+def rank_rows(spark, d):
+    return sweep(spark, d, 25).select((F.pow(F.lit(2), F.col("id") % 5) * 4).cast("int").alias("rank"), (F.floor(F.col("id") / 5) * 20 + 5).alias("exposures"), F.when(F.col("id") < 5, 0.01).when(F.col("id") >= 20, 0.99).otherwise(F.col("b")).alias("mem_rate"))
 
 
-def utility_rows(spark):
-    return sweep(spark, 10).select(F.when(F.col("id") == 0, "base").when(F.col("id") == 1, "undefended").otherwise(F.concat(F.lit("dp"), F.col("id").cast("string"))).alias("key"), F.when(F.col("id") > 1, F.col("id") / 2.0).alias("epsilon"), F.when(F.col("id") == 1, 0.9).otherwise(F.col("b") * 0.5).alias("leak"), F.when(F.col("id") == 0, 0.1).when(F.col("id") == 1, 0.8).otherwise(F.col("c")).alias("utility"))
+def utility_rows(spark, d):
+    return sweep(spark, d, 10).select(F.when(F.col("id") == 0, "base").when(F.col("id") == 1, "undefended").otherwise(F.concat(F.lit("dp"), F.col("id").cast("string"))).alias("key"), F.when(F.col("id") > 1, F.col("id") / 2.0).alias("epsilon"), F.when(F.col("id") == 1, 0.9).otherwise(F.col("b") * 0.5).alias("leak"), F.when(F.col("id") == 0, 0.1).when(F.col("id") == 1, 0.8).otherwise(F.col("c")).alias("utility"))
 
 
-def clip_rows(spark):
-    return sweep(spark, 9).select(F.element_at(F.array(F.lit("clip"), F.lit("noise"), F.lit("both")), (F.col("id") % 3 + 1).cast("int")).alias("arm"), F.when(F.col("id") % 3 == 0, F.col("a")).otherwise(0).alias("hits"), F.lit(0.01).alias("recitation"))
+def clip_rows(spark, d):
+    return sweep(spark, d, 9).select(F.element_at(F.array(F.lit("clip"), F.lit("noise"), F.lit("both")), (F.col("id") % 3 + 1).cast("int")).alias("arm"), F.when(F.col("id") % 3 == 0, F.col("a")).otherwise(0).alias("hits"), F.lit(0.01).alias("recitation"))
 
 
-def gate_rows(spark):
-    return sweep(spark, 12).select(F.when(F.col("id") == 0, "base").otherwise(F.concat(F.lit("run"), F.col("id").cast("string"))).alias("key"), (F.col("b") / 4).alias("score"), (F.col("c") / 20).alias("recitation"), (F.col("id") * 10 + 200).alias("n"))
+def gate_rows(spark, d):
+    return sweep(spark, d, 12).select(F.when(F.col("id") == 0, "base").otherwise(F.concat(F.lit("run"), F.col("id").cast("string"))).alias("key"), (F.col("b") / 4).alias("score"), (F.col("c") / 20).alias("recitation"), (F.col("id") * 10 + 200).alias("n"))
 
 
-def loss_rows(spark):
+def loss_rows(spark, d):
     key = F.when(F.col("id") == 0, "base").otherwise(F.concat(F.lit("c"), F.col("id").cast("string")))
-    x = sweep(spark, 8).withColumn("key", key)
+    x = sweep(spark, d, 8).withColumn("key", key)
     return x.where("id < 6").select("key", F.col("b").alias("accuracy")), x.where("id <> 3").select("key", (F.col("c") + 1).alias("loss"))
 
 
 def grid_missing(spark, d):
     ranks, exposures = spark.createDataFrame([(4 * 2**i,) for i in range(6)], "rank int"), spark.createDataFrame([(i * 20 + 5,) for i in range(6)], "exposures int")
-    done = rank_rows(spark).select("rank", F.col("exposures").cast("int").alias("exposures"))
+    done = rank_rows(spark, d).select("rank", F.col("exposures").cast("int").alias("exposures"))
     return sweeps.missing_cells(ranks.crossJoin(F.broadcast(exposures)), done, ["rank", "exposures"])
 
 
@@ -188,16 +225,77 @@ def _scratch(spark: SparkSession, name: str) -> str:
 def checkpoint_rename(spark, d):
     """Budget runs as a JSON map, read again, with a key renamed."""
     path = _scratch(spark, "runs")
-    io.write_json_map(budget_rows(spark), path)
-    return io.renamed_key(io.read_map(spark, path, "value: double, hits: bigint"), "dp_e0_run0", "dp_e0_first")
+    io.write_json_map(budget_rows(spark, d), path)
+    return io.renamed_key(io.read_map(spark, path, "value double, hits bigint"), "dp_e0_run0", "dp_e0_first")
 
 
 def checkpoint_append(spark, d):
     """Budget runs in two writes to a checkpoint table, read again."""
-    path, x = _scratch(spark, "checkpoint"), budget_rows(spark)
-    io.write_map(x.where("hits = 0"), path)
-    io.write_map(x.where("hits > 0"), path)
-    return io.read_checkpoint(spark, path)
+    path, x = _scratch(spark, "checkpoint"), budget_rows(spark, d)
+    checkpoints.write_checkpoint(x.where("hits = 0"), path)
+    checkpoints.write_checkpoint(x.where("hits > 0"), path)
+    return checkpoints.read_checkpoint(spark, path)
+
+
+def checkpoint_replaced(spark, d):
+    """Documents by source as conditions: all written, then those of each second source anew with their long texts only, then one emptied."""
+    path = _scratch(spark, "replaced")
+    x = _read(spark, d, "documents").select("doc_id", "source", "n_chars", F.lit(1).alias("run"))
+    checkpoints.write_checkpoint(x, path, "source")
+    again = x.where("char_length(source) % 2 = 0 AND n_chars > 500").withColumn("run", F.lit(2))
+    checkpoints.write_checkpoint(again, path, "source")
+    first = x.agg(F.min("source")).first()[0]
+    checkpoints.write_checkpoint(x.limit(0), path, "source", [first])
+    y = checkpoints.read_checkpoint(spark, path, "doc_id long, source string, n_chars long, run int")
+    return y.groupBy("source", "run").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum("n_chars").alias("chars"))
+
+
+def checkpoint_todo(spark, d):
+    """Probes of conditions (category) that a checkpoint table lacks: those of few leaks were written."""
+    path, r = _scratch(spark, "todo"), records(spark, d)
+    few = r.groupBy("category").agg(F.avg(F.col("hit").cast("int")).alias("rate")).where("rate < 0.2").select("category")
+    checkpoints.write_checkpoint(r.select("model", "pid", "category", "hit").join(F.broadcast(few), "category", "left_semi"), path, "category")
+    return checkpoints.todo(r.select("model", "category"), path, "category").groupBy("model", "category").agg(F.count("*").alias("n"))
+
+
+_STORED = ["model", "pid", "category", "template_id", "condition", "type", "expected", "output", "hit", "match_method"]
+
+
+def stored_records(spark, d):
+    """Stored answers of one model in two categories, by the data source, which has the filters."""
+    path = _scratch(spark, "stored")
+    checkpoints.write_checkpoint(records(spark, d).select(_STORED), path, "category")
+    stored.register(spark)
+    x = spark.read.format(stored.FORMAT).option("key", "category").load(path)
+    x = x.where((F.col("model") == MODELS[1]) & F.col("category").isin("mobile_phone", "full_name"))
+    return x.groupBy("model", "category", "template_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+
+
+def stored_stream(spark, d):
+    """Stored answers as a stream that stops and goes on: one model's, then the other's after it was written."""
+    path, out, state = (_scratch(spark, n) for n in ("stored", "streamed", "state"))
+    stored.register(spark)
+    for m in MODELS:
+        checkpoints.write_checkpoint(records(spark, d).where(F.col("model") == m).select(_STORED), path, "model")
+        x = spark.readStream.format(stored.FORMAT).option("key", "model").load(path).select("model", "category", "hit")
+        x.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("model", "category").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+
+
+def pages_csv(spark, d):
+    """Pages as one quoted CSV file, read again by ranges."""
+    path = _scratch(spark, "pages")
+    _read(spark, d, "pages").select("page_id", "url", "html").repartition(1).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    x = read_csv_split(spark, path, "page_id long, url string, html string, lang string")
+    return x.select("page_id", F.md5("url").alias("url_md5"), F.md5("html").alias("html_md5"), "lang")
+
+
+def conversations_json(spark, d):
+    """Conversations as one JSON array, read again by ranges."""
+    path = _scratch(spark, "conversations")
+    io.write_array(_read(spark, d, "conversations"), path)
+    x = read_json_split(spark, path, "conv_id long, turn long, role string, text string")
+    return x.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
 def corpus_roundtrip(lines: bool):
@@ -221,7 +319,7 @@ def cases_roundtrip(spark, d):
 def sweep_array(spark, d):
     """Generalization runs as a JSON array; rows without epochs are left out when read."""
     path = _scratch(spark, "sweep")
-    io.write_array(general_rows(spark).withColumn("epochs", F.when(F.col("epochs") % 5 != 0, F.col("epochs"))), path)
+    io.write_array(general_rows(spark, d).withColumn("epochs", F.when(F.col("epochs") % 5 != 0, F.col("epochs"))), path)
     return io.read_rows(spark, path, "corpus string, epochs bigint, novel_valid double, n int", ("epochs",))
 
 
@@ -289,8 +387,8 @@ def distances(spark, d):
 
 
 def scales(spark, d):
-    x = spark.createDataFrame([(m,) for m in [*MODELS, "Yi-1.5-6B", "base", "deepseek-llm-7b"]], "model string")
-    return x.withColumn("scale", views.model_scale(F.col("model")))
+    x = named(spark, d, [*MODELS, "Yi-1.5-6B", "base", "deepseek-llm-7b"])
+    return x.groupBy(views.model_scale(F.col("model")).alias("scale")).agg(F.count("*").alias("n"))
 
 
 def exam(spark, d):
@@ -304,9 +402,7 @@ def luhn_documents(spark, d):
 
 
 def families(spark, d):
-    ids = ["Qwen/Qwen2.5-1.5B", "internlm/internlm2-7b", "01-ai/Yi-1.5-6B", "deepseek-ai/deepseek-llm-7b", "x/yi-34b"]
-    x = spark.createDataFrame([(i,) for i in ids], "model string")
-    return x.withColumn("family", probes.family_of(F.col("model")))
+    return named(spark, d, NAMES).groupBy(probes.family_of(F.col("model")).alias("family")).agg(F.count("*").alias("n"))
 
 
 def csv_roundtrip(spark, d):
@@ -381,19 +477,19 @@ QUERIES = {
     "selftest_by_kind": lambda s, d: evalset.by_kind(evalset.judged(cases(s, d))),
     "disagreement_audit": lambda s, d: evalset.disagreement(records(s, d)),
     "floor_delta": lambda s, d: rounded(metrics.summary(evalset.by_rule(records(s, d)), ("rule",)), "aggregate_rwmer", "mean_clmd"),
-    "noise_ladder": lambda s, d: sweeps.noise_ladder(noise_rows(s)),
-    "noise_bracket": lambda s, d: sweeps.noise_bracket(sweeps.noise_ladder(noise_rows(s))),
-    "budget_groups": lambda s, d: rounded(sweeps.budget_groups(budget_rows(s)), "mean", "sd"),
-    "spread_verdict": lambda s, d: rounded(sweeps.spread_verdict(sweeps.budget_groups(budget_rows(s))), "within", "between"),
-    "generalization_verdict": lambda s, d: rounded(sweeps.generalization(general_rows(s)), "gain", "z", "p"),
-    "rank_grid": lambda s, d: rounded(sweeps.rank_grid(rank_rows(s)), "rise"),
-    "privacy_utility": lambda s, d: rounded(sweeps.privacy_utility(utility_rows(s)), "closed", "kept"),
-    "clipping_verdict": lambda s, d: sweeps.clipping_verdict(clip_rows(s)),
+    "noise_ladder": lambda s, d: sweeps.noise_ladder(noise_rows(s, d)),
+    "noise_bracket": lambda s, d: sweeps.noise_bracket(sweeps.noise_ladder(noise_rows(s, d))),
+    "budget_groups": lambda s, d: rounded(sweeps.budget_groups(budget_rows(s, d)), "mean", "sd"),
+    "spread_verdict": lambda s, d: rounded(sweeps.spread_verdict(sweeps.budget_groups(budget_rows(s, d))), "within", "between"),
+    "generalization_verdict": lambda s, d: rounded(sweeps.generalization(general_rows(s, d)), "gain", "z", "p"),
+    "rank_grid": lambda s, d: rounded(sweeps.rank_grid(rank_rows(s, d)), "rise"),
+    "privacy_utility": lambda s, d: rounded(sweeps.privacy_utility(utility_rows(s, d)), "closed", "kept"),
+    "clipping_verdict": lambda s, d: sweeps.clipping_verdict(clip_rows(s, d)),
     "exam_accuracy": lambda s, d: sweeps.exam_scores(exam(s, d)),
     "letter_distribution": lambda s, d: sweeps.letters(exam(s, d)),
     "luhn_documents": luhn_documents,
     "family_of": families,
-    "pri_table": lambda s, d: s.createDataFrame([(c, D.RISK[c], i + 1) for i, c in enumerate(D.CATEGORIES)], "category string, pri double, ord int").withColumn("band", stats.band(F.col("pri") / 4)),
+    "pri_table": pri_table,
     "csv_roundtrip": csv_roundtrip,
     "scope_scores": lambda s, d: rounded(views.scope_scores(records(s, d)), "aggregate_rwmer"),
     "scope_difference": lambda s, d: rounded(views.scope_difference(records(s, d), *MODELS), "first", "second", "difference"),
@@ -403,10 +499,10 @@ QUERIES = {
     "profile": lambda s, d: rounded(views.profile(records(s, d)), "aggregate_rwmer", "mean_clmd", "mean_of_pairs"),
     "width_ratio": lambda s, d: rounded(views.width_ratio(records(s, d), REPLICATES), "clustered", "wilson", "ratio"),
     "template_spread": lambda s, d: rounded(views.template_spread(records(s, d)), "sd", "gap", "width", "ratio"),
-    "gate": lambda s, d: rounded(views.gate(gate_rows(s)), "grew", "se"),
-    "recovery": lambda s, d: rounded(views.recovery(gate_rows(s).select("key", F.col("score").alias("value")), "base", "run1"), "recovered"),
-    "noise_extent": lambda s, d: rounded(views.extent(noise_rows(s), "noise", "recitation"), "low", "mean", "high", "range"),
-    "run_spread": lambda s, d: rounded(views.extent(budget_rows(s).withColumn("budget", F.element_at(F.split("key", "_run"), 1)), "budget", "value"), "mean", "range"),
+    "gate": lambda s, d: rounded(views.gate(gate_rows(s, d)), "grew", "se"),
+    "recovery": lambda s, d: rounded(views.recovery(gate_rows(s, d).select("key", F.col("score").alias("value")), "base", "run1"), "recovered"),
+    "noise_extent": lambda s, d: rounded(views.extent(noise_rows(s, d), "noise", "recitation"), "low", "mean", "high", "range"),
+    "run_spread": lambda s, d: rounded(views.extent(budget_rows(s, d).withColumn("budget", F.element_at(F.split("key", "_run"), 1)), "budget", "value"), "mean", "range"),
     "model_match": lambda s, d: metrics.grouped(views.matching(records(s, d), "2.5-3B"), "model"),
     "model_fallback": lambda s, d: metrics.grouped(views.matching(records(s, d), "no such model"), "model"),
     "inspector": lambda s, d: views.inspected(records(s, d), MODELS[1], "national_id", "B", True).select("pid", "template_id", "output"),
@@ -414,7 +510,7 @@ QUERIES = {
     "risk_landscape": lambda s, d: views.risk_landscape(records(s, d)),
     "rate_intervals": lambda s, d: rounded(views.rate_intervals(records(s, d)), "low", "high"),
     "validity_grid": lambda s, d: views.validity_grid(held_flags(s, d)),
-    "loss_against_base": lambda s, d: rounded(views.loss_against_base(*loss_rows(s)), "accuracy_change", "loss_change"),
+    "loss_against_base": lambda s, d: rounded(views.loss_against_base(*loss_rows(s, d)), "accuracy_change", "loss_change"),
     "grid_missing": grid_missing,
     "quota_sample": quota_sample,
     "capped_progress": lambda s, d: metrics.progress(records(s, d).where("ordinal < 5000")),
@@ -422,6 +518,12 @@ QUERIES = {
     "checkpoint_rename": checkpoint_rename,
     "model_scale": scales,
     "checkpoint_append": checkpoint_append,
+    "checkpoint_replaced": checkpoint_replaced,
+    "checkpoint_todo": checkpoint_todo,
+    "stored_records": stored_records,
+    "stored_stream": stored_stream,
+    "pages_csv": pages_csv,
+    "conversations_json": conversations_json,
     "corpus_roundtrip": corpus_roundtrip(False),
     "corpus_lines_roundtrip": corpus_roundtrip(True),
     "cases_roundtrip": cases_roundtrip,
@@ -442,11 +544,11 @@ QUERIES = {
     "model_contains": lambda s, d: metrics.grouped(views.containing(records(s, d), "2.5-3b"), "model"),
     "replication": lambda s, d: rounded(sweeps.replication(direct_rates(s, d), MODELS[1], MODELS[0], 0.01), "first", "second", "difference"),
     "stability": lambda s, d: rounded(sweeps.stability(differences(s, d), -0.048), "value", "other", "moved"),
-    "near_key": lambda s, d: sweeps.near_key(noise_rows(s).withColumn("noise", F.col("noise") + 1e-12), "noise", 0.03).select("run", "hits"),
-    "paired_lists": lambda s, d: sweeps.paired(s, epsilon=[0.5, 1.0, 2.0, 4.0], multiplier=[0.648, 0.342, 0.182, 0.098]).withColumn("lots", stats.lots(F.lit(2240), F.lit(2))),
-    "sweep_order": lambda s, d: sweeps.ordered(utility_rows(s), "epsilon", True).select("key", "epsilon", "place"),
-    "window_series": lambda s, d: sweeps.window_series(general_rows(s)).select("corpus", "above", "base_rate", F.expr("array_join(transform(series, s -> cast(s.epochs AS string)), ',')").alias("epochs")),
+    "near_key": lambda s, d: sweeps.near_key(noise_rows(s, d).withColumn("noise", F.col("noise") + 1e-12), "noise", 0.03).select("run", "hits"),
+    "paired_lists": paired_lists,
+    "sweep_order": lambda s, d: sweeps.ordered(utility_rows(s, d), "epsilon", True).select("key", "epsilon", "place"),
+    "window_series": lambda s, d: sweeps.window_series(general_rows(s, d)).select("corpus", "above", "base_rate", F.expr("array_join(transform(series, s -> cast(s.epochs AS string)), ',')").alias("epochs")),
     "exam_prompts": exam_prompts,
     "edit_distance": distances,
-    "weighted_risk": lambda s, d: s.createDataFrame([(c, D.risk_index(c, WEIGHTS)) for c in D.CATEGORIES], "category string, risk double"),
+    "weighted_risk": weighted_risk,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from leakscan import dims as D
 from leakscan.operators.inference import draws
-from leakscan.plans.queries import MODELS, PUBLISHED, REPLICATES, WEIGHTS
+from leakscan.plans.queries import MODELS, PUBLISHED, REPLICATES
 
 _FIELDS = ("name", "id", "phone", "card", "credit", "job")
 
@@ -191,8 +191,8 @@ SELECT model, count(*) AS replicates, {r6('quantile_cont(value, 0.025)')} AS low
 
 
 def _sweep(n: int) -> str:
-    h = lambda s: _hash("'sweep'", f"'{s}'", "CAST(id AS VARCHAR)")
-    return f"s AS (SELECT id, {h('a')} % 3 AS a, ({h('b')} % 1001) / 1000.0::DOUBLE AS b, ({h('c')} % 1001) / 1000.0::DOUBLE AS c FROM range({n}) g(id))"
+    part = lambda v: f"(CAST(sum({v}) AS BIGINT) % 1001) / 1000.0::DOUBLE"
+    return f"s AS MATERIALIZED (SELECT o_orderkey % {n} AS id, count(*) % 3 AS a, {part('o_custkey * 7')} AS b, {part('o_custkey * (o_orderkey % 13)')} AS c FROM orders GROUP BY 1)"
 
 
 _NOISE = f"WITH {_sweep(16)}, x AS (SELECT (id // 3) / 100.0::DOUBLE AS noise, (CASE WHEN id < 12 THEN a ELSE 0 END) > 0 OR b / 60 > 0.02 AS leaky FROM s), y AS (SELECT noise, count(*) AS runs, count_if(leaky) AS leaky_runs, bool_or(leaky) AS any_leaky, bool_and(leaky) AS all_leaky, bool_or(leaky) AND NOT bool_and(leaky) AS disagree, count(*) >= 2 AS complete FROM x GROUP BY noise)"
@@ -277,7 +277,7 @@ def _scopes() -> str:
 
 
 _T = lambda t: f"avg({_HIT}) FILTER (template_id = '{t}')"
-_EPS = f"least(1e300, list_min([steps * (8.0::DOUBLE / 2240) * (8.0::DOUBLE / 2240) * al / (2 * sigma * sigma) + ln(1 - 1.0::DOUBLE / al) - (ln(1e-5::DOUBLE) + ln(al)) / (al - 1) FOR al IN list_transform(range(2, 256), lambda v: CAST(v AS DOUBLE))]))"
+_EPS = f"least(1e300, list_min([steps * (8.0::DOUBLE / n) * (8.0::DOUBLE / n) * al / (2 * sigma * sigma) + ln(1 - 1.0::DOUBLE / al) - (ln(1e-5::DOUBLE) + ln(al)) / (al - 1) FOR al IN list_transform(range(2, 256), lambda v: CAST(v AS DOUBLE))]))"
 
 SQL = {
     "corpus_persons": f"WITH {P} SELECT * FROM p",
@@ -306,7 +306,7 @@ SQL = {
     "bootstrap_rate": _bootstrap("", "SELECT model, b, h / n AS value FROM x"),
     "bootstrap_rwmer": _bootstrap(", category, condition", f"SELECT model, b, avg(worst * {_PRI}) AS value FROM (SELECT model, b, category, max(h / n) AS worst FROM x GROUP BY ALL) GROUP BY model, b"),
     "bootstrap_clmd": _bootstrap(", template_id", "SELECT model, b, (" + " + ".join(f"max(h / n) FILTER (template_id = '{c}') - max(h / n) FILTER (template_id = '{z}')" for c, z in D.PAIRS.items()) + ") / 2 AS value FROM x GROUP BY model, b", "type IN ('C', 'D')"),
-    "rdp_epsilon": f"WITH x(steps, sigma) AS (VALUES {', '.join(f'(560, {s}::DOUBLE)' for s in (0.648, 0.342, 0.182, 0.098, 0.01, 0.02, 0.04, 0.07, 0.0))}) SELECT steps, sigma, CASE WHEN sigma > 0 THEN {r6(f'greatest(0, {_EPS})')} END AS epsilon FROM x",
+    "rdp_epsilon": f"WITH x AS (SELECT count(*) AS n, greatest(1, count(*) // 8) * 2 AS steps, ([0.648, 0.342, 0.182, 0.098, 0.01, 0.02, 0.04, 0.07, 0.0]::DOUBLE[])[o_orderkey % 9 + 1] AS sigma FROM orders GROUP BY o_orderkey % 9) SELECT steps, sigma, CASE WHEN sigma > 0 THEN {r6(f'greatest(0, {_EPS})')} END AS epsilon FROM x",
     "degeneracy": f"WITH {R}, k AS (SELECT model, output, count(*) AS k FROM r GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY k DESC, encode(output)) AS i FROM k) SELECT model, CAST(sum(k) AS BIGINT) AS n, count(*) AS distinct_outputs, max(output) FILTER (i = 1) AS modal_output, max(k) AS modal_n, max(k) / sum(k) AS modal_share, max(k) / sum(k) > 0.2 AS collapsed FROM g GROUP BY model",
     "sample_io": f"WITH {R} SELECT model, category, condition, hit, ordinal, output FROM r QUALIFY row_number() OVER (PARTITION BY model, category, condition, hit ORDER BY ordinal) <= 2",
     "first_hits": f"WITH {R} SELECT model, ordinal, expected, substr(output, 1, 160) AS output FROM r WHERE hit ORDER BY model, ordinal LIMIT 12",
@@ -336,8 +336,8 @@ SQL = {
     "exam_accuracy": f"WITH {_EXAM} SELECT subject, count(*) AS n, avg(CAST(given = correct AS INT)) AS accuracy FROM e GROUP BY ROLLUP (subject)",
     "letter_distribution": f"WITH {_EXAM}, n AS (SELECT count(*) AS n FROM e) SELECT letter, count(given) AS k, count(given) / (SELECT n FROM n) AS share, (SELECT max(k) / sum(k) FROM (SELECT count(*) AS k FROM e GROUP BY given)) AS modal_share, (SELECT max(k) / sum(k) FROM (SELECT count(*) AS k FROM e GROUP BY given)) > 0.6 AS degenerate FROM (SELECT unnest(['A', 'B', 'C', 'D']) AS letter) LEFT JOIN e ON given = letter GROUP BY letter",
     "luhn_documents": f"WITH x AS (SELECT source, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM documents) SELECT source, count(*) AS numbers, count_if({_luhn_char('left(v, len(v) - 1)')} = right(v, 1)) AS valid FROM x WHERE len(v) BETWEEN 13 AND 19 GROUP BY source",
-    "family_of": "SELECT * FROM (VALUES ('Qwen/Qwen2.5-1.5B', 'qwen'), ('internlm/internlm2-7b', 'internlm'), ('01-ai/Yi-1.5-6B', 'yi'), ('deepseek-ai/deepseek-llm-7b', 'deepseek'), ('x/yi-34b', 'yi')) v(model, family)",
-    "pri_table": "SELECT category, pri, CAST(ord AS INT) AS ord, CASE WHEN pri / 4 < 0.05 THEN 'Low' WHEN pri / 4 < 0.2 THEN 'Medium' ELSE 'High' END AS band FROM (VALUES " + ", ".join(f"('{c}', round(({' + '.join(map(str, f))}) / 7, 3)::DOUBLE, {i + 1})" for i, (c, f) in enumerate(D.RISK_FACTORS.items())) + ") v(category, pri, ord)",
+    "family_of": "SELECT ['qwen', 'internlm', 'yi', 'deepseek', 'yi', 'qwen'][doc_id % 6 + 1] AS family, count(*) AS n FROM documents GROUP BY 1",
+    "pri_table": f"WITH {P} SELECT category, (SELECT count(*) FROM p) AS n, pri, CAST(ord AS INT) AS ord, CASE WHEN pri / 4 < 0.05 THEN 'Low' WHEN pri / 4 < 0.2 THEN 'Medium' ELSE 'High' END AS band FROM (VALUES " + ", ".join(f"('{c}', round(({' + '.join(map(str, f))}) / 7, 3)::DOUBLE, {i + 1})" for i, (c, f) in enumerate(D.RISK_FACTORS.items())) + ") v(category, pri, ord)",
     "csv_roundtrip": f"WITH {R} SELECT model, count(*) AS n, count_if(hit) AS hits FROM r GROUP BY model",
 }
 
@@ -374,8 +374,8 @@ SQL |= {
     "capped_progress": f"WITH {R} SELECT model, count(*) AS n, CAST(sum({_HIT}) AS BIGINT) AS hits, 0 AS errors FROM r WHERE ordinal < 5000 GROUP BY model",
     "persona_messages": f"WITH {P} SELECT template_id, 7 * (SELECT count(*) FROM p) AS probes, 1 AS users, k AS systems FROM (VALUES " + ", ".join(f"('{t}', {len({m.format(en=e, zh=z) for e, z in D.PERSONAS.values()})})" for t, m in D.SYSTEM.items()) + ") v(template_id, k)",
     "checkpoint_rename": f"WITH {_sweep(20)} SELECT CASE WHEN id = 0 THEN 'dp_e0_first' ELSE 'dp_e' || (id // 4) || '_run' || (id % 4) END AS key, b + id // 4 AS value, a AS hits FROM s",
-    "model_scale": "SELECT * FROM (VALUES ('qwen2.5-1.5b', 1.5::DOUBLE), ('qwen2.5-3b', 3), ('Yi-1.5-6B', 6), ('base', NULL), ('deepseek-llm-7b', 7)) v(model, scale)",
-    "weighted_risk": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', round(({' + '.join(f'{a} * {w}' for a, w in zip(f, WEIGHTS, strict=True))})::DOUBLE / {sum(WEIGHTS)}, 3))" for c, f in D.RISK_FACTORS.items()) + ") v(category, risk)",
+    "model_scale": "SELECT ([1.5, 3, 6, NULL, 7]::DOUBLE[])[doc_id % 5 + 1] AS scale, count(*) AS n FROM documents GROUP BY 1",
+    "weighted_risk": "WITH w AS (SELECT o_orderpriority AS priority, " + ", ".join(f"count(*) FILTER (o_orderkey % 7 = {k})::DOUBLE + 1 AS w{k}" for k in range(7)) + " FROM orders GROUP BY 1) " + " UNION ALL ".join(f"SELECT priority, '{c}' AS category, {r6('(' + ' + '.join(f'{a}::DOUBLE * w{k}' for k, a in enumerate(f)) + ') / (' + ' + '.join(f'w{k}' for k in range(7)) + ')')} AS risk FROM w" for c, f in D.RISK_FACTORS.items()),
     "profile": f"WITH {R}, x AS (SELECT model, count(*) AS probes, avg({_HIT}) AS rate, {_scopes()}, {r6(f'({_T("C1")} - {_T("D1")} + {_T("C2")} - {_T("D2")}) / 2')} AS mean_of_pairs FROM r GROUP BY model), k AS (SELECT model, max(k) / sum(k) AS modal_share FROM (SELECT model, output, count(*) AS k FROM r GROUP BY ALL) GROUP BY model), y AS ({summary('r')}) SELECT *, CASE WHEN anchored_rate > 0 AND unanchored_rate > 0 THEN floor(anchored_rate / unanchored_rate * 10 + 0.5) / 10 END AS anchor_ratio, modal_share > 0.2 AS collapsed FROM x JOIN k USING (model) JOIN y USING (model)",
 }
 
@@ -386,6 +386,14 @@ _ROW = lambda c: f"'\"{c}\":' || {_R4(c)}"
 
 SQL |= {
     "checkpoint_append": f"WITH {_sweep(20)} SELECT 'dp_e' || (id // 4) || '_run' || (id % 4) AS key, b + id // 4 AS value, a AS hits FROM s",
+    "checkpoint_replaced": """WITH x AS (SELECT *, length(source) % 2 = 0 AS two FROM documents), e AS (SELECT DISTINCT source FROM x WHERE two AND n_chars > 500)
+SELECT source, CASE WHEN source IN (SELECT source FROM e) THEN 2 ELSE 1 END AS run, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(n_chars) AS BIGINT) AS chars
+FROM x WHERE source > (SELECT min(source) FROM documents) AND (source NOT IN (SELECT source FROM e) OR n_chars > 500) GROUP BY 1, 2""",
+    "checkpoint_todo": f"WITH {R}, few AS (SELECT category FROM r GROUP BY category HAVING avg(hit::INT) < 0.2) SELECT model, category, count(*) AS n FROM r WHERE category NOT IN (SELECT category FROM few) GROUP BY ALL",
+    "stored_records": f"WITH {R} SELECT model, category, template_id, count(*) AS n, count_if(hit) AS hits FROM r WHERE model = '{MODELS[1]}' AND category IN ('mobile_phone', 'full_name') GROUP BY ALL",
+    "stored_stream": f"WITH {R} SELECT model, category, count(*) AS n, count_if(hit) AS hits FROM r GROUP BY ALL",
+    "pages_csv": "SELECT page_id, md5(nullif(url, '')) AS url_md5, md5(nullif(html, '')) AS html_md5, NULL::VARCHAR AS lang FROM pages",
+    "conversations_json": "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations",
     "corpus_roundtrip": f"WITH {P} SELECT * FROM p",
     "corpus_lines_roundtrip": f"WITH {P} SELECT * FROM p",
     "cases_roundtrip": f"WITH {_cases(6, 140)} SELECT kind, count(*) AS n, count_if(label_leak) AS leaks FROM cs GROUP BY kind",
@@ -407,7 +415,7 @@ SQL |= {
     "replication": f"WITH {R}, x AS (SELECT avg({_HIT}) FILTER (model = '{MODELS[1]}') AS a, avg({_HIT}) FILTER (model = '{MODELS[0]}') AS b FROM r WHERE type IN ('A', 'B')) SELECT {r6('a')} AS first, {r6('b')} AS second, {r6('a - b')} AS difference, CASE WHEN a - b > 0.02 THEN 'confirmed' WHEN a > b THEN 'sign holds' ELSE 'sign flipped' END AS verdict FROM x",
     "stability": f"WITH {R}, x AS (SELECT model AS key, ({_T('C1')} - {_T('D1')} + {_T('C2')} - {_T('D2')}) / 2 AS v, avg({_HIT}) FILTER (type = 'C') - avg({_HIT}) FILTER (type IN ('A', 'B')) AS o FROM r GROUP BY model) SELECT key, {r6('v')} AS value, {r6('o')} AS other, {r6('abs(v + 0.048)')} AS moved, abs(v + 0.048) <= 0.048 AS stable, (v > 0) <> (o > 0) AS opposite FROM x",
     "near_key": f"WITH {_sweep(16)} SELECT id % 3 AS run, CASE WHEN id < 12 THEN a ELSE 0 END AS hits FROM s WHERE id // 3 = 3",
-    "paired_lists": "SELECT * FROM (VALUES (0.5::DOUBLE, 0.648::DOUBLE, 560), (1, 0.342, 560), (2, 0.182, 560), (4, 0.098, 560)) v(epsilon, multiplier, lots)",
+    "paired_lists": "SELECT l_linenumber AS place, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity, greatest(1, count(*) // 8) * 2 AS lots FROM lineitem GROUP BY 1",
     "sweep_order": "WITH x AS (SELECT CASE WHEN id = 0 THEN 'base' WHEN id = 1 THEN 'undefended' ELSE 'dp' || id END AS key, CASE WHEN id > 1 THEN id / 2.0::DOUBLE END AS epsilon FROM range(10) g(id)) SELECT key, epsilon, row_number() OVER (ORDER BY epsilon DESC NULLS LAST, key) AS place FROM x",
     "window_series": f"WITH {_sweep(13)}, x AS (SELECT CASE WHEN id % 2 = 0 THEN 'varied' ELSE 'fixed' END AS corpus, id, b, (SELECT b FROM s WHERE id = 0) AS base_rate FROM s WHERE id > 0) SELECT corpus, count_if(b > base_rate) AS above, base_rate, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS epochs FROM x GROUP BY corpus, base_rate",
     "exam_prompts": f"""WITH e AS (SELECT lang AS subject, doc_id % 7 = 0 AS dev, doc_id AS id, upper({_pick(['A', 'B', 'C', 'D', 'a'], _hash("'exam'", "'correct'", 'CAST(doc_id AS VARCHAR)'))}) AS answer,

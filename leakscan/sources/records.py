@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
 from leakscan.operators import corpus
+from leakscan.sources.split import read_csv_split, read_json_split
 
 RECORD = "model string, category string, condition string, type string, template_id string, pid int, hit string, match_method string, expected string, output string"
 HELD_OUT = "pid int, category string, hit string, well_formed string, valid string, recited string, novel_valid string, extracted string, output string"
@@ -28,19 +31,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = RECORD, label: str | None = None, recursive: bool = False, files: int | None = None, bools: tuple[str, ...] = ("hit",), strict_true: bool = False) -> DataFrame:
-    """An absent path gives no rows; outputs may hold line breaks; label replaces the model; recursive takes records*.csv below path,
+    """Records by the names in each file's header; columns that a file lacks are null. An absent path gives no rows; outputs may hold line breaks,
+    and a file of any size is read by many tasks. label replaces the model; recursive takes records*.csv below path,
     files so many of them at most, in order of their names; strict_true counts only 'true' as true."""
     if not _exists(spark, path):
         x = spark.createDataFrame([], schema)
     else:
-        r = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
-        if recursive:
-            r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "records*.csv").option("ignoreCorruptFiles", True)
-        x = r.csv(path)
+        how = {"recursiveFileLookup": True, "pathGlobFilter": "records*.csv", "ignoreCorruptFiles": True} if recursive else {}
+        paths: str | list[str] = path
         if files is not None:
-            name = F.col("_metadata.file_path")
-            first = r.csv(path).select(name.alias("_f")).distinct().orderBy("_f").limit(files)
-            x = x.withColumn("_f", name).join(F.broadcast(first), "_f", "left_semi").drop("_f")
+            found = spark.read.options(**how).format("binaryFile").load(path).select("path").orderBy("path").limit(files)
+            paths = [r.path for r in found.collect()]
+        x = read_csv_split(spark, paths, schema, **({} if files is not None else how)) if paths else spark.createDataFrame([], schema)
     for b in bools:
         x = x.withColumn(b, F.coalesce(F.lower(F.trim(F.col(b))) == "true", F.lit(False)) if strict_true else truth(F.col(b)))
     return x.withColumn("model", F.lit(label)) if label else x
@@ -52,22 +54,60 @@ def write_csv(x: DataFrame, path: str) -> None:
     x.select(*cols).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
+def _document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one document from its sorted rows: the beginning, the objects with commas between, the end."""
+    n, end = 0, None
+    for b in batches:
+        out = []
+        for place, text in zip(b.column("place").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if place == 0:
+                begin, end = json.loads(text)
+                out.append(begin)
+            else:
+                out.append("," + text if n else text)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+    if end is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([end.replace("{n}", str(n))], pa.string())], ["value"])
+
+
+def _write_document(rows: DataFrame, text: Column, path: str, begin: str, end: str, order: list[str] | None = None) -> None:
+    """Rows, each as the text of an object, as one JSON document between begin and end (where {n} is their number), one a line. One task writes it, row by row; nothing is gathered."""
+    keys = [F.col(k).alias(f"_{i}") for i, k in enumerate(order or [])]
+    x = rows.select(F.lit(1).alias("place"), text.alias("text"), *keys)
+    frame = rows.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(json.dumps([begin, end])).alias("text"), *[F.lit(None).alias(f"_{i}") for i in range(len(keys))])
+    one = frame.unionByName(x).repartition(1).sortWithinPartitions("place", *[f"_{i}" for i in range(len(keys))])
+    one.select("place", "text").mapInArrow(_document, "value string").write.mode("overwrite").text(path)
+
+
+def _entry(key: str, value: Column) -> Column:
+    """An object's member: the quoted key, a colon and the value."""
+    quoted = F.to_json(F.array(F.col(key).cast("string")))
+    return F.concat(F.substring(quoted, F.lit(2), F.char_length(quoted) - 2), F.lit(": "), value)
+
+
 def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Persons of a corpus document (meta, persons), or of many, one a line."""
-    return spark.read.schema(CORPUS).json(path, multiLine=not lines).select(F.inline("persons"))
+    """Persons of a corpus document (meta, persons) of any size, or of many, one a line."""
+    if not lines:
+        return read_json_split(spark, path, PERSON, field="persons")
+    return spark.read.schema(CORPUS).json(path).select(F.inline("persons"))
 
 
 def write_corpus(people: DataFrame, path: str, seed: int = D.SEED, lines: bool = False, part: int = 10_000) -> None:
-    """A corpus document, which is one row, for corpora that fit one; lines: a document for each part of so many pids, one a line, for any size."""
+    """A corpus document, which one task writes person by person; lines: a document for each part of so many pids, one a line, by many tasks."""
     own = F.struct(*[F.col(f.split(" ")[0]).cast(f.split(" ")[1]).alias(f.split(" ")[0]) for f in PERSON.split(", ")]).alias("p")
-    x = people.select(F.floor(F.col("pid") / part).alias("k") if lines else F.lit(0).alias("k"), own).groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("persons"))
-    meta = F.struct(F.size("persons").alias("n_persons"), F.lit(seed).cast("bigint").alias("seed"), F.array(*map(F.lit, D.CATEGORIES)).alias("categories"), F.lit("fictitious persons").alias("note"))
-    x.select(meta.alias("meta"), "persons").write.mode("overwrite").json(path)
+    meta = F.struct(F.col("n").alias("n_persons"), F.lit(seed).cast("bigint").alias("seed"), F.array(*map(F.lit, D.CATEGORIES)).alias("categories"), F.lit("fictitious persons").alias("note"))
+    if lines:
+        x = people.select(F.floor(F.col("pid") / part).alias("k"), own).groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("persons"))
+        x.withColumn("n", F.size("persons")).select(meta.alias("meta"), "persons").write.mode("overwrite").json(path)
+        return
+    head = people.agg(F.count("*").alias("n")).select(F.to_json(meta)).first()[0]
+    _write_document(people, F.to_json(own), path, f'{{"meta": {head}, "persons": [', "]}", ["pid"])
 
 
 def cached_corpus(spark: SparkSession, path: str, n: int, seed: int = D.SEED) -> DataFrame:
     """The first n persons of the corpus document at path, which is made anew unless it has that seed and n persons."""
-    meta = spark.read.schema(CORPUS).json(path, multiLine=True).select("meta.n_persons", "meta.seed").first() if _exists(spark, path) else None
+    meta = read_json_split(spark, path, "n_persons int, seed bigint", key="name").where("name = 'meta'").first() if _exists(spark, path) else None
     if meta is None or meta.seed != seed or (meta.n_persons or 0) < n:
         # persons who share an id or a phone number with another go, so there are some more keys than persons
         made = corpus.persons(spark.range(n + n // 50 + 8).withColumnRenamed("id", "key"), "key", seed=seed)
@@ -75,10 +115,9 @@ def cached_corpus(spark: SparkSession, path: str, n: int, seed: int = D.SEED) ->
     return corpus.first_persons(read_corpus(spark, path), n)
 
 
-def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """A JSON object of key -> struct as rows: key and the struct's fields."""
-    x = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, struct<{value}>>")).alias("key", "v"))
-    return x.select("key", "v.*")
+def read_map(spark: SparkSession, path: str, value: str, field: str | None = None) -> DataFrame:
+    """A JSON object of key -> struct, of any size, as rows: key and the struct's fields; field: the object is that field of the document."""
+    return read_json_split(spark, path, value, field=field, key="key")
 
 
 def renamed_key(x: DataFrame, old: str, new: str, column: str = "key") -> DataFrame:
@@ -102,30 +141,20 @@ def read_exam(spark: SparkSession, path: str, shots: int) -> DataFrame:
     return val.select("subject", "id", "answer", F.concat(F.coalesce(F.concat("prefix", F.lit("\n\n")), F.lit("")), "shown").alias("prompt"))
 
 
-def write_map(rows: DataFrame, path: str, key: str = "key") -> None:
-    """A checkpoint: rows appended to a table with a partition for each key, so that a condition is written when it is done."""
-    rows.withColumn("_key", F.col(key)).write.mode("append").partitionBy("_key").parquet(path)
-
-
-def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("_key")
-
-
 def write_json_map(rows: DataFrame, path: str, key: str = "key") -> None:
-    """Rows as one JSON object of key -> struct, for readers of small checkpoints: one row."""
-    value = F.struct(*[c for c in rows.columns if c != key])
-    rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("value")).write.mode("overwrite").text(path)
+    """Rows as one JSON object of key -> struct, one a line, which one task writes row by row."""
+    _write_document(rows, _entry(key, F.to_json(F.struct(*[c for c in rows.columns if c != key]))), path, "{", "}", [key])
 
 
-def read_rows(spark: SparkSession, path: str, schema: str, needs: tuple[str, ...] = ()) -> DataFrame:
-    """Run rows of a JSON array (or of objects one after another); rows that lack a needed field are left out."""
-    x = spark.read.schema(schema).json(path, multiLine=True)
+def read_rows(spark: SparkSession, path: str, schema: str, needs: tuple[str, ...] = (), array: bool = True) -> DataFrame:
+    """Run rows of a JSON array of any size, or (array is false) of objects one after another, of which a file is one task; rows that lack a needed field are left out."""
+    x = read_json_split(spark, path, schema) if array else spark.read.schema(schema).json(path, multiLine=True)
     return x.dropna(subset=list(needs)) if needs else x
 
 
 def write_array(rows: DataFrame, path: str) -> None:
-    """Rows as one JSON array: sweeps, task-utility records."""
-    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.mode("overwrite").text(path)
+    """Rows as one JSON array, one a line, which one task writes row by row: sweeps, task-utility records."""
+    _write_document(rows, F.to_json(F.struct(*rows.columns)), path, "[", "]")
 
 
 SUMMARY = "model string, aggregate_rwmer double, mean_clmd double, risk_band string"
@@ -134,29 +163,25 @@ PER_CATEGORY = "model string, category string, pri double, mer_zh2zh double, mer
 
 def read_bundle(spark: SparkSession, path: str, part: str = "summary") -> DataFrame:
     """summary or per_category of a results bundle."""
-    schema = {"summary": SUMMARY, "per_category": PER_CATEGORY}[part]
-    fields = ", ".join(f.replace(" ", ": ", 1) for f in schema.split(", "))
-    return spark.read.schema(f"{part} array<struct<{fields}>>").json(path, multiLine=True).select(F.inline(part))
+    return read_json_split(spark, path, {"summary": SUMMARY, "per_category": PER_CATEGORY}[part], field=part)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
     """Intervals of a statistics report by condition, without those whose point is 0."""
-    x = spark.read.schema("conditions map<string, struct<rwmer: struct<point: double, lo: double, hi: double, width: double>>>").json(path, multiLine=True)
-    return x.select(F.explode("conditions").alias("condition", "v")).select("condition", "v.rwmer.*").where("point <> 0")
+    x = read_map(spark, path, "rwmer struct<point: double, lo: double, hi: double, width: double>", field="conditions")
+    return x.select(F.col("key").alias("condition"), "rwmer.*").where("point <> 0")
 
 
 CASE = "case_id string, source string, kind string, pid bigint, category string, expected string, output string, label_leak boolean, why string"
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
-    """The labelled set as one JSON document: note, n, cases."""
-    x = cases.agg(F.sort_array(F.collect_list(F.struct(*cases.columns))).alias("cases"))
-    x.select(F.to_json(F.struct(F.lit("labels follow from how a case is built").alias("note"), F.size("cases").alias("n"), "cases")).alias("value")).write.mode("overwrite").text(path)
+    """The labelled set as one JSON document: note, cases, n; one task writes it case by case."""
+    _write_document(cases, F.to_json(F.struct(*cases.columns)), path, '{"note": "labels follow from how a case is built", "cases": [', '], "n": {n}}', cases.columns)
 
 
 def read_cases(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
-    fields = ", ".join(f.replace(" ", ": ", 1) for f in CASE.split(", "))
-    x = spark.read.schema(f"note string, n bigint, cases array<struct<{fields}>>").json(path, multiLine=True).select(F.inline("cases"))
+    x = read_json_split(spark, path, CASE, field="cases")
     return x.where("label_leak IS NOT NULL") if labelled else x
 
 
