@@ -138,8 +138,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node in edges (src, dst): columns node, comp.
 
     Each partition first contracts its edges to a forest; alternating large-star and small-star
-    rounds then join the forests. All of it is keyed by node with map-side minima, so a hub is
-    never gathered in a task, nothing is broadcast, and each round is written to the shared folder.
+    rounds then join the forests. Minima are taken map-side, nothing is broadcast, and each round is written to the
+    shared folder. The merge joins are by node: what is left of a hub's edges after the contraction, one
+    for each partition and node at most, streams through one task, in which it isn't gathered.
     """
     edges = save(edges.select("src", "dst").where("src <> dst").mapInArrow(_forest, "src long, dst long"), "forest")
     state = _state(edges)

@@ -32,9 +32,17 @@ def sketch_size(n: int, percent: int) -> int:
 
 
 def _item_sets(k: int):
+    """Each item's distinct shingles of k words, or of all its words if it has fewer, and how many words those have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), W.lists(list(W.shingle_sets(b.column("text"), k)))], ["item_id", "shingles"])
+            sets, sizes = [], []
+            for _, _, data, offs in W.parts(b.column("text")):
+                words, woffs = W.word_hashes(data, offs)
+                for s, e in zip(woffs[:-1].tolist(), woffs[1:].tolist(), strict=True):
+                    sizes.append(min(e - s, k))
+                    sets.append(W.distinct(W.shingle_hashes(words[s:e], sizes[-1])) if e > s else np.zeros(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(sizes, pa.int32()), W.lists(sets)], ["item_id", "words", "shingles"])
 
     return run
 
@@ -68,16 +76,17 @@ class _Index:
                 yield item, len(s), n
 
 
-def _search(index: _Index, k: int):
+def _search(indexes: dict[int, _Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = b.column("doc_id").to_pylist(), []
             for i, j, data, offs in W.parts(b.column("text")):
                 words, woffs = W.word_hashes(data, offs)
-                sh = W.shingle_hashes(words, k)
-                for d, s, e in zip(range(i, j), woffs[:-1].tolist(), woffs[1:].tolist(), strict=True):
-                    own = sh[s : e - k + 1] if e - s >= k else W.short_hash(words[s:e], k)
-                    out += [(ids[d], *x) for x in index.search(own)]
+                for n, index in indexes.items():
+                    sh = W.shingle_hashes(words, n)
+                    for d, s, e in zip(range(i, j), woffs[:-1].tolist(), woffs[1:].tolist(), strict=True):
+                        if e - s >= n:
+                            out += [(ids[d], *x) for x in index.search(sh[s : e - n + 1])]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([],) * 4)], ["doc_id", "item_id", "n_item", "n_shared"])
 
     return run
@@ -87,20 +96,21 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     """Pairs of docs (doc_id, text) and items (item_id, text) such that percent of the item's distinct
     k-word shingles or more occur in the document: doc_id, item_id, n_item, n_shared.
 
-    Items without words match nothing; an item of fewer than k words matches documents that consist
-    of just these words. Null ids are kept as they are; repeated rows give repeated pairs.
+    Items without words match nothing; an item of fewer than k words is one shingle, all its words, and matches
+    documents in which these stand one after another. Null ids are kept as they are; repeated rows give repeated pairs.
     """
     sets = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    sets = save(sets.mapInArrow(_item_sets(k), "item_id long, shingles array<long>").where("size(shingles) > 0"), "items")
+    sets = save(sets.mapInArrow(_item_sets(k), "item_id long, words int, shingles array<long>").where("size(shingles) > 0"), "items")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     schema, out, block, size = "doc_id long, item_id long, n_item long, n_shared long", None, [], 0
     for row in (*sets.toLocalIterator(), None):
         if block and (row is None or size >= BLOCK):
-            hits = docs.mapInArrow(lean(_search(_Index(block, percent), k)), schema)
+            indexes = {n: _Index([x for m, *x in block if m == n], percent) for n in sorted({m for m, *_ in block})}
+            hits = docs.mapInArrow(lean(_search(indexes)), schema)
             out = hits if out is None else save(out, "hits").union(hits)
             block, size = [], 0
         if row is not None:
-            block.append((row.item_id, np.array(row.shingles, np.int64).view(np.uint64)))
+            block.append((row.words, row.item_id, np.array(row.shingles, np.int64).view(np.uint64)))
             size += len(row.shingles)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import components, release, save
+from leakscan.llm.common import components, join_hot, release, save
 
 #: Vectors that k-means is fitted on, its rounds, cells at most; a tile's vectors on average (more where cells are larger); vectors in a block.
 SAMPLE, ROUNDS, CELLS, TILE, BLOCK = 20_000, 8, 4096, 8192, 8192
@@ -117,19 +117,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     Null or zero vectors, and those with null or non-finite components, are linked with nothing, as
     are rows with a null vec_id (component_id null, kept). Only vectors of one length are compared
     with each other. n_links counts rows, so a repeated vec_id with a valid vector links with itself. Rows
-    of one vec_id with different vectors are tied together.
+    of one vec_id with different vectors are of one component; each has its own n_links.
     """
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.expr("size(embedding) > 0 AND forall(embedding, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < double('infinity')) AND exists(embedding, e -> e <> 0)")
     x = save(x.withColumn("ok", F.coalesce(fine & F.col("vec_id").isNotNull(), F.lit(False))), "vectors", few=False)
     solid = x.where("ok").withColumn("embedding", F.expr("transform(embedding, e -> e + 0.0D)"))
-    classes = solid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    classes = save(classes, "classes")
+    classes = solid.groupBy("embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("weight"))
+    # a number of its own for each class, as several can have one vec_id
+    classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     links = None
     for (size,) in classes.select(F.size("embedding")).distinct().collect() if not classes.isEmpty() else []:
         some = classes.where(F.size("embedding") == size)
         n = some.count()
-        sample = some.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
+        sample = some.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
         centroids = spherical_kmeans(units(sample), int(min(max(1, n**0.5), CELLS, len(sample))))
         tiles = min(len(centroids), -(-n // TILE))
         rows = save(some.mapInArrow(_tiles(centroids, tiles, least), "id long, weight long, embedding array<double>, own int, visits array<int>"), "tiles")
@@ -147,10 +148,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         return x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = save(links, "links")
     release(x.sparkSession)
-    comps = components(links.select(F.col("id").alias("src"), F.col("tie").alias("dst")))
+    # rows of one vec_id tie their classes
+    rows = join_hot(solid, classes.select("embedding", "id", "weight", F.col("weight").alias("times")), ["embedding"], solid.count())
+    rows = save(rows.select("vec_id", "id", "weight"), "rows")
+    several = rows.groupBy("vec_id").agg(F.min("id").alias("dst"), F.max("id").alias("last")).where("dst < last").select("vec_id", "dst")
+    ties = links.select(F.col("id").alias("src"), F.col("tie").alias("dst")).union(rows.join(several, "vec_id").select(F.col("id").alias("src"), "dst"))
+    comps = components(ties)
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.join(counts, "id", "left").join(comps, F.col("id") == F.col("node"), "left")
-    known = known.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("comp", "id").alias("comp"))
-    mine = solid.join(known, "embedding").select("vec_id", "n", "comp")
+    known = classes.select("id", "vec", "weight").join(counts, "id", "left").join(comps, F.col("id") == F.col("node"), "left")
+    known = known.select("id", "vec", F.col("weight").alias("times"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("comp", "id").alias("comp"))
+    known = save(known, "known")
+    first = known.groupBy("comp").agg(F.min("vec").alias("first"), F.count("*").alias("times"))
+    known = join_hot(known.withColumnRenamed("times", "weight"), save(first, "first"), ["comp"], known.count()).select("id", "n", F.col("first").alias("comp"), F.col("weight").alias("times"))
+    mine = join_hot(rows.select("vec_id", "id"), save(known, "known-classes"), ["id"], rows.count()).select("vec_id", "n", "comp")
     rest = x.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("comp"))
     return mine.union(rest).select("vec_id", F.col("n").alias("n_links"), F.col("comp").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("comp"), F.lit(True)).alias("kept"))

@@ -68,8 +68,8 @@ def _one_apart(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """(pos, first): distinct lines with the earliest line one word away that is earlier."""
     halves = lines.where(f"n >= {min_words}").select("pos", "e1", "e2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("pos").alias("p"), F.max("pos").alias("q")).where("p <> q").select("half")
-    some = save(halves.join(shared, "half").select("pos", "e1", "e2").distinct(), "half-lines")
+    shared = halves.groupBy("half").agg(F.min("pos").alias("p"), F.max("pos").alias("q"), F.count("*").alias("times")).where("p <> q").select("half", "times")
+    some = save(join_hot(halves, save(shared, "halves"), ["half"], 2 * lines.count()).select("pos", "e1", "e2").distinct(), "half-lines")
     wanted = some.groupBy(F.col("pos.doc_id").alias("doc_id")).agg(F.collect_set("pos.line_no").alias("wanted"))
     got = docs.join(wanted.hint("merge"), "doc_id").withColumn("lines", F.split("text", "\n", -1))
     # of rows of one doc_id some can be shorter

@@ -37,7 +37,7 @@ def op4_token_output(spark, sf_dir):
 
 
 def op5_line_dedup(spark, sf_dir):
-    x = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    x = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=1)
     return x.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
@@ -144,9 +144,12 @@ _CRC32 = f"""xor(list_reduce(list_concat([4294967295::BIGINT], [CAST(instr('1234
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
 
 SQL = {
-    "op1_decontaminate": f"""WITH {_shingles('d', 'documents', 'doc_id', 5)}, {_shingles('b', 'benchmark', 'item_id', 5)},
+    "op1_decontaminate": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[j:j + least(len(w), 5) - 1], ' ') AS s FROM i, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(j) WHERE len(w) > 0),
+t AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS s FROM t, (SELECT DISTINCT k FROM b), unnest(range(1, len(w) - k + 2)) AS r(j)),
 n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
-SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM d JOIN b USING (s) JOIN n USING (item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM d JOIN b USING (k, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item""",
     "op2_url_filter": f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -160,11 +163,11 @@ links AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y USI
   WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))), {_COMPONENTS}
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON x = doc_id""",
-    "op5_line_dedup": f"""WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line, {{'d': doc_id, 'l': i - 1}} AS pos, regexp_extract_all(lines[i], '[^\\x20\\x09-\\x0D]+') AS w FROM t, unnest(range(1, len(lines) + 1)) AS r(i)),
+    "op5_line_dedup": """WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line, {'d': doc_id, 'l': i - 1} AS pos, regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+') AS w FROM t, unnest(range(1, len(lines) + 1)) AS r(i)),
 x AS MATERIALIZED (SELECT line, any_value(w) AS w, min(pos) AS pos FROM l WHERE len(w) > 0 GROUP BY line),
-v AS MATERIALIZED (SELECT pos, array_to_string(w, ' ') AS key, -1 AS k, len(w) AS n FROM x WHERE len(w) >= {line_dedup.MIN_WORDS}
-  UNION ALL SELECT pos, array_to_string(list_concat(w[:k - 1], w[k + 1:]), ' '), k, len(w) FROM x, unnest(range(1, len(w) + 1)) AS r(k) WHERE len(w) >= {line_dedup.MIN_WORDS}),
+v AS MATERIALIZED (SELECT pos, array_to_string(w, ' ') AS key, -1 AS k, len(w) AS n FROM x
+  UNION ALL SELECT pos, array_to_string(list_concat(w[:k - 1], w[k + 1:]), ' '), k, len(w) FROM x, unnest(range(1, len(w) + 1)) AS r(k)),
 same AS (SELECT key, k, n, min(pos) AS p FROM v GROUP BY key, k, n HAVING count(*) > 1),
 apart AS (SELECT key, min(pos) FILTER (k < 0) AS whole, min(pos) FILTER (k > 0) AS variant FROM v GROUP BY key HAVING bool_or(k < 0) AND bool_or(k > 0)),
 near AS (SELECT pos FROM v JOIN same USING (key, k, n) WHERE p < pos UNION SELECT pos FROM v JOIN apart USING (key) WHERE CASE WHEN k < 0 THEN variant ELSE whole END < pos),

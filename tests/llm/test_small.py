@@ -28,6 +28,13 @@ def test_contained_items(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {3, 4, 5, None} and decontaminate.clean(docs, items).columns == docs.columns
 
 
+def test_items_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "THREE four"), (3, "four three"), (4, "three\tfour five six"), (5, ""), (6, "eight")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "three four five six"), (2, "Three  four"), (3, "eight"), (4, "one two three four five"), (5, "seven nine")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {(1, 1), (4, 1), (1, 2), (2, 2), (4, 2), (1, 3), (6, 3), (1, 4)}
+
+
 def test_more_items_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 60)
     items = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(40))) for i in range(5)], "item_id long, text string")
@@ -261,3 +268,26 @@ def test_tokenizer_cuts_where_the_library_does():
         raw = [t.encode() for t in texts]
         ids, counts = tok.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_vectors_of_one_id(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (5, a), (8, None)]
+    got = sorted(map(tuple, embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    # 3, 5 and 7 hang together over the two vectors of 5
+    assert got == [(3, 2, 3, True), (5, 1, 3, False), (5, 2, 3, False), (5, 2, 3, False), (7, 1, 3, False), (8, 0, 8, True), (9, 0, 9, True)]
+
+
+def test_vectors_with_links_against_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(12, 8))
+    rows = [(int(i), (base[i % 12] + rnd.normal(size=8) * 0.25).tolist()) for i in rnd.permutation(150)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    ids, up = [i for i, _ in rows], list(range(150))
+    for _ in range(150):
+        up = [min((up[j] for j in np.flatnonzero(near[i])), key=lambda r: ids[r]) for i in range(150)]
+    want = sorted((ids[i], int(near[i].sum()) - 1, ids[up[i]], ids[up[i]] == ids[i]) for i in range(150))
+    got = sorted(map(tuple, embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == want and sum(n for _, n, _, _ in got) > 100
