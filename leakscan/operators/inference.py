@@ -6,7 +6,9 @@ import functools
 import operator
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
@@ -101,3 +103,66 @@ def clmd_statistic(x: DataFrame) -> DataFrame:
     y = x.groupBy("model", "b").agg(*[(of(t, "hits") / of(t, "n")).alias(t) for p in D.PAIRS.items() for t in p])
     mean: Column = sum((F.col(a) - F.col(z) for a, z in D.PAIRS.items()), F.lit(0.0)) / len(D.PAIRS)
     return y.select("model", "b", mean.alias("value"))
+
+
+#: Persons of a block, whose draws are split in one task, and replicates that are drawn at once.
+BLOCK, AT_ONCE = 512, 500
+
+
+def split_draws(n: int, low: int, high: int, replicates: range, seed: int) -> np.ndarray:
+    """How often each of the persons low to high - 1 of n is drawn in each replicate, of n draws with replacement: an array (high - low, replicates).
+
+    The n draws are split in halves down a tree of ranges: the part of the left half is binomial, from a generator
+    keyed by seed, first replicate and range. So whoever asks for a range gets the same counts, and those of all ranges add up to n.
+    """
+    out = np.zeros((high - low, len(replicates)), np.int64)
+    todo = [(0, n, np.full(len(replicates), n, np.int64))]
+    while todo:
+        a, z, count = todo.pop()
+        if z <= low or a >= high:
+            continue
+        if z - a == 1:
+            out[a - low] = count
+            continue
+        mid = (a + z) // 2
+        left = np.random.Generator(np.random.Philox(key=[seed & (1 << 64) - 1, replicates.start], counter=[0, 0, a, z])).binomial(count, (mid - a) / (z - a))
+        todo += [(a, mid, left), (mid, z, count - left)]
+    return out
+
+
+def exact_bootstrap(cells: DataFrame, statistic: Callable[[DataFrame], DataFrame], replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """As bootstrap(), but each replicate draws exactly as many persons as the model has.
+
+    Persons are numbered by model; a block of them draws for itself by split_draws and is added up where it is, so
+    nothing is exchanged between persons but sums by replicate.
+    """
+    by = [c for c in cells.columns if c not in ("model", "pid", "hits", "n")]
+    groups = [tuple(r) for r in cells.select(*by).distinct().collect()] if by else [()]
+    own = [functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g, strict=True)), F.lit(True)) for g in groups]
+    names = [f"{c}{i}" for i in range(len(groups)) for c in ("hits", "n")]
+    wide = cells.groupBy("model", "pid").agg(*[F.coalesce(F.sum(F.when(o, F.col(c))), F.lit(0)).cast("long").alias(f"{c}{i}") for i, o in enumerate(own) for c in ("hits", "n")])
+    # numbers in buckets of pids, so that no window spans all
+    wide = wide.withColumn("_k", F.floor(F.col("pid") / 65536))
+    counts = wide.groupBy("model", "_k").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("model")
+    counts = counts.select("model", "_k", F.coalesce(F.sum("_n").over(w.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("persons"))
+    wide = wide.withColumn("_r", F.row_number().over(Window.partitionBy("model", "_k").orderBy("pid"))).join(counts, ["model", "_k"])
+    wide = wide.select("model", "persons", (F.col("_before") + F.col("_r") - 1).alias("place"), *names)
+    wide = wide.withColumn("block", F.floor(F.col("place") / BLOCK))
+
+    def drawn(key: tuple, t: pa.Table) -> pa.Table:
+        model, _ = (k.as_py() for k in key)
+        t = t.sort_by("place")
+        low, n = t.column("place")[0].as_py(), t.column("persons")[0].as_py()
+        x, rows = np.column_stack([t.column(c).to_numpy() for c in names]), []
+        for b in range(0, replicates, AT_ONCE):
+            many = range(b, min(b + AT_ONCE, replicates))
+            rows.append(split_draws(n, low, low + len(t), many, seed).T @ x)
+        sums = np.concatenate(rows)
+        return pa.table({"model": pa.array([model] * replicates, pa.string()), "b": pa.array(np.arange(replicates)), **{c: pa.array(sums[:, i]) for i, c in enumerate(names)}})
+
+    schema = "model string, b long, " + ", ".join(f"{c} long" for c in names)
+    sums = wide.groupBy("model", "block").applyInArrow(drawn, schema).groupBy("model", "b").agg(*[F.sum(c).alias(c) for c in names])
+    rows = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(by, g, strict=True)], F.col(f"hits{i}").alias("hits"), F.col(f"n{i}").alias("n")) for i, g in enumerate(groups)])
+    v = statistic(sums.select("model", "b", F.inline(rows)).where("n > 0"))
+    return v.groupBy("model").agg(F.count("*").alias("replicates"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.stddev_samp("value").alias("se"))

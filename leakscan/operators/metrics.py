@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from leakscan import dims as D
 from leakscan.functions.stats import band
@@ -98,3 +102,46 @@ def degeneracy(records: DataFrame) -> DataFrame:
 def progress(records: DataFrame) -> DataFrame:
     error = F.count_if(F.col("error").isNotNull()) if "error" in records.columns else F.lit(0).cast("long")
     return records.groupBy("model").agg(F.count("*").alias("n"), hits().alias("hits"), error.alias("errors"))
+
+
+def observed(records: DataFrame) -> tuple[DataFrame, Callable[[], dict]]:
+    """records, to be written or counted once, and what tells of that job when it is over: n, hits, errors, seconds and rows a second.
+
+    The counts are taken while the rows pass, so nothing is read for them."""
+    seen, start = Observation(), time.monotonic()
+    error = F.count_if(F.col("error").isNotNull()) if "error" in records.columns else F.sum(F.lit(0))
+    x = records.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("hits"), F.coalesce(error, F.lit(0)).alias("errors"))
+
+    def told() -> dict:
+        got, took = dict(seen.get), max(time.monotonic() - start, 1e-9)
+        return got | {"seconds": took, "rate": got["n"] / took}
+
+    return x, told
+
+
+class StreamProgress(StreamingQueryListener):
+    """Adds up what observed() counts of a stream's batches while it runs: n, hits, errors, and each batch's rows a second."""
+
+    def __init__(self, name: str):
+        self.name, self.n, self.hits, self.errors, self.rates = name, 0, 0, 0, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row:
+            self.n, self.hits, self.errors = self.n + row["n"], self.hits + row["hits"], self.errors + row["errors"]
+            self.rates.append(event.progress.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def observed_stream(records: DataFrame, name: str) -> DataFrame:
+    """A stream of records that tells a StreamProgress of that name of each batch."""
+    error = F.count_if(F.col("error").isNotNull()) if "error" in records.columns else F.sum(F.lit(0))
+    return records.observe(name, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("hits"), F.coalesce(error, F.lit(0)).alias("errors"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leakscan import dims as D
 from leakscan.functions import checks, stats, text
-from leakscan.operators import answers, corpus, evalset, heldout, inference, metrics, probes, sweeps, views
+from leakscan.operators import answers, corpus, evalset, heldout, inference, joins, language_model, metrics, probes, sweeps, views
 from leakscan.sources import checkpoints, stored
 from leakscan.sources import records as io
 from leakscan.sources.split import read_csv_split, read_json_split
@@ -357,6 +357,42 @@ def case_sample(spark, d):
     return x.groupBy("kind", "category").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
 
 
+def exact_bootstrap(spark, d):
+    return rounded(inference.exact_bootstrap(inference.cells(records(spark, d)), inference.rate_statistic, REPLICATES), "low", "high", "se")
+
+
+def document_loss(spark, d):
+    """Losses of documents under a model of four fifths of them."""
+    return language_model.corpus_loss(_read(spark, d, "documents").select("doc_id", "text"), "doc_id % 5 = 0")
+
+
+def corpus_loss(spark, d):
+    x = document_loss(spark, d).join(_read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    x = language_model.perplexity(x, "lang", "held_out")
+    return rounded(x, "mean_loss").withColumn("perplexity", F.floor(F.col("perplexity") * 1000 + 0.5) / 1000)
+
+
+def near_prices(tolerance: float):
+    """Orders with lines whose price is within a tolerance of theirs, and of those the nearest difference."""
+
+    def run(spark, d):
+        o = _read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+        x = joins.within(o, _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "o_totalprice", "l_extendedprice", tolerance)
+        return x.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("lines"), r6(F.min(F.abs(F.col("o_totalprice") - F.col("l_extendedprice")))).alias("nearest"))
+
+    return run
+
+
+def observed_progress(spark, d):
+    """What a job counts of the records that pass while it writes them, beside what it wrote."""
+    path = _scratch(spark, "observed")
+    x, told = metrics.observed(records(spark, d))
+    x.select("model", "hit").write.parquet(path)
+    seen = told()
+    y = spark.read.parquet(path).groupBy("model").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    return y.withColumns({"all_n": F.lit(seen["n"]), "all_hits": F.lit(seen["hits"]), "errors": F.lit(seen["errors"])})
+
+
 def direct_rates(spark, d):
     x = records(spark, d).where(F.col("template_id").isin(*D.SCOPES["ab"]))
     return x.groupBy(F.col("model").alias("key")).agg(metrics.rate().alias("rate"))
@@ -458,6 +494,12 @@ QUERIES = {
     "bootstrap_rate": bootstrap((), inference.rate_statistic),
     "bootstrap_rwmer": bootstrap(("category", "condition"), inference.rwmer_statistic),
     "bootstrap_clmd": bootstrap(("template_id",), inference.clmd_statistic, ["C1", "C2", "D1", "D2"]),
+    "bootstrap_exact": exact_bootstrap,
+    "document_loss": lambda s, d: rounded(document_loss(s, d), "loss"),
+    "corpus_loss": corpus_loss,
+    "equal_prices": near_prices(1e-9),
+    "near_prices": near_prices(1.0),
+    "observed_progress": observed_progress,
     "rdp_epsilon": rdp_epsilon,
     "degeneracy": lambda s, d: metrics.degeneracy(records(s, d)),
     "sample_io": sample_io,
