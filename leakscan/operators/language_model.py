@@ -8,18 +8,27 @@ with the counts, and met with documents by their counts of trigrams.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.operators.joins import lookup
 from leakscan.sources.split import kept
 
 
-def trigrams(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as doc_id, a, b, w, n: how often word w follows a and b. Texts without words, and null ones, have none."""
-    words = F.filter(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    x = docs.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("h")).where("size(h) > 0")
-    x = x.withColumn("h", F.concat(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), "h")).withColumn("k", F.size("h") - 2)
+def words(text: Column) -> Column:
+    return F.filter(F.split(text.cast("string"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+
+
+def trigrams(docs: DataFrame, before: str | None = None) -> DataFrame:
+    """docs (doc_id, text) as doc_id, a, b, w, n: how often word w follows a and b. Texts without words, and null ones, have none.
+
+    before: a column with what stands before the text, of which the last two words are context only."""
+    two = F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    if before:
+        two = F.concat(two, F.transform(F.coalesce(words(F.col(before)), F.array()), lambda w: F.xxhash64(w)))
+        two = F.slice(two, F.size(two) - 1, F.lit(2))
+    x = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), two.alias("two")).where("size(h) > 0")
+    x = x.withColumn("h", F.concat("two", "h")).withColumn("k", F.size("h") - 2)
     x = x.select("doc_id", F.inline(F.arrays_zip(F.slice("h", F.lit(1), F.col("k")).alias("a"), F.slice("h", F.lit(2), F.col("k")).alias("b"), F.slice("h", F.lit(3), F.col("k")).alias("w"))))
     return x.groupBy("doc_id", "a", "b", "w").agg(F.count("*").alias("n"))
 
@@ -68,3 +77,15 @@ def perplexity(x: DataFrame, *by: str) -> DataFrame:
     """Token-weighted mean loss and its exponential, by columns."""
     y = x.groupBy(*by).agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"), (F.sum("loss") / F.sum("tokens")).alias("mean_loss"))
     return y.withColumn("perplexity", F.exp("mean_loss"))
+
+
+def answered(questions: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """questions (id, prompt, options, an array of texts) with given, the letter of the option that is likeliest after the prompt, and its loss.
+
+    Losses are of whole options and compared to six places; of equal ones the first letter counts. Options without words are out; given is null if all are."""
+    x = questions.select("id", "prompt", F.posexplode("options").alias("place", "text"))
+    grams = trigrams(x.select(F.struct("id", "place").alias("doc_id"), "prompt", "text"), before="prompt")
+    each = losses(grams, model).select("doc_id.*", F.floor(F.col("loss") * 1000000 + 0.5).alias("loss"))
+    best = each.groupBy("id").agg(F.min(F.struct("loss", "place")).alias("best"))
+    letter = F.char(F.col("best.place") + 65)
+    return questions.join(best, "id", "left").select(*questions.columns, letter.alias("given"), (F.col("best.loss") / 1000000).alias("loss"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
 from leakscan.functions import checks, stats, text
-from leakscan.operators import answers, corpus, evalset, heldout, inference, joins, language_model, metrics, probes, sweeps, views
+from leakscan.operators import answers, corpus, evalset, heldout, inference, joins, language_model, metrics, probes, sweeps, training, views
 from leakscan.sources import checkpoints, stored
 from leakscan.sources import records as io
-from leakscan.sources.split import read_csv_split, read_json_split
+from leakscan.sources.split import kept, read_csv_split, read_json_split
 
 MODELS = ["qwen2.5-1.5b", "qwen2.5-3b"]
 #: The scores stated for these models.
@@ -372,6 +373,49 @@ def corpus_loss(spark, d):
     return rounded(x, "mean_loss").withColumn("perplexity", F.floor(F.col("perplexity") * 1000 + 0.5) / 1000)
 
 
+def option_likelihood(spark, d):
+    """Documents left out of the model as questions: which two words follow the first eight, of four pairs of the text, the right one placed by doc_id."""
+    x = _read(spark, d, "documents").select("doc_id", "lang", "text")
+    model = language_model.counted(language_model.trigrams(x.where("doc_id % 5 <> 0")))
+    w, at = F.col("w"), lambda i: F.array_join(F.slice("w", i, 2), " ")
+    q = x.where("doc_id % 5 = 0").withColumn("w", language_model.words(F.col("text"))).where("size(w) >= 40")
+    # turned by doc_id, so that the right one stands at each letter
+    turned = [F.element_at(F.array(*[at(i) for i in (9, 21, 31, 39)]), ((F.lit(k) + F.col("doc_id")) % 4 + 1).cast("int")) for k in range(4)]
+    q = q.select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), F.array_join(F.slice(w, 1, 8), " ").alias("prompt"), F.array(*turned).alias("options"), F.char((F.lit(4) - F.col("doc_id") % 4) % 4 + 65).alias("correct"))
+    return sweeps.exam_scores(language_model.answered(q, model))
+
+
+def private_training(spark, d):
+    """Quality of documents by a linear model trained with noise: its losses over steps 0, 4 and 8, broken off and resumed, and what it spends."""
+    s, path = training.Settings(lot=128, noise=1.0), _scratch(spark, "training")
+    labels = _read(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    x = kept(training.examples(_read(spark, d, "documents").select("doc_id", "text"), labels, s.features))
+    n, out = x.count(), None
+    for steps in (0, 4, 8):
+        w = training.train(x, steps, path, s)
+        row = training.loss(x, w).select(F.lit(steps).alias("steps"), "n", "loss", "right", F.lit(training.spent(spark, n, steps, s) if steps else 0.0).alias("epsilon"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def unlearning(spark, d):
+    """Losses of a few labelled documents and of the others before and after the few are unlearned."""
+    s = training.Settings()
+    labels = _read(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    x = kept(training.examples(_read(spark, d, "documents").select("doc_id", "text"), labels, s.features))
+    w = np.zeros(s.features)
+    for _ in range(4):
+        g, n = training.gradient(x, w, s.clip)
+        w = w - 4.0 * g / max(n, 1)
+    forget, retain, out = x.where("doc_id % 50 = 0"), x.where("doc_id % 50 <> 0"), None
+    target = (training.loss(forget, w).first().loss or 0.0) + 0.05
+    for when, v in (("before", w), ("after", training.unlearn(w, forget, retain, target, 0.1, steps=6))):
+        for part, rows in (("forget", forget), ("retain", retain)):
+            row = training.loss(rows, v).select(F.lit(when).alias("time"), F.lit(part).alias("part"), "n", "loss", "right")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def near_prices(tolerance: float):
     """Orders with lines whose price is within a tolerance of theirs, and of those the nearest difference."""
 
@@ -497,6 +541,9 @@ QUERIES = {
     "bootstrap_exact": exact_bootstrap,
     "document_loss": lambda s, d: rounded(document_loss(s, d), "loss"),
     "corpus_loss": corpus_loss,
+    "option_likelihood": option_likelihood,
+    "private_training": private_training,
+    "unlearning": unlearning,
     "equal_prices": near_prices(1e-9),
     "near_prices": near_prices(1.0),
     "observed_progress": observed_progress,

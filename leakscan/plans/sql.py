@@ -279,13 +279,19 @@ def _scopes() -> str:
 _T = lambda t: f"avg({_HIT}) FILTER (template_id = '{t}')"
 _EPS = f"least(1e300, list_min([steps * (8.0::DOUBLE / n) * (8.0::DOUBLE / n) * al / (2 * sigma * sigma) + ln(1 - 1.0::DOUBLE / al) - (ln(1e-5::DOUBLE) + ln(al)) / (al - 1) FOR al IN list_transform(range(2, 256), lambda v: CAST(v AS DOUBLE))]))"
 
+_COUNTS = """m3 AS MATERIALIZED (SELECT a, b, w, count(*)::DOUBLE AS c3 FROM g WHERE NOT held_out GROUP BY ALL), m2 AS MATERIALIZED (SELECT b, w, sum(c3) AS c2 FROM m3 GROUP BY ALL), m1 AS MATERIALIZED (SELECT w, sum(c2) AS c1 FROM m2 GROUP BY ALL),
+h2 AS (SELECT a, b, sum(c3) AS s3, count(*)::DOUBLE AS t3 FROM m3 GROUP BY ALL), h1 AS (SELECT b, sum(c2) AS s2, count(*)::DOUBLE AS t2 FROM m2 GROUP BY ALL), h0 AS (SELECT sum(c1) AS s1, count(*)::DOUBLE AS t1 FROM m1),"""
 _LOSS = """d AS (SELECT doc_id, lang, doc_id % 5 = 0 AS held_out, ['', ''] || regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS v FROM documents),
 g AS MATERIALIZED (SELECT doc_id, lang, held_out, v[i] AS a, v[i + 1] AS b, v[i + 2] AS w FROM d, unnest(range(1, len(v) - 1)) AS r(i)),
-m3 AS MATERIALIZED (SELECT a, b, w, count(*)::DOUBLE AS c3 FROM g WHERE NOT held_out GROUP BY ALL), m2 AS MATERIALIZED (SELECT b, w, sum(c3) AS c2 FROM m3 GROUP BY ALL), m1 AS MATERIALIZED (SELECT w, sum(c2) AS c1 FROM m2 GROUP BY ALL),
-h2 AS (SELECT a, b, sum(c3) AS s3, count(*)::DOUBLE AS t3 FROM m3 GROUP BY ALL), h1 AS (SELECT b, sum(c2) AS s2, count(*)::DOUBLE AS t2 FROM m2 GROUP BY ALL), h0 AS (SELECT sum(c1) AS s1, count(*)::DOUBLE AS t1 FROM m1),
-p1 AS (SELECT g.*, c2, c3, s2, t2, s3, t3, (coalesce(c1, 0) + t1 / (t1 + 1)) / (s1 + t1) AS p FROM g CROSS JOIN h0 LEFT JOIN m1 USING (w) LEFT JOIN m2 USING (b, w) LEFT JOIN m3 USING (a, b, w) LEFT JOIN h1 USING (b) LEFT JOIN h2 USING (a, b)),
+""" + _COUNTS
+
+
+def _each(grams: str, keep: str) -> str:
+    """p3: the columns kept of grams (a, b, w), and each one's loss e."""
+    return f"""p1 AS (SELECT g.*, c2, c3, s2, t2, s3, t3, (coalesce(c1, 0) + t1 / (t1 + 1)) / (s1 + t1) AS p FROM {grams} g CROSS JOIN h0 LEFT JOIN m1 USING (w) LEFT JOIN m2 USING (b, w) LEFT JOIN m3 USING (a, b, w) LEFT JOIN h1 USING (b) LEFT JOIN h2 USING (a, b)),
 p2 AS (SELECT * REPLACE (CASE WHEN s2 > 0 THEN (coalesce(c2, 0) + t2 * p) / (s2 + t2) ELSE p END AS p) FROM p1),
-p3 AS (SELECT doc_id, lang, held_out, -ln(CASE WHEN s3 > 0 THEN (coalesce(c3, 0) + t3 * p) / (s3 + t3) ELSE p END) AS e FROM p2)"""
+p3 AS (SELECT {keep}, -ln(CASE WHEN s3 > 0 THEN (coalesce(c3, 0) + t3 * p) / (s3 + t3) ELSE p END) AS e FROM p2)"""
+
 
 SQL = {
     "corpus_persons": f"WITH {P} SELECT * FROM p",
@@ -314,8 +320,14 @@ SQL = {
     "bootstrap_rate": _bootstrap("", "SELECT model, b, h / n AS value FROM x"),
     "bootstrap_rwmer": _bootstrap(", category, condition", f"SELECT model, b, avg(worst * {_PRI}) AS value FROM (SELECT model, b, category, max(h / n) AS worst FROM x GROUP BY ALL) GROUP BY model, b"),
     "bootstrap_clmd": _bootstrap(", template_id", "SELECT model, b, (" + " + ".join(f"max(h / n) FILTER (template_id = '{c}') - max(h / n) FILTER (template_id = '{z}')" for c, z in D.PAIRS.items()) + ") / 2 AS value FROM x GROUP BY model, b", "type IN ('C', 'D')"),
-    "document_loss": f"WITH {_LOSS} SELECT doc_id, held_out, count(*) AS tokens, {r6('sum(e)')} AS loss FROM p3 GROUP BY ALL",
-    "corpus_loss": f"WITH {_LOSS} SELECT lang, held_out, count(DISTINCT doc_id) AS texts, count(*) AS tokens, {r6('sum(e) / count(*)')} AS mean_loss, floor(exp(sum(e) / count(*)) * 1000 + 0.5) / 1000 AS perplexity FROM p3 GROUP BY ALL",
+    "document_loss": f"WITH {_LOSS} {_each('g', 'doc_id, lang, held_out')} SELECT doc_id, held_out, count(*) AS tokens, {r6('sum(e)')} AS loss FROM p3 GROUP BY ALL",
+    "corpus_loss": f"WITH {_LOSS} {_each('g', 'doc_id, lang, held_out')} SELECT lang, held_out, count(DISTINCT doc_id) AS texts, count(*) AS tokens, {r6('sum(e) / count(*)')} AS mean_loss, floor(exp(sum(e) / count(*)) * 1000 + 0.5) / 1000 AS perplexity FROM p3 GROUP BY ALL",
+    "option_likelihood": f"""WITH {_LOSS} x AS (SELECT doc_id, lang, v[9:10] AS two, [[v[11], v[12]], [v[23], v[24]], [v[33], v[34]], [v[41], v[42]]] AS o FROM d WHERE held_out AND len(v) >= 42),
+y AS (SELECT doc_id, lang, k, two || o[CAST((k + doc_id) % 4 + 1 AS BIGINT)] AS v FROM x, range(4) r(k)),
+q AS (SELECT doc_id, lang, k, v[i] AS a, v[i + 1] AS b, v[i + 2] AS w FROM y, range(1, 3) r(i)), {_each('q', 'doc_id, lang, k')},
+s AS (SELECT doc_id, lang, k, CAST(floor(sum(e) * 1000000 + 0.5) AS BIGINT) AS e FROM p3 GROUP BY ALL),
+t AS (SELECT doc_id, lang AS subject, min({{'e': e, 'k': k}}).k = (4 - doc_id % 4) % 4 AS ok FROM s GROUP BY doc_id, lang)
+SELECT subject, count(*) AS n, avg(CAST(ok AS INT)) AS accuracy FROM t GROUP BY ROLLUP (subject)""",
     "equal_prices": f"SELECT o_orderkey, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS lines, {r6('min(abs(o_totalprice - l_extendedprice))')} AS nearest FROM orders JOIN lineitem ON l_extendedprice BETWEEN o_totalprice - 1e-8 AND o_totalprice + 1e-8 WHERE abs(o_totalprice - l_extendedprice) < 1e-9 GROUP BY 1",
     "near_prices": f"SELECT o_orderkey, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS lines, {r6('min(abs(o_totalprice - l_extendedprice))')} AS nearest FROM orders JOIN lineitem ON l_extendedprice BETWEEN o_totalprice - 1.1 AND o_totalprice + 1.1 WHERE abs(o_totalprice - l_extendedprice) < 1 GROUP BY 1",
     "observed_progress": f"WITH {R} SELECT model, count(*) AS n, count_if(hit) AS hits, (SELECT count(*) FROM r) AS all_n, (SELECT count_if(hit) FROM r) AS all_hits, 0 AS errors FROM r GROUP BY model",
