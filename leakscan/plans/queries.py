@@ -427,6 +427,14 @@ def near_prices(tolerance: float):
     return run
 
 
+def line_overlaps(spark, d):
+    """Lines of one supplier that are under way at once, each for as many days as its quantity: how many pairs of lines by supplier."""
+    x = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("start"), "l_quantity")
+    x = x.withColumn("end", F.col("start") + F.col("l_quantity") * 86_400_000_000)
+    pairs = joins.overlapping(x, x).where("left_id < right_id")
+    return pairs.groupBy(F.col("key").alias("supplier")).agg(F.count("*").alias("pairs"), F.sum(F.col("left_id") + F.col("right_id")).alias("ids"))
+
+
 def observed_progress(spark, d):
     """What a job counts of the records that pass while it writes them, beside what it wrote."""
     path = _scratch(spark, "observed")
@@ -546,6 +554,7 @@ QUERIES = {
     "unlearning": unlearning,
     "equal_prices": near_prices(1e-9),
     "near_prices": near_prices(1.0),
+    "line_overlaps": line_overlaps,
     "observed_progress": observed_progress,
     "rdp_epsilon": rdp_epsilon,
     "degeneracy": lambda s, d: metrics.degeneracy(records(s, d)),

@@ -330,6 +330,8 @@ t AS (SELECT doc_id, lang AS subject, min({{'e': e, 'k': k}}).k = (4 - doc_id %
 SELECT subject, count(*) AS n, avg(CAST(ok AS INT)) AS accuracy FROM t GROUP BY ROLLUP (subject)""",
     "equal_prices": f"SELECT o_orderkey, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS lines, {r6('min(abs(o_totalprice - l_extendedprice))')} AS nearest FROM orders JOIN lineitem ON l_extendedprice BETWEEN o_totalprice - 1e-8 AND o_totalprice + 1e-8 WHERE abs(o_totalprice - l_extendedprice) < 1e-9 GROUP BY 1",
     "near_prices": f"SELECT o_orderkey, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS lines, {r6('min(abs(o_totalprice - l_extendedprice))')} AS nearest FROM orders JOIN lineitem ON l_extendedprice BETWEEN o_totalprice - 1.1 AND o_totalprice + 1.1 WHERE abs(o_totalprice - l_extendedprice) < 1 GROUP BY 1",
+    "line_overlaps": """WITH x AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS id, epoch_us(l_shipdate) AS s, epoch_us(l_shipdate) + l_quantity * 86400000000 AS e FROM lineitem)
+SELECT a.l_suppkey AS supplier, count(*) AS pairs, CAST(sum(a.id + b.id) AS BIGINT) AS ids FROM x a JOIN x b ON a.l_suppkey = b.l_suppkey AND a.id < b.id AND a.s <= b.e AND b.s <= a.e GROUP BY 1""",
     "observed_progress": f"WITH {R} SELECT model, count(*) AS n, count_if(hit) AS hits, (SELECT count(*) FROM r) AS all_n, (SELECT count_if(hit) FROM r) AS all_hits, 0 AS errors FROM r GROUP BY model",
     "rdp_epsilon": f"WITH x AS (SELECT count(*) AS n, greatest(1, count(*) // 8) * 2 AS steps, ([0.648, 0.342, 0.182, 0.098, 0.01, 0.02, 0.04, 0.07, 0.0]::DOUBLE[])[o_orderkey % 9 + 1] AS sigma FROM orders GROUP BY o_orderkey % 9) SELECT steps, sigma, CASE WHEN sigma > 0 THEN {r6(f'greatest(0, {_EPS})')} END AS epsilon FROM x",
     "degeneracy": f"WITH {R}, k AS (SELECT model, output, count(*) AS k FROM r GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY k DESC, encode(output)) AS i FROM k) SELECT model, CAST(sum(k) AS BIGINT) AS n, count(*) AS distinct_outputs, max(output) FILTER (i = 1) AS modal_output, max(k) AS modal_n, max(k) / sum(k) AS modal_share, max(k) / sum(k) > 0.2 AS collapsed FROM g GROUP BY model",

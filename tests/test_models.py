@@ -101,6 +101,18 @@ def test_within(spark, tolerance):
     assert "NestedLoop" not in y._jdf.queryExecution().executedPlan().toString()
 
 
+def test_overlapping(spark):
+    rnd = random.Random(8)
+    draw = lambda n: [(rnd.choice(["k", "k", "k", "other", None]), i, (s := rnd.choice([0.0, 5.0, float(rnd.randrange(50))])), s + rnd.choice([0.0, 1.0, 9.0, 60.0, -1.0])) for i in range(n)]
+    a, b = draw(90), draw(70) + [("k", 100, None, 3.0), ("k", 101, 2.0, float("nan")), ("k", 102, 5.0, None), ("k", 103, -9.0, 99.0)]
+    frame = lambda x: spark.createDataFrame(x, "key string, id long, start double, end double")
+    good = lambda r: r[0] is not None and r[2] is not None and r[3] is not None and r[2] <= r[3]
+    want = sorted((p[0], p[1], q[1]) for p in a for q in b if good(p) and good(q) and p[0] == q[0] and p[2] <= q[3] and q[2] <= p[3])
+    for parts in (1, 6):
+        assert sorted(map(tuple, joins.overlapping(frame(a), frame(b), parts).collect())) == want
+    assert joins.overlapping(frame(a).limit(0), frame(b).limit(0)).collect() == []
+
+
 def test_observed(spark, tmp_path):
     x = spark.createDataFrame([("m", i % 3 == 0, None if i % 4 else "e") for i in range(50)], "model string, hit boolean, error string")
     y, told = metrics.observed(x)
