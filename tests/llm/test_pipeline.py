@@ -63,3 +63,31 @@ def test_stages_against_brute_force(spark):
         ids = [*tok.encode(r.text, add_special_tokens=False).ids, 2]
         assert g == (r.doc_id, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
         at += len(ids)
+
+
+def test_run_on_odd_rows_and_an_empty_table(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = docs.orderBy("doc_id").first().text
+    odd = [(None, "null id " * 30), (None, None), (900001, None), (900002, ""), (900003, " \n\t"), (900004, text), (900004, text), (900005, "x" * 300_000), (900005, "other text of the same id")]
+    odd = spark.createDataFrame([(d, t, "en", None, None) for d, t in odd], docs.schema)
+    own = docs.unionByName(odd).selectExpr("*", "1 AS size", "'k' AS key", "0.5D AS score", "doc_id AS component_id", "array(1) AS ids", "'w' AS words")
+    for name, x in (("full", own), ("none", own.limit(0))):
+        x.write.parquet(str(tmp_path / name / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / name / f"{t}.parquet"))
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path / "full")).collect(), key=lambda r: r.start)
+    tok, texts = Tokenizer.from_file(tokenizer_path()), defaultdict(set)
+    for r in own.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
+        texts[r.doc_id].add((len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+    at = 0
+    for r in got:
+        assert r.start == at and (r.n_tokens, r.ids_crc32) in texts[r.doc_id]
+        at += r.n_tokens
+    # the copy of the first document goes, and no document is there more often than twice a row
+    ids = Counter(r.doc_id for r in got)
+    assert 900004 not in ids and len(ids) > 50 and max(n for d, n in ids.items() if d is not None and d < 900000) <= 2
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
