@@ -33,7 +33,7 @@ def plain(x: pd.DataFrame) -> list:
     return sorted(tuple(one(v) for v in r) for r in x[sorted(x.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(audit.QUERIES))
+@pytest.mark.parametrize("name", sorted(sql.SQL))
 def test_against_sql(spark, duck, name):
     got, want = audit.QUERIES[name](spark, SF).toPandas(), duck.sql(sql.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
