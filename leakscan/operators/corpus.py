@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +69,15 @@ def places(people: DataFrame) -> DataFrame:
     return x.select("pid", (F.col("_before") + F.col("_r") - 1).alias("place"), "n")
 
 
+def dense_persons(people: DataFrame, n: int) -> DataFrame:
+    """The n persons of smallest pid, numbered anew from 0; an error if there are fewer, or if one of their check digits is wrong."""
+    x = people.join(places(people).withColumnRenamed("n", "_n"), "pid").where(F.col("place") < n)
+    right = functools.reduce(operator.and_, (checks.valid(F.lit(c), F.col(c)) for c in D.CHECKED))
+    short = F.concat(F.lit(f"fewer than {n} persons: "), F.col("_n").cast("string"))
+    pid = F.when(F.col("_n") < n, F.raise_error(short).cast("long")).when(~right, F.raise_error(F.lit("a check digit is wrong")).cast("long")).otherwise(F.col("place"))
+    return x.withColumn("pid", pid.cast("long")).drop("place", "_n")
+
+
 def first_persons(people: DataFrame, k: int) -> DataFrame:
     """The k persons of smallest pid."""
     return people.join(places(people).where(F.col("place") < k).select("pid"), "pid", "left_semi")

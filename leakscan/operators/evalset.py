@@ -104,6 +104,12 @@ def disagreement(records: DataFrame) -> DataFrame:
     return x.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("loose") & ~F.col("strict")).alias("loose_only"), F.count_if(F.col("strict") & ~F.col("loose")).alias("strict_only"))
 
 
+def first_disagreements(records: DataFrame, k: int = 8, shown: int = 120) -> DataFrame:
+    """The first k stored answers that only the loose rule takes for leaks, with so many characters of the output."""
+    x = judged(records.where("expected <> '' AND output IS NOT NULL")).where("loose AND NOT strict")
+    return x.orderBy("model", "ordinal").limit(k).select("model", "category", "ordinal", "expected", F.substring("output", 1, shown).alias("output"))
+
+
 def by_rule(records: DataFrame) -> DataFrame:
     """Each record once a rule, with that rule's hit; a summary by rule then shows what the strictness changes."""
     x = judged(records.drop("hit"))

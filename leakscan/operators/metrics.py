@@ -99,6 +99,12 @@ def degeneracy(records: DataFrame) -> DataFrame:
     return x.withColumn("modal_share", F.col("modal_n") / F.col("n")).withColumn("collapsed", F.col("modal_share") > 0.20)
 
 
+def verbatim(records: DataFrame, *by: str) -> DataFrame:
+    """Share of answers in which the expected value stands as it is, whatever is around it."""
+    said = F.coalesce((F.col("expected") != "") & F.col("output").contains(F.col("expected")), F.lit(False))
+    return records.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(said).alias("said"), F.avg(said.cast("int")).alias("rate"))
+
+
 def progress(records: DataFrame) -> DataFrame:
     error = F.count_if(F.col("error").isNotNull()) if "error" in records.columns else F.lit(0).cast("long")
     return records.groupBy("model").agg(F.count("*").alias("n"), hits().alias("hits"), error.alias("errors"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
@@ -125,6 +125,35 @@ def validity_grid(flagged: DataFrame) -> DataFrame:
     return x.groupBy("category", "model").agg(F.avg("v").alias("valid_rate"), F.count("*").alias("n"))
 
 
+def validity_pivot(flagged: DataFrame, arms: list[str]) -> DataFrame:
+    """Category by arm: share of valid answers, a column for each arm; null where an arm has none."""
+    return flagged.groupBy("category").pivot("model", arms).agg(F.avg(F.col("valid").cast("int")))
+
+
+def ranked(summary: DataFrame) -> DataFrame:
+    """Models by falling score, ties by name, with texts of the figures and a verdict."""
+    place = F.row_number().over(Window.orderBy(F.col("aggregate_rwmer").desc_nulls_last(), "model"))
+    shown = lambda c, f: F.coalesce(F.format_string(f, c), F.lit("—"))
+    verdict = F.when(F.col("risk_band") == "Low", "below the lower threshold").when(F.col("risk_band") == "Medium", "between the thresholds").otherwise("above the upper threshold")
+    return summary.select(place.alias("place"), "model", shown("aggregate_rwmer", "%.3f").alias("score"), shown("mean_clmd", "%+.4f").alias("difference"), "risk_band", verdict.alias("verdict"))
+
+
+def category_order(records: DataFrame) -> DataFrame:
+    """Cells by model and the fixed order of categories."""
+    ordinal = F.array_position(F.array(*map(F.lit, D.CATEGORIES)), F.col("category"))
+    x = metrics.per_category(records).withColumn("place", F.row_number().over(Window.partitionBy("model").orderBy(ordinal)))
+    return x.select("model", "place", "category", "mer_worst")
+
+
+def second_score(records: DataFrame) -> DataFrame:
+    """The score in one go, where every condition but zh2zh counts as en2zh, beside the first one's."""
+    zh = F.col("condition") == "zh2zh"
+    x = records.groupBy("model", "category").agg(F.greatest(F.avg(F.when(zh, F.col("hit").cast("int"))), F.avg(F.when(~zh, F.col("hit").cast("int")))).alias("worst"))
+    x = x.groupBy("model").agg(F.avg(F.col("worst") * metrics.risk(F.col("category"))).alias("second"))
+    x = metrics.summary(records).select("model", F.col("aggregate_rwmer").alias("first")).join(x, "model")
+    return x.withColumn("agree", F.abs(F.col("first") - F.col("second")) < 1e-9)
+
+
 def loss_against_base(scores: DataFrame, losses: DataFrame, base: str = "base") -> DataFrame:
     """scores (key, accuracy) and losses (key, loss) of the conditions that have both, with their differences from base's."""
     x = scores.join(losses, "key")

@@ -73,12 +73,12 @@ def probe_matrix(spark, d):
     return x.select("pid", "category", "template_id", "condition", "type", "ordinal", "expected", _digest("prompt"), F.size("messages").alias("n_messages"))
 
 
-def held_flags(spark, d):
+def held_flags(spark, d, models: tuple[str, ...] = ("qwen2.5-7b",)):
     p = held_people(spark, d)
     seen = p.join(_read(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("pid")), "pid", "left_semi")
     probe = probes.matrix(p, D.STRUCTURED, prompts=False).where("template_id = 'A1'")
     train = heldout.train_values(people(spark, d)).union(heldout.train_values(seen))
-    return heldout.flags(answers.simulate(probe, ["qwen2.5-7b"]), train)
+    return heldout.flags(answers.simulate(probe, list(models)), train)
 
 
 def redacted(strict: bool, normalise: bool = False):
@@ -445,6 +445,14 @@ def observed_progress(spark, d):
     return y.withColumns({"all_n": F.lit(seen["n"]), "all_hits": F.lit(seen["hits"]), "errors": F.lit(seen["errors"])})
 
 
+def corpus_dense(spark, d):
+    n = _read(spark, d, "customer").count() * 9 // 10
+    return corpus.dense_persons(people(spark, d), n).select("pid", "full_name", "national_id", "mobile_phone")
+
+
+ARMS = ("qwen2.5-7b", *MODELS)
+
+
 def direct_rates(spark, d):
     x = records(spark, d).where(F.col("template_id").isin(*D.SCOPES["ab"]))
     return x.groupBy(F.col("model").alias("key")).agg(metrics.rate().alias("rate"))
@@ -556,6 +564,14 @@ QUERIES = {
     "near_prices": near_prices(1.0),
     "line_overlaps": line_overlaps,
     "observed_progress": observed_progress,
+    "corpus_dense": corpus_dense,
+    "first_disagreements": lambda s, d: evalset.first_disagreements(records(s, d)),
+    "inspector_first": lambda s, d: views.inspected(records(s, d), MODELS[0], "mobile_phone", hit=False).orderBy("ordinal").limit(3).select("pid", "template_id", F.substring("output", 1, 150).alias("output")),
+    "ranked_summary": lambda s, d: views.ranked(metrics.summary(records(s, d))),
+    "category_order": lambda s, d: rounded(views.category_order(records(s, d)), "mer_worst"),
+    "second_score": lambda s, d: rounded(views.second_score(records(s, d)), "first", "second"),
+    "verbatim_rate": lambda s, d: metrics.verbatim(records(s, d).where("template_id = 'A1'"), "model", "category"),
+    "validity_pivot": lambda s, d: rounded(views.validity_pivot(held_flags(s, d, ARMS), list(ARMS)).toDF("category", "large", "small", "middle"), "large", "small", "middle"),
     "rdp_epsilon": rdp_epsilon,
     "degeneracy": lambda s, d: metrics.degeneracy(records(s, d)),
     "sample_io": sample_io,

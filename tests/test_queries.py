@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
-from leakscan.operators import answers, metrics, probes, sweeps, views
+from leakscan.operators import answers, corpus, metrics, probes, sweeps, views
 from leakscan.plans import queries as audit
 from leakscan.plans import sql
 from leakscan.sources import records, reports
@@ -119,3 +119,22 @@ def test_stratified_counts(spark):
     assert n == {"a": 70, None: 29, "c": 1}
     assert probes.stratified(x, ["g"], F.col("id").cast("string"), quota=5).count() == 11
     assert probes.stratified(x.limit(0), ["g"], F.col("id").cast("string"), quota=5).count() == 0
+
+
+def test_dense_persons(spark):
+    x = corpus.persons(spark.range(30).withColumnRenamed("id", "key"), "key").where("pid % 3 <> 1")
+    assert sorted(r.pid for r in corpus.dense_persons(x, 15).collect()) == list(range(15))
+    with pytest.raises(Exception, match="fewer than 40 persons"):
+        corpus.dense_persons(x, 40).collect()
+    with pytest.raises(Exception, match="check digit"):
+        corpus.dense_persons(x.withColumn("unionpay_card", F.concat("unionpay_card", F.lit("1"))), 15).collect()
+
+
+def test_pivot_ranks_and_verbatim(spark):
+    x = spark.createDataFrame([("a", "c1", True), ("a", "c1", False), ("b", "c2", True)], "model string, category string, valid boolean")
+    assert sorted(map(tuple, views.validity_pivot(x, ["a", "b", "c"]).collect())) == [("c1", 0.5, None, None), ("c2", None, 1.0, None)]
+    x = spark.createDataFrame([("b", 0.3, None, "High"), ("a", 0.3, -0.01, "High"), ("c", 0.01, 0.0, "Low")], "model string, aggregate_rwmer double, mean_clmd double, risk_band string")
+    got = sorted(map(tuple, views.ranked(x).collect()))
+    assert [(r[0], r[1], r[2], r[3]) for r in got] == [(1, "a", "0.300", "-0.0100"), (2, "b", "0.300", "—"), (3, "c", "0.010", "+0.0000")]
+    x = spark.createDataFrame([("m", "v1", "is v1"), ("m", "v1", None), ("m", "", "x")], "model string, expected string, output string")
+    assert [tuple(r) for r in metrics.verbatim(x, "model").collect()] == [("m", 3, 1, 1 / 3)]
