@@ -133,7 +133,7 @@ def validity_pivot(flagged: DataFrame, arms: list[str]) -> DataFrame:
 def ranked(summary: DataFrame) -> DataFrame:
     """Models by falling score, ties by name, with texts of the figures and a verdict."""
     place = F.row_number().over(Window.orderBy(F.col("aggregate_rwmer").desc_nulls_last(), "model"))
-    shown = lambda c, f: F.coalesce(F.format_string(f, c), F.lit("—"))
+    shown = lambda c, f: F.when(F.col(c).isNotNull(), F.format_string(f, c)).otherwise("—")
     verdict = F.when(F.col("risk_band") == "Low", "below the lower threshold").when(F.col("risk_band") == "Medium", "between the thresholds").otherwise("above the upper threshold")
     return summary.select(place.alias("place"), "model", shown("aggregate_rwmer", "%.3f").alias("score"), shown("mean_clmd", "%+.4f").alias("difference"), "risk_band", verdict.alias("verdict"))
 
