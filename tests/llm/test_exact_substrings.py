@@ -69,3 +69,18 @@ def test_prefixes_by_value(monkeypatch):
 
 def test_empty(spark):
     assert X.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_text_longer_than_a_part(spark):
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choices("0123456789abcdef", k=n))
+    shared = ["<" + noise(298) + f">{i}" for i in range(3)]
+    # one passage over the first border of parts, one right after it, one at the end
+    big = noise(X.PART - 150) + shared[0] + noise(500) + shared[1] + noise(150_000) + shared[2]
+    rows = [(1, big), (2, "x" + shared[0] + "y" + shared[2]), (3, shared[1] + "z"), (4, None), (5, big[X.PART - 400 : X.PART - 250])]
+    got = {r.doc_id: r for r in X.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in range(1, 6)] == [(903, 3), (602, 2), (301, 1), (0, 0), (0, 0)]
+    kept = big
+    for s in shared:
+        kept = kept.replace(s, "")
+    assert bytes(got[1].kept).decode() == kept and bytes(got[2].kept) == b"xy" and bytes(got[4].kept) == b""

@@ -114,3 +114,20 @@ def test_no_pair_is_parted_by_a_partition(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert got == {(i, i // 2 * 2) for i in range(1200)}
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """In regions that aren't crowded: 400 pairs of similarity 0.802 to 0.83 among texts that are otherwise unlike."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(400):
+        w = [f"p{i}w{j}" for j in range(rnd.randrange(150, 400))]
+        v = w[:]
+        # words replaced far from each other: 5 shingles of each side go for one
+        most = max(n for n in range(1, 40) if (len(w) - 4 - 5 * n) / (len(w) - 4 + 5 * n) >= 0.8)
+        for j in range(most):
+            v[3 + j * (len(w) // (most + 1))] = f"q{i}x{j}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    rnd.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) == 400
