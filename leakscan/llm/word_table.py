@@ -26,9 +26,9 @@ from leakscan.llm import words as W
 from leakscan.llm.common import give_back, lean, save
 
 #: Bytes of text that are cut at once, and those of a block (a longer text is alone).
-TEXTS, BLOCK = 4 << 20, 32 << 20
+TEXTS, BLOCK = 2 << 20, 32 << 20
 #: Bytes of words that are looked up at once, ids that are decoded at once.
-LOOKUP, IDS = 4 << 20, 2 << 20
+LOOKUP, IDS = 2 << 20, 1 << 20
 #: Words that the library is given at once.
 AT_ONCE = 4096
 _LETTER = np.array([i < 128 and chr(i).isalpha() for i in range(256)])
@@ -60,23 +60,25 @@ class WordTokenizer:
             flat.append(np.fromiter((x for y in got for x in y), np.int64))
         return np.concatenate(count), np.concatenate(flat)
 
-    @functools.cached_property
-    def pieces(self) -> pa.Array:
-        """The vocabulary by id, each piece after a space; null where an id has none."""
-        if self.tok.decoder is not None:
-            raise ValueError("this tokenizer has a decoder of its own")
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        out: list = [None] * (max(vocab.values(), default=-1) + 1)
-        for piece, i in vocab.items():
-            out[i] = b" " + piece.encode()
-        return pa.array(out, pa.binary())
-
 
 @functools.lru_cache(1)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+@functools.lru_cache(1)
+def pieces(path: str) -> pa.Array:
+    """The vocabulary by id, each piece after a space; null where an id has none. The tokenizer itself, which takes a hundred times the room, isn't kept."""
+    tok = WordTokenizer(path).tok
+    if tok.decoder is not None:
+        raise ValueError("this tokenizer has a decoder of its own")
+    vocab = tok.get_vocab(with_added_tokens=True)
+    out: list = [None] * (max(vocab.values(), default=-1) + 1)
+    for piece, i in vocab.items():
+        out[i] = b" " + piece.encode()
+    return pa.array(out, pa.binary())
+
+
 def cut(data: np.ndarray, offs: np.ndarray, mark: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Texts one after another: their words in order, and how many each text has."""
     solid = W.SOLID[data]
@@ -273,9 +275,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = tokenizer(path).pieces
-        size = pc.fill_null(pc.binary_length(pieces), 0).to_numpy()
-        known = pieces.is_valid().to_numpy(zero_copy_only=False)
+        table = pieces(path)
+        give_back()
+        size = pc.fill_null(pc.binary_length(table), 0).to_numpy()
+        known = table.is_valid().to_numpy(zero_copy_only=False)
         for whole in batches:
             lens = pc.fill_null(pc.list_value_length(whole.column("ids")), 0).to_numpy().astype(np.int64)
             total, i = np.append(0, np.cumsum(lens)), 0
@@ -287,7 +290,7 @@ def _pieces(path: str):
                 fits[fits] = known[ids[fits]]
                 ends = np.append(0, np.cumsum(fits))[np.append(0, np.cumsum(n))]
                 ids = ids[fits]
-                joined = pieces.take(pa.array(ids))
+                joined = table.take(pa.array(ids))
                 data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[: int(size[ids].sum())]
                 at = np.append(0, np.cumsum(size[ids], dtype=np.int64))[ends]
                 # each text without the space before its first piece
