@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
-from leakscan.operators import answers, corpus, metrics, probes, sweeps, views
+from leakscan.operators import answers, corpus, heldout, metrics, probes, sweeps, views
 from leakscan.plans import queries as audit
 from leakscan.plans import sql
 from leakscan.sources import records, reports
@@ -138,3 +138,11 @@ def test_pivot_ranks_and_verbatim(spark):
     assert [(r[0], r[1], r[2], r[3]) for r in got] == [(1, "a", "0.300", "-0.0100"), (2, "b", "0.300", "—"), (3, "c", "0.010", "+0.0000")]
     x = spark.createDataFrame([("m", "v1", "is v1"), ("m", "v1", None), ("m", "", "x")], "model string, expected string, output string")
     assert [tuple(r) for r in metrics.verbatim(x, "model").collect()] == [("m", 3, 1, 1 / 3)]
+
+
+def test_values_of_two_corpora_flag_an_answer_once(spark):
+    x = spark.createDataFrame([(1, "mobile_phone", "13912345678"), (2, "mobile_phone", "13912345670")], "pid long, category string, output string")
+    train = spark.createDataFrame([("mobile_phone", "13912345678")] * 2, "category string, value string")
+    got = heldout.flags(x, train.union(train))
+    assert sorted((r.pid, r.leaks_training) for r in got.collect()) == [(1, True), (2, False)]
+    assert heldout.rollup(got).where("category IS NULL").first().n == 2
