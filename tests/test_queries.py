@@ -4,9 +4,11 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leakscan import dims as D
+from leakscan.functions.text import hashed
 from leakscan.operators import answers, corpus, heldout, metrics, probes, sweeps, views
 from leakscan.plans import queries as audit
 from leakscan.plans import sql
@@ -146,3 +148,21 @@ def test_values_of_two_corpora_flag_an_answer_once(spark):
     got = heldout.flags(x, train.union(train))
     assert sorted((r.pid, r.leaks_training) for r in got.collect()) == [(1, True), (2, False)]
     assert heldout.rollup(got).where("category IS NULL").first().n == 2
+
+
+@pytest.mark.parametrize("name", ["case_sample", "stratified_sample", "size_sensitivity", "replayed_answers", "quota_sample"])
+def test_answers_are_not_broadcast(spark, name):
+    plan = audit.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+    sent = [line for line in plan.toString().split("\n") if "BroadcastExchange" in line]
+    # the places of the first persons alone, which are 140 at most
+    assert len(sent) == (name == "size_sensitivity")
+
+
+def test_quota_in_one_pass(spark):
+    """Equal to a ranking of whole strata, of more rows than the quota in a slice and of fewer."""
+    x = spark.range(3000).selectExpr("id", "CASE WHEN id < 2900 THEN 'a' WHEN id < 2999 THEN NULL ELSE 'c' END AS g")
+    y = probes.stratified(x, ["g"], F.col("id").cast("string"), quota=40)
+    whole = Window.partitionBy("g").orderBy(hashed(D.SEED, "draw", F.col("id").cast("string")), F.col("id").cast("string"))
+    want = x.withColumn("r", F.row_number().over(whole)).where("r <= 40")
+    assert sorted(r.id for r in y.collect()) == sorted(r.id for r in want.collect()) and y.columns == x.columns
+    assert y._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
