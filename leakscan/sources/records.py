@@ -48,10 +48,11 @@ def read_csv(spark: SparkSession, path: str, schema: str = RECORD, label: str |
     return x.withColumn("model", F.lit(label)) if label else x
 
 
-def write_csv(x: DataFrame, path: str) -> None:
-    """Missing values as empty strings; a directory of parts, so the writer scales with the rows."""
+def write_csv(x: DataFrame, path: str, compression: str | None = None) -> None:
+    """Missing values as empty strings; a directory of parts, so the writer scales with the rows. compression: Spark's name of a codec, such as gzip; one task
+    then reads a part."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in x.columns]
-    x.select(*cols).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    x.select(*cols).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path, compression=compression)
 
 
 def _document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -166,3 +166,20 @@ def test_quota_in_one_pass(spark):
     want = x.withColumn("r", F.row_number().over(whole)).where("r <= 40")
     assert sorted(r.id for r in y.collect()) == sorted(r.id for r in want.collect()) and y.columns == x.columns
     assert y._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_rates_of_a_tally_are_those_of_records(spark):
+    r = audit.records(spark, SF).where("pid < 12 AND NOT (category = 'full_name' AND condition = 'en2zh')").withColumn("hit", F.when(F.col("ordinal") % 11 > 0, F.col("hit")))
+    for of in (metrics.summary, metrics.scope_rates, metrics.paired_overall, metrics.per_category):
+        assert plain(of(metrics.tally(r)).toPandas()) == plain(of(r).toPandas())
+    # records are made for their tally, which is kept, and for their outputs
+    made = views.profile(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("customer.parquet") + made.count("c_custkey#") <= audit.records(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("c_custkey#") + 1
+
+
+def test_compressed_csv_is_read_whole(spark, tmp_path):
+    x = spark.createDataFrame([("m", "two\nlines \"q\", and more", "True"), ("n", None, "False")] * 50, "model string, output string, hit string")
+    records.write_csv(x, str(tmp_path / "x"), "gzip")
+    assert any(f.name.endswith(".csv.gz") for f in (tmp_path / "x").iterdir())
+    got = records.read_csv(spark, str(tmp_path / "x")).groupBy("model", "output", "hit").count().collect()
+    assert sorted((r.model, r.output, r.hit, r["count"]) for r in got) == [("m", 'two\nlines "q", and more', True, 50), ("n", None, False, 50)]
