@@ -47,8 +47,8 @@ def write_checkpoint(rows: DataFrame, path: str, key: str = "key", conditions: l
     spark, write = rows.sparkSession, uuid.uuid4().hex
     folder = f"{path}/data/_write={write}"
     slots = rows.withColumn("_slot", _slot(F.col(key)))
-    # a condition's rows go to few tasks, a large one's to several
-    slots.repartition("_slot", F.floor(F.rand(1) * 4)).write.partitionBy("_slot").mode("error").parquet(folder)
+    # a condition's rows go to one task, a large one's to as many as its size asks for
+    slots.hint("rebalance", "_slot").write.partitionBy("_slot").mode("error").parquet(folder)
     done = spark.read.schema(f"{_ddl(rows)}, _slot string").parquet(folder).groupBy(F.col(key).cast("string").alias("key"), F.col("_slot").alias("slot")).agg(F.count("*").alias("rows"))
     if conditions:
         named = spark.createDataFrame([(c,) for c in conditions], "key string").withColumn("slot", _slot(F.col("key"))).withColumn("rows", F.lit(0).cast("long"))

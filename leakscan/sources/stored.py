@@ -22,6 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 FORMAT = "stored_records"
+#: Rows of a batch, of which one is read ahead: a task holds little of a file of any size.
+BATCH = 10_000
 #: Columns of stored answers, if the option schema doesn't name others.
 ANSWERS = "model string, pid long, category string, template_id string, condition string, type string, expected string, output string, hit boolean, match_method string"
 
@@ -79,7 +81,7 @@ class _Scan:
         for column, values in self.filters:
             one = ds.field(column).is_valid() if values is None else ds.field(column).isin(values)
             cond = one if cond is None else cond & one
-        yield from ds.dataset(partition.path, schema=self.schema, format="parquet", filesystem=where).to_batches(filter=cond)
+        yield from ds.dataset(partition.path, schema=self.schema, format="parquet", filesystem=where).to_batches(filter=cond, batch_size=BATCH, batch_readahead=1, fragment_readahead=1)
 
 
 class _Batch(_Scan, DataSourceReader):

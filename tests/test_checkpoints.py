@@ -101,3 +101,15 @@ def test_stream_goes_on_at_its_offset(spark, path, tmp_path):
     put("b", 1)
     put("a", 1)
     assert run() == [("a", 0), ("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_a_large_condition_is_written_by_many_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        x = spark.range(0, 60_000, 1, 8).selectExpr("id", "'a' AS key", "sha2(CAST(id AS STRING), 256) AS v")
+        checkpoints.write_checkpoint(x, str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    y = checkpoints.read_checkpoint(spark, str(tmp_path / "t"))
+    assert y.count() == 60_000 and len(y.inputFiles()) > 4
