@@ -22,6 +22,23 @@ def rate() -> Column:
     return F.avg(F.col("hit").cast("int"))
 
 
+def tally(records: DataFrame) -> DataFrame:
+    """records counted by cell, so that they are made once: per_category, summary, scope_rates and paired_overall give the same of it."""
+    return records.groupBy("model", "category", "condition", "template_id").agg(F.count("*").alias("_n"), F.count("hit").alias("_judged"), F.sum(F.col("hit").cast("long")).alias("_hits"))
+
+
+def mean(x: DataFrame, of: Column) -> Column:
+    """Rate of the rows of records or a tally for which a condition holds."""
+    if "_hits" in x.columns:
+        return F.try_divide(F.sum(F.when(of, F.col("_hits"))), F.sum(F.when(of, F.col("_judged"))))
+    return F.avg(F.when(of, F.col("hit").cast("int")))
+
+
+def size(x: DataFrame, of: Column) -> Column:
+    """Number of these rows."""
+    return F.coalesce(F.sum(F.when(of, F.col("_n"))), F.lit(0).cast("long")) if "_hits" in x.columns else F.count_if(of)
+
+
 def risk(category: Column) -> Column:
     return F.coalesce(*[F.when(category == c, F.lit(v)) for c, v in D.RISK.items()])
 
@@ -33,8 +50,7 @@ def mer_long(records: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 def per_category(records: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """One shuffle: both conditions are averaged in one pass, a missing one gives null."""
-    hit = F.col("hit").cast("int")
-    x = records.where("model IS NOT NULL AND category IS NOT NULL").groupBy("model", "category", *more).agg(*[F.avg(F.when(F.col("condition") == c, hit)).alias(f"mer_{c}") for c in ("zh2zh", "en2zh")])
+    x = records.where("model IS NOT NULL AND category IS NOT NULL").groupBy("model", "category", *more).agg(*[mean(records, F.col("condition") == c).alias(f"mer_{c}") for c in ("zh2zh", "en2zh")])
     x = x.withColumn("pri", risk(F.col("category"))).withColumn("clmd", F.col("mer_en2zh") - F.col("mer_zh2zh")).withColumn("mer_worst", F.greatest("mer_zh2zh", "mer_en2zh"))
     return x.select("model", "category", *more, "pri", "mer_zh2zh", "mer_en2zh", "clmd", "mer_worst", (F.col("mer_worst") * F.col("pri")).alias("rwmer"))
 
@@ -46,8 +62,8 @@ def summary(records: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 def scope_rates(records: DataFrame, scopes: dict[str, list[str]] = D.SCOPES) -> DataFrame:
     """One row a model: each scope's rate and n, and the anchored-to-unanchored ratio."""
-    hit, t = F.col("hit").cast("int"), F.col("template_id")
-    x = records.groupBy("model").agg(*[c for s, ids in scopes.items() for c in (F.avg(F.when(t.isin(ids), hit)).alias(f"{s}_rate"), F.count_if(t.isin(ids)).alias(f"{s}_n"))])
+    t = F.col("template_id")
+    x = records.groupBy("model").agg(*[c for s, ids in scopes.items() for c in (mean(records, t.isin(ids)).alias(f"{s}_rate"), size(records, t.isin(ids)).alias(f"{s}_n"))])
     r = F.when((F.col("anchored_rate") > 0) & (F.col("unanchored_rate") > 0), F.col("anchored_rate") / F.col("unanchored_rate"))
     return x.withColumn("anchor_ratio", F.floor(r * 10 + 0.5) / 10)
 
@@ -85,11 +101,11 @@ def paired_by_category(records: DataFrame) -> DataFrame:
 
 def paired_overall(records: DataFrame) -> DataFrame:
     """Pooled pairs, the mean of the pairs' differences, and English against the A and B templates (unpaired)."""
-    hit, t = F.col("hit").cast("int"), F.col("template_id")
-    at = lambda ids: F.avg(F.when(t.isin(ids), hit))
+    t = F.col("template_id")
+    at = lambda ids: mean(records, t.isin(ids))
     x = records.groupBy("model").agg(at(list(D.PAIRS)).alias("en"), at(list(D.PAIRS.values())).alias("zh"), at(D.SCOPES["ab"]).alias("ab"), *[at([p]).alias(p) for q in D.PAIRS.items() for p in q])
-    mean = sum((F.col(a) - F.col(b) for a, b in D.PAIRS.items()), F.lit(0.0)) / len(D.PAIRS)
-    return x.select("model", (F.col("en") - F.col("zh")).alias("pooled"), mean.alias("mean_of_pairs"), (F.col("en") - F.col("ab")).alias("unpaired"))
+    pairs = sum((F.col(a) - F.col(b) for a, b in D.PAIRS.items()), F.lit(0.0)) / len(D.PAIRS)
+    return x.select("model", (F.col("en") - F.col("zh")).alias("pooled"), pairs.alias("mean_of_pairs"), (F.col("en") - F.col("ab")).alias("unpaired"))
 
 
 def degeneracy(records: DataFrame) -> DataFrame:
