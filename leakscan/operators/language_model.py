@@ -3,73 +3,158 @@
 Words are runs of other than white space, told apart by a 64-bit hash; two marks stand before each text. Probabilities are Witten-Bell's: a
 context h of c tokens and t distinct followers gives (c(h w) + t p(w | shorter h)) / (c + t); at the end stands the uniform
 one over the known words and one unknown. A loss is a property of a trigram, so it is worked out once for each distinct one, by joins
-with the counts, and met with documents by their counts of trigrams.
+with the counts, and met with documents by their trigrams.
+
+All counts but those of single words are of trigrams with one middle word or less. So trigrams are taken in parts by their middle word, one part
+after another: a part's counts and losses are whole, its tables are removed when its sums by document are written, and the disk
+holds the texts' hashes and one part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.operators.joins import lookup
-from leakscan.sources.split import kept
+
+#: Tokens of a part at least, and parts at most.
+TOKENS, PARTS = 2_000_000, 32
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text.cast("string"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
 
+def _forget(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _stored(x: DataFrame) -> DataFrame:
+    """x, written to the shared folder until _removed; Spark's cleaner drops the shuffles that made it."""
+    spark = x.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    path = f"{where or tempfile.gettempdir()}/leakscan/model-{uuid.uuid4().hex}"
+    x.write.parquet(path)
+    _forget(spark)
+    return spark.read.schema(x.schema).parquet(path)
+
+
+def _removed(*stored: DataFrame) -> None:
+    """Removes the files of stored tables."""
+    for x in stored:
+        spark = x.sparkSession
+        for f in {f.rsplit("/", 1)[0] for f in x.inputFiles()}:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def trigrams(docs: DataFrame, before: str | None = None) -> DataFrame:
-    """docs (doc_id, text) as doc_id, a, b, w, n: how often word w follows a and b. Texts without words, and null ones, have none.
+    """docs (doc_id, text) as doc_id, h: hashes of two words before the text and of its own, of which each three in a row are a trigram. Texts without words, and null ones, have none.
 
-    before: a column with what stands before the text, of which the last two words are context only."""
+    before: a column with what stands before the text, of which the last two words are context only. Other columns stay."""
     two = F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
     if before:
         two = F.concat(two, F.transform(F.coalesce(words(F.col(before)), F.array()), lambda w: F.xxhash64(w)))
         two = F.slice(two, F.size(two) - 1, F.lit(2))
-    x = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), two.alias("two")).where("size(h) > 0")
-    x = x.withColumn("h", F.concat("two", "h")).withColumn("k", F.size("h") - 2)
-    x = x.select("doc_id", F.inline(F.arrays_zip(F.slice("h", F.lit(1), F.col("k")).alias("a"), F.slice("h", F.lit(2), F.col("k")).alias("b"), F.slice("h", F.lit(3), F.col("k")).alias("w"))))
-    return x.groupBy("doc_id", "a", "b", "w").agg(F.count("*").alias("n"))
+    others = [c for c in docs.columns if c not in ("text", before)]
+    x = docs.select(*others, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), two.alias("two")).where("size(h) > 0")
+    return x.select(*others, F.concat("two", "h").alias("h"))
+
+
+def _in_rows(part: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("h")
+            n, v = h.value_lengths().to_numpy(), h.flatten().to_numpy()
+            if not len(v):
+                continue
+            ends = np.cumsum(n)
+            # the last two of a text begin no trigram
+            good = v[1:-1] % parts == part
+            good[np.append(ends[:-1] - 1, ends[:-1] - 2)] = False
+            at = np.flatnonzero(good)
+            row = pa.array(np.searchsorted(ends, at, "right"))
+            others = [c for c in b.schema.names if c != "h"]
+            for i in range(0, len(at), 100_000):
+                some, own = at[i : i + 100_000], row[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(own) for c in others), *(pa.array(v[some + k]) for k in range(3))], [*others, "a", "b", "w"])
+
+    return run
+
+
+def in_rows(grams: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """trigrams() with a, b, w in place of h, a row for each time that word w follows a and b; of those parts by b one."""
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in grams.schema if f.name != "h"]
+    return grams.mapInArrow(_in_rows(part, parts), ", ".join([*others, "a long", "b long", "w long"]))
+
+
+def _word_counts(texts: DataFrame) -> dict[str, DataFrame]:
+    one = _stored(in_rows(texts.select("h")).groupBy("w").agg(F.count("*").alias("c1")))
+    return {"one": one, "all": one.agg(F.coalesce(F.sum("c1"), F.lit(0)).alias("s1"), F.count("*").alias("t1"))}
 
 
 def counted(grams: DataFrame) -> dict[str, DataFrame]:
-    """Counts of a model: of trigrams, bigrams and words, and of contexts with their distinct followers."""
-    three = kept(grams.groupBy("a", "b", "w").agg(F.sum("n").alias("c3")))
-    two = kept(three.groupBy("b", "w").agg(F.sum("c3").alias("c2")))
-    one = kept(two.groupBy("w").agg(F.sum("c2").alias("c1")))
-    return {
-        "three": three,
-        "after_two": three.groupBy("a", "b").agg(F.sum("c3").alias("s3"), F.count("*").alias("t3")),
-        "two": two,
-        "after_one": two.groupBy("b").agg(F.sum("c2").alias("s2"), F.count("*").alias("t2")),
-        "one": one,
-        "all": one.agg(F.coalesce(F.sum("c1"), F.lit(0)).alias("s1"), F.count("*").alias("t1")),
-    }
-
-
-def losses(grams: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
-    """grams (doc_id, a, b, w, n) of documents as doc_id, tokens, loss: the sum of -ln p over each one's tokens."""
-    total = model["all"].first().s1
-    x = grams.groupBy("a", "b", "w").agg(F.count("*").alias("docs"))
-    x = x.join(model["three"], ["a", "b", "w"], "left").join(model["two"], ["b", "w"], "left")
-    for name, keys, times in (("after_two", ["a", "b"], "s3"), ("after_one", ["b"], "s2"), ("one", ["w"], "c1")):
-        x = lookup(x, model[name], keys, times, total)
+    """A model of trigrams(): its texts, counts of words, and of all."""
+    texts = _stored(grams.select("h"))
+    return {"texts": texts} | _word_counts(texts)
+
+
+def _part_losses(grams: DataFrame, model: dict[str, DataFrame], total: int, asked: int) -> DataFrame:
+    """Rows of one part (doc_id, known, asked, a, b, w) as doc_id, tokens, loss of those asked for."""
+    times = lambda c: F.sum(F.col(c).cast("long"))
+    three = _stored(grams.groupBy("a", "b", "w").agg(times("known").alias("c3"), times("asked").alias("docs")))
+    after_two = three.where("c3 > 0").groupBy("a", "b").agg(F.sum("c3").alias("s3"), F.count("*").alias("t3"))
+    two = _stored(three.groupBy("b", "w").agg(F.sum("c3").alias("c2"), F.sum("docs").alias("asks")))
+    after_one = two.where("c2 > 0").groupBy("b").agg(F.sum("c2").alias("s2"), F.count("*").alias("t2"))
     # one row
-    x = x.crossJoin(F.broadcast(model["all"]))
+    y = two.where("asks > 0").crossJoin(F.broadcast(model["all"]))
+    y = lookup(lookup(y, after_one, ["b"], "s2", total), model["one"], ["w"], "c1", total)
     p = F.lit(1.0) / (F.col("t1") + 1)
-    for c, s, t in (("c1", "s1", "t1"), ("c2", "s2", "t2"), ("c3", "s3", "t3")):
+    for c, s, t in (("c1", "s1", "t1"), ("c2", "s2", "t2")):
         p = F.when(F.col(s) > 0, (F.coalesce(c, F.lit(0)) + F.col(t) * p) / (F.col(s) + F.col(t))).otherwise(p)
-    x = kept(x.select("a", "b", "w", "docs", (-F.log(p)).alias("each")))
-    y = lookup(grams, x, ["a", "b", "w"], "docs", grams.count())
-    return y.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.col("each")).alias("loss"))
+    shorter = _stored(y.select("b", "w", "asks", p.alias("p")))
+    _removed(two)
+    x = lookup(three.where("docs > 0"), shorter, ["b", "w"], "asks", asked)
+    x = lookup(x, after_two, ["a", "b"], "s3", total)
+    p = F.when(F.col("s3") > 0, (F.col("c3") + F.col("t3") * F.col("p")) / (F.col("s3") + F.col("t3"))).otherwise(F.col("p"))
+    each = _stored(x.select("a", "b", "w", "docs", (-F.log(p)).alias("each")))
+    _removed(three, shorter)
+    z = lookup(grams.where("asked").select("doc_id", "a", "b", "w"), each, ["a", "b", "w"], "docs", asked)
+    out = _stored(z.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("each").alias("loss")))
+    _removed(each)
+    return out
+
+
+def losses(texts: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """texts (doc_id, h, whether known to the model, whether asked for) as doc_id, tokens, loss of those asked for: the sum of -ln p over each one's tokens."""
+    total = model["all"].first().s1
+    asked = texts.where("asked").agg(F.coalesce(F.sum(F.size("h") - 2), F.lit(0))).first()[0]
+    parts = min(PARTS, 1 + max(total, asked) // TOKENS)
+    out = None
+    for i in range(parts):
+        x = _part_losses(in_rows(texts, i, parts), model, total, asked)
+        out = x if out is None else out.unionByName(x)
+    return out.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
 
 
 def corpus_loss(docs: DataFrame, held_out: str) -> DataFrame:
     """Losses of docs (doc_id, text) under a model of those for which held_out, a condition, doesn't hold: doc_id, held_out, tokens, loss."""
     marked = docs.withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
-    grams = kept(trigrams(marked.select(F.struct("doc_id", "held_out").alias("doc_id"), "text")))
-    x = losses(grams, counted(grams.where("NOT doc_id.held_out")))
+    marked = marked.select(F.struct("doc_id", "held_out").alias("doc_id"), (~F.col("held_out")).alias("known"), F.lit(True).alias("asked"), "text")
+    texts = _stored(trigrams(marked))
+    model = _word_counts(texts.where("known"))
+    x = losses(texts, model)
+    _removed(texts, model["one"])
     return x.select("doc_id.*", "tokens", "loss")
 
 
@@ -84,8 +169,11 @@ def answered(questions: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
 
     Losses are of whole options and compared to six places; of equal ones the first letter counts. Options without words are out; given is null if all are."""
     x = questions.select("id", "prompt", F.posexplode("options").alias("place", "text"))
-    grams = trigrams(x.select(F.struct("id", "place").alias("doc_id"), "prompt", "text"), before="prompt")
-    each = losses(grams, model).select("doc_id.*", F.floor(F.col("loss") * 1000000 + 0.5).alias("loss"))
+    asked = trigrams(x.select(F.struct("id", "place").alias("doc_id"), F.lit(False).alias("known"), F.lit(True).alias("asked"), "prompt", "text"), before="prompt")
+    asked = _stored(asked)
+    known = model["texts"].select(F.lit(None).cast(asked.schema["doc_id"].dataType).alias("doc_id"), F.lit(True).alias("known"), F.lit(False).alias("asked"), "h")
+    each = losses(known.unionByName(asked), model).select("doc_id.*", F.floor(F.col("loss") * 1000000 + 0.5).alias("loss"))
+    _removed(asked)
     best = each.groupBy("id").agg(F.min(F.struct("loss", "place")).alias("best"))
     letter = F.char(F.col("best.place") + 65)
     return questions.join(best, "id", "left").select(*questions.columns, letter.alias("given"), (F.col("best.loss") / 1000000).alias("loss"))

@@ -1,4 +1,5 @@
 import math
+import pathlib
 import random
 from collections import Counter
 
@@ -52,6 +53,24 @@ def test_losses_against_brute_force(spark, monkeypatch):
     assert all(r.loss == 0 for r in language_model.corpus_loss(df, "true").collect())
 
 
+def test_losses_in_parts(spark, monkeypatch):
+    rnd = random.Random(4)
+    docs = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(1, 200)))) for i in range(60)] + [(61, None), (65, "w1"), (70, "only here")]
+    want, shared, seen = brute_losses(docs, lambda d: d % 5 == 0), pathlib.Path(spark.conf.get("spark.checkpoint.dir")), []
+    old = set(shared.rglob("*"))
+    monkeypatch.setattr(language_model, "TOKENS", 1000)
+    monkeypatch.setattr(language_model, "_stored", lambda x, write=language_model._stored: seen.append((set(x.columns), y := write(x), y.count())) or y)
+    x = language_model.corpus_loss(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id % 5 = 0")
+    got = {r.doc_id: (r.tokens, r.loss, r.held_out) for r in x.collect()}
+    assert {d: (n, pytest.approx(e), d % 5 == 0) for d, (n, e) in want.items()} == got
+    # each trigram is in one part, no part has most of them, and only sums by document stay
+    three = [n for c, _, n in seen if "c3" in c]
+    all_three = {g for _, t in docs if t for v in [["", ""] + t.split()] for g in zip(v, v[1:], v[2:], strict=False)}
+    assert len(three) > 3 and sum(three) == len(all_three) and max(three) < len(all_three) / 2
+    left = {tuple(spark.read.parquet(str(f)).columns) for f in {f.parent for f in set(shared.rglob("*.parquet")) - old}}
+    assert left == {("doc_id", "tokens", "loss")}
+
+
 def test_probabilities_add_up(spark):
     text = "a b a c a b d"
     loss = lambda last: brute_losses([(1, text), (5, f"a b {last}")], lambda d: d == 5)[5][1]
