@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm import words as W
-from leakscan.llm.common import lean
+from leakscan.llm.common import give_back, lean
 
 #: Feature slots; labelled rows of each class that the fit takes at most (those of smallest hash, whatever the input's size); features taken of one text in the fit.
 SLOTS, FIT_ROWS = 1 << 18, 3000
@@ -135,8 +135,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     picked = own(picked[0].union(picked[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
     got = texts.orderBy("draw", "label").select("label", "text").mapInArrow(_features, "label int, slots array<int>").toArrow()
-    slots = got.column("slots").combine_chunks()
-    return fit([np.asarray(s.values) for s in slots], got.column("label").to_numpy())
+    slots, label = got.column("slots").combine_chunks(), got.column("label").to_numpy()
+    ends = slots.offsets.to_numpy()
+    rows = np.split(slots.values.to_numpy(), ends[1:-1]) if len(label) else []
+    try:
+        return fit(rows, label)
+    finally:
+        # the rows aren't held besides what the driver needs later
+        del got, slots, label, rows
+        give_back()
 
 
 def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -86,3 +86,14 @@ def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in QUERIES["op9_quality"](spark, sf).collect() if r.held_out and r.doc_id in labels]
     assert len(rows) > 50 and sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.97 * len(rows)
+
+
+def test_the_fit_gives_its_memory_back(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad, bad! ") * 3) for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    done = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y, fit=quality.fit: done.append("fit") or fit(rows, y))
+    monkeypatch.setattr(quality, "give_back", lambda: done.append("given back"))
+    quality.train(docs, labels)
+    quality.train(docs, labels.limit(0))
+    assert done == ["fit", "given back"] * 2
