@@ -31,7 +31,12 @@ _CHUNK = "part int, seq int, docs array<long>, lens array<long>, sizes array<int
 
 
 def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4"))
+    return zlib.crc32(ids.astype("<i4", copy=False))
+
+
+def _sum(ids: np.ndarray, block: bytes) -> int:
+    """A block's checksum: of its ids and its bytes, the last of which say more than the ids need."""
+    return zlib.crc32(block, _crc(ids))
 
 
 def pack(docs: list, lens: list[int], ids: np.ndarray) -> dict:
@@ -40,7 +45,7 @@ def pack(docs: list, lens: list[int], ids: np.ndarray) -> dict:
         raise ValueError("ids of 65536 or more don't fit this format")
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     data = [b for i in range(0, len(blocks), LANES) for b in encode_blocks(blocks[i : i + LANES])]
-    return {"docs": docs, "lens": lens, "sizes": [len(b) for b in blocks], "crcs": [_crc(b) for b in blocks], "blocks": data}
+    return {"docs": docs, "lens": lens, "sizes": [len(b) for b in blocks], "crcs": [_sum(b, d) for b, d in zip(blocks, data, strict=True)], "blocks": data}
 
 
 def _chunks(path: str):
@@ -77,8 +82,8 @@ def read_ids(row: dict) -> tuple[list, list[np.ndarray]]:
     """A chunk's documents and their ids; raises if a block's checksum is wrong."""
     sizes, blocks = np.array(row["sizes"], np.int64), row["blocks"]
     got = [x for i in range(0, len(blocks), LANES) for x in decode_blocks(blocks[i : i + LANES], sizes[i : i + LANES])]
-    for x, crc in zip(got, row["crcs"], strict=True):
-        if _crc(x) != crc:
+    for x, b, crc in zip(got, blocks, row["crcs"], strict=True):
+        if _sum(x, b) != crc:
             raise ValueError("a block's checksum is wrong")
     flat = np.concatenate(got)
     return row["docs"], np.split(flat, np.cumsum(row["lens"])[:-1])

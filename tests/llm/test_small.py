@@ -291,3 +291,36 @@ def test_vectors_with_links_against_brute_force(spark):
     want = sorted((ids[i], int(near[i].sum()) - 1, ids[up[i]], ids[up[i]] == ids[i]) for i in range(150))
     got = sorted(map(tuple, embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
     assert got == want and sum(n for _, n, _, _ in got) > 100
+
+
+def test_every_byte_of_a_block_is_checked():
+    ids = np.arange(300, dtype=np.int32) * 7 % 50000
+    row = {"lens": [300], **token_output.pack([1], [300], ids)}
+    b = row["blocks"][0]
+    for at in range(len(b)):
+        row["blocks"] = [b[:at] + bytes([b[at] ^ 1]) + b[at + 1 :]]
+        with pytest.raises(ValueError, match="checksum"):
+            token_output.read_ids(row)
+
+
+def test_blocks_are_decoded_in_fewer_steps_than_ids(monkeypatch):
+    steps, get = [], id_coder._Decoder.get
+    monkeypatch.setattr(id_coder._Decoder, "get", lambda self, m: steps.append(m) or get(self, m))
+    ids = np.arange(2 * id_coder.BLOCK, dtype=np.int32) % 50
+    blocks = [ids[: id_coder.BLOCK], ids[id_coder.BLOCK :]]
+    got = id_coder.decode_blocks(id_coder.encode_blocks(blocks), np.array([id_coder.BLOCK] * 2))
+    assert all((a == b).all() for a, b in zip(got, blocks, strict=True))
+    assert len(steps) < id_coder.BLOCK / 4
+
+
+def test_tokenizer_keeps_the_latest_pieces(monkeypatch):
+    tok = piece_tokenizer.PieceTokenizer(tokenizer_path())
+    tok.KEPT = 10
+    raw = ("Ça va, naïve café × ÷ it's 12ab" + "".join(f" w{chr(97 + i)}é{chr(97 + i)}" for i in range(20))).encode()
+    text = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    want = tok.tok.encode(raw.decode(), add_special_tokens=False).ids
+    assert tok.encode(*text)[0].tolist() == want
+    new, add = [], tok.add
+    monkeypatch.setattr(tok, "add", lambda x: new.append(len(x)) or add(x))
+    assert tok.encode(*text)[0].tolist() == want and len(tok.known) > tok.KEPT
+    assert sum(new) == 0
