@@ -164,37 +164,40 @@ class _Repeats:
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each symbol's start << 32 | width << 16 | id, block after block; of lanes: where their symbols begin, 2^20 through the whole."""
         ends = np.cumsum(self.freq, axis=1, dtype=np.uint32)
-        span = (ends - self.freq).astype(np.uint64)
-        for x in (self.freq, self.ids):
-            span <<= _BITS16
-            span |= x
+        low = self.freq.astype(np.uint32)
+        span = (ends - low).astype(np.uint64)
+        low <<= np.uint32(16)
+        low |= self.ids
+        span <<= _BITS32
+        span |= low
+        self.whole = ends[:, -1].astype(np.int64)
         row = np.arange(self.n, dtype=np.int32) * self.freq.shape[1]
-        return span.reshape(-1), np.repeat(row, SEGMENTS), np.repeat(np.uint64(1 << 20) // ends[:, -1].astype(np.uint64), SEGMENTS)
+        return span.reshape(-1), np.repeat(row, SEGMENTS), np.repeat(((1 << 20) // self.whole).astype(np.uint64), SEGMENTS)
 
     def shares(self) -> tuple[np.ndarray, np.ndarray]:
-        """The place in spans of each unit of the whole, block after block, and where lanes' blocks begin."""
-        whole = self.freq.sum(axis=1, dtype=np.uint32).astype(np.int64)
+        """The place in spans of each unit of the whole, block after block, and where lanes' blocks begin; after spans()."""
+        whole = self.whole
         return np.repeat(np.arange(self.freq.size, dtype=np.int32), self.freq.reshape(-1).astype(np.int64)), np.repeat(np.cumsum(whole) - whole, SEGMENTS)
 
     def learn(self, places: np.ndarray, escape: np.ndarray, ids: np.ndarray | None = None) -> None:
         """Of a round: places of repeats in spans, and escapes, (steps, lanes), with the round's ids to decode; repeats
         and escapes count 1; an escape opens a place that counts 1."""
         np.add.at(self.freq.reshape(-1), places, np.uint16(1))
-        escape = escape.reshape(-1, self.n, SEGMENTS).swapaxes(0, 1).reshape(self.n, -1)
-        old, known = self.escapes, self.freq.shape[1]
-        self.escapes = old + escape.sum(axis=1)
-        low, most = int(old.min(initial=0)), int(self.escapes.max(initial=0))
-        self.freq = np.pad(self.freq, ((0, 0), (0, most + 1 - known)))
+        by_block = escape.reshape(-1, self.n, SEGMENTS).swapaxes(0, 1).reshape(self.n, -1)
+        at = np.flatnonzero(by_block)
+        block = at // by_block.shape[1]
+        counts = np.bincount(block, minlength=self.n)
+        # places of the round's escapes, block after block
+        place = np.arange(1, len(at) + 1) + (self.escapes - (np.cumsum(counts) - counts))[block]
+        self.escapes = self.escapes + counts
+        more = int(self.escapes.max(initial=0)) + 1 - self.freq.shape[1]
+        self.freq = np.concatenate([self.freq, np.zeros((self.n, more), np.uint16)], axis=1)
         self.freq[:, 0] = 1 + self.escapes
-        place = np.arange(low, most)
-        self.freq[:, low + 1 :] += (place >= old[:, None]) & (place < self.escapes[:, None])
-        self.ids = np.pad(self.ids, ((0, 0), (0, most + 1 - known)))
+        self.freq[block, place] = 1
+        self.ids = np.concatenate([self.ids, np.zeros((self.n, more), np.uint16)], axis=1)
         if ids is not None:
-            at = np.flatnonzero(escape)
-            block, at = np.divmod(at, escape.shape[1])
-            step, segment = np.divmod(at, SEGMENTS)
-            rank = np.arange(len(at)) - np.searchsorted(block, np.arange(self.n))[block]
-            self.ids[block, 1 + old[block] + rank] = ids[step, block * SEGMENTS + segment]
+            at -= block * by_block.shape[1]
+            self.ids[block, place] = ids[at // SEGMENTS, block * SEGMENTS + at % SEGMENTS]
 
 
 def _rounds(steps: int) -> Iterator[tuple[int, int]]:
