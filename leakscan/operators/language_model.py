@@ -2,12 +2,13 @@
 
 Words are runs of other than white space, told apart by a 64-bit hash; two marks stand before each text. Probabilities are Witten-Bell's: a
 context h of c tokens and t distinct followers gives (c(h w) + t p(w | shorter h)) / (c + t); at the end stands the uniform
-one over the known words and one unknown. A loss is a property of a trigram, so it is worked out once for each distinct one, by joins
-with the counts, and met with documents by their trigrams.
+one over the known words and one unknown. A loss is a property of a trigram, so it is worked out once for each distinct one, and met with documents by their trigrams.
 
 All counts but those of single words are of trigrams with one middle word or less. So trigrams are taken in parts by their middle word, one part
 after another: a part's counts and losses are whole, its tables are removed when its sums by document are written, and the disk
-holds the texts' hashes and one part.
+holds the texts and one part. Words have numbers of their own (packed.py), and a part's trigrams go in arrays to buckets by their
+middle word, of which one task has all and sorts them. A middle word with more than HOT of them is too large for a task: its trigrams are rows,
+counted and looked up by joins.
 """
 
 from __future__ import annotations
@@ -15,17 +16,20 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscan.operators import packed
 from leakscan.operators.joins import lookup
 
 #: Tokens of a part at least, and parts at most.
-TOKENS, PARTS = 2_000_000, 32
+TOKENS, PARTS = 2_000_000, 8
+#: Tokens of a bucket, and those of a word that a task takes at most.
+BUCKET, HOT = 500_000, 2_500_000
+GRAMS, SUMS = "doc_id long, known boolean, asked boolean, a long, b long, w long", "doc_id long, tokens long, loss double"
 
 
 def words(text: Column) -> Column:
@@ -44,7 +48,7 @@ def _stored(x: DataFrame) -> DataFrame:
     if not where and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder")
     path = f"{where or tempfile.gettempdir()}/leakscan/model-{uuid.uuid4().hex}"
-    x.write.parquet(path)
+    x.write.option("compression", "zstd").parquet(path)
     _forget(spark)
     return spark.read.schema(x.schema).parquet(path)
 
@@ -71,42 +75,9 @@ def trigrams(docs: DataFrame, before: str | None = None) -> DataFrame:
     return x.select(*others, F.concat("two", "h").alias("h"))
 
 
-def _in_rows(part: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column("h")
-            n, v = h.value_lengths().to_numpy(), h.flatten().to_numpy()
-            if not len(v):
-                continue
-            ends = np.cumsum(n)
-            # the last two of a text begin no trigram
-            good = v[1:-1] % parts == part
-            good[np.append(ends[:-1] - 1, ends[:-1] - 2)] = False
-            at = np.flatnonzero(good)
-            row = pa.array(np.searchsorted(ends, at, "right"))
-            others = [c for c in b.schema.names if c != "h"]
-            for i in range(0, len(at), 100_000):
-                some, own = at[i : i + 100_000], row[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(own) for c in others), *(pa.array(v[some + k]) for k in range(3))], [*others, "a", "b", "w"])
-
-    return run
-
-
-def in_rows(grams: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
-    """trigrams() with a, b, w in place of h, a row for each time that word w follows a and b; of those parts by b one."""
-    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in grams.schema if f.name != "h"]
-    return grams.mapInArrow(_in_rows(part, parts), ", ".join([*others, "a long", "b long", "w long"]))
-
-
-def _word_counts(texts: DataFrame) -> dict[str, DataFrame]:
-    one = _stored(in_rows(texts.select("h")).groupBy("w").agg(F.count("*").alias("c1")))
-    return {"one": one, "all": one.agg(F.coalesce(F.sum("c1"), F.lit(0)).alias("s1"), F.count("*").alias("t1"))}
-
-
 def counted(grams: DataFrame) -> dict[str, DataFrame]:
-    """A model of trigrams(): its texts, counts of words, and of all."""
-    texts = _stored(grams.select("h"))
-    return {"texts": texts} | _word_counts(texts)
+    """A model of trigrams(): its texts, which are counted along with those that are asked for."""
+    return {"texts": _stored(grams.select("h"))}
 
 
 def _part_losses(grams: DataFrame, model: dict[str, DataFrame], total: int, asked: int) -> DataFrame:
@@ -135,27 +106,54 @@ def _part_losses(grams: DataFrame, model: dict[str, DataFrame], total: int, aske
     return out
 
 
-def losses(texts: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+def losses(texts: DataFrame) -> DataFrame:
     """texts (doc_id, h, whether known to the model, whether asked for) as doc_id, tokens, loss of those asked for: the sum of -ln p over each one's tokens."""
-    total = model["all"].first().s1
-    asked = texts.where("asked").agg(F.coalesce(F.sum(F.size("h") - 2), F.lit(0))).first()[0]
-    parts = min(PARTS, 1 + max(total, asked) // TOKENS)
-    out = None
+    spark, doc = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = lambda x, *by: x.repartition(tasks, by[0]).sortWithinPartitions(*by)
+    packs = _stored(texts.select("doc_id", "known", "asked", "h").mapInArrow(packed.pack(packed.BLOCK), packed.packs(doc)))
+    tokens, asked = (n or 0 for n in packs.agg(F.sum("tokens"), F.sum("asked")).first())
+    ranges = max(tasks, tokens // TOKENS)
+    found = packs.select("block", "words", "known", "times").mapInArrow(packed.words_by_bucket(ranges), packed.WORDS)
+    numbered = _stored(grouped(found, "bucket").mapInArrow(packed.number(ranges, HOT), packed.NUMBERED))
+    every = numbered.where("block = -1")
+    s1, t1, most = (n or 0 for n in every.agg(F.sum("s1"), F.sum("t1"), F.max("most")).first())
+    # fewer than tokens / HOT
+    hot = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r.hot, np.int64) for r in every.where("length(hot) > 0").select("hot").collect())])
+    kind = np.int32 if max(most, s1) < 2**31 else np.int64
+    lacks = lambda x, *c: x.withColumns({k: F.lit(None).cast("binary") for k in c})
+    both = lacks(packs.select("block", F.lit(ranges).alias("bucket"), "docs", "n", "flags", "codes"), "ids", "c1")
+    both = both.unionByName(numbered.where("block >= 0").select("block", "bucket", "ids", "c1"), allowMissingColumns=True)
+    coded = _stored(grouped(both, "block", "bucket").mapInArrow(packed.code(kind), packed.coded(doc)))
+    model = {"all": spark.createDataFrame([(s1, t1)], "s1 long, t1 long")}
+    if len(hot):
+        rows = every.mapInArrow(packed.each_word, "w long, c1 long")
+        model["one"] = _stored(rows.where("c1 > 0"))
+    _removed(packs, numbered)
+    parts = min(PARTS, 1 + tokens // TOKENS)
+    buckets = max(4 * tasks, tokens // parts // BUCKET)
+    sums = []
     for i in range(parts):
-        x = _part_losses(in_rows(texts, i, parts), model, total, asked)
-        out = x if out is None else out.unionByName(x)
-    return out.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+        rows = coded.mapInArrow(packed.trigrams_by_bucket(kind, i, parts, buckets, hot), packed.BUCKETS)
+        three = _stored(grouped(rows, "bucket").mapInArrow(packed.bucket_losses(kind, s1, t1), "c3 long, each double, docs array<long>"))
+        x = three.mapInArrow(packed.by_document, SUMS)
+        sums.append(_stored(x.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))))
+        _removed(three)
+        own = hot[packed.of_part(hot, i, parts)]
+        if len(own):
+            sums.append(_part_losses(coded.mapInArrow(packed.hot_trigrams(kind, i, parts, own), GRAMS), model, s1, asked))
+    docs = coded.select("block", F.posexplode("docs").alias("row", "own")).select((F.shiftleft("block", packed.ROW) + F.col("row")).alias("doc_id"), "own")
+    x = reduce(DataFrame.unionByName, sums).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss")).join(docs, "doc_id")
+    out = _stored(x.groupBy(F.col("own").alias("doc_id")).agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss")))
+    _removed(coded, *sums, *([model["one"]] if len(hot) else []))
+    return out
 
 
 def corpus_loss(docs: DataFrame, held_out: str) -> DataFrame:
     """Losses of docs (doc_id, text) under a model of those for which held_out, a condition, doesn't hold: doc_id, held_out, tokens, loss."""
     marked = docs.withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
     marked = marked.select(F.struct("doc_id", "held_out").alias("doc_id"), (~F.col("held_out")).alias("known"), F.lit(True).alias("asked"), "text")
-    texts = _stored(trigrams(marked))
-    model = _word_counts(texts.where("known"))
-    x = losses(texts, model)
-    _removed(texts, model["one"])
-    return x.select("doc_id.*", "tokens", "loss")
+    return losses(trigrams(marked)).select("doc_id.*", "tokens", "loss")
 
 
 def perplexity(x: DataFrame, *by: str) -> DataFrame:
@@ -170,10 +168,8 @@ def answered(questions: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
     Losses are of whole options and compared to six places; of equal ones the first letter counts. Options without words are out; given is null if all are."""
     x = questions.select("id", "prompt", F.posexplode("options").alias("place", "text"))
     asked = trigrams(x.select(F.struct("id", "place").alias("doc_id"), F.lit(False).alias("known"), F.lit(True).alias("asked"), "prompt", "text"), before="prompt")
-    asked = _stored(asked)
     known = model["texts"].select(F.lit(None).cast(asked.schema["doc_id"].dataType).alias("doc_id"), F.lit(True).alias("known"), F.lit(False).alias("asked"), "h")
-    each = losses(known.unionByName(asked), model).select("doc_id.*", F.floor(F.col("loss") * 1000000 + 0.5).alias("loss"))
-    _removed(asked)
+    each = losses(known.unionByName(asked)).select("doc_id.*", F.floor(F.col("loss") * 1000000 + 0.5).alias("loss"))
     best = each.groupBy("id").agg(F.min(F.struct("loss", "place")).alias("best"))
     letter = F.char(F.col("best.place") + 65)
     return questions.join(best, "id", "left").select(*questions.columns, letter.alias("given"), (F.col("best.loss") / 1000000).alias("loss"))

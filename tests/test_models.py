@@ -159,3 +159,32 @@ def test_progress_of_a_stream(spark, tmp_path):
     finally:
         spark.streams.removeListener(heard)
     assert (heard.n, heard.hits, heard.errors) == (30, 15, 0) and len(heard.rates) >= 3
+
+
+def test_losses_of_crowded_words(spark, monkeypatch):
+    rnd = random.Random(6)
+    docs = [(i, " ".join(rnd.choice(["the", "of", *[f"w{k}" for k in range(60)]]) for _ in range(rnd.randrange(1, 90)))) for i in range(80)] + [(90, "the " * 700), (95, "of the " * 300), (96, "new")]
+    want, made = brute_losses(docs, lambda d: d % 5 == 0), []
+    monkeypatch.setattr(language_model, "_stored", lambda x, write=language_model._stored: made.append(x._jdf.queryExecution().executedPlan().toString()) or write(x))
+    monkeypatch.setattr(language_model, "TOKENS", 3000)
+    monkeypatch.setattr(language_model.packed, "BLOCK", 500)
+    for crowd, joined in ((10**9, 0), (400, 1)):
+        monkeypatch.setattr(language_model, "HOT", crowd)
+        made.clear()
+        got = {r.doc_id: (r.tokens, r.loss, r.held_out) for r in language_model.corpus_loss(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id % 5 = 0").collect()}
+        assert {d: (n, pytest.approx(e), d % 5 == 0) for d, (n, e) in want.items()} == got
+        # trigrams are joined only where a middle word is too much for a task; the last table has a row for each document
+        assert any("Join" in p for p in made[:-1]) == joined
+
+
+def test_wide_numbers_of_words(spark):
+    a, b, w, c1 = [0, 0, 5, 2**40], [0, 5, 2**40, 5], [5, 2**40, 5, 2**40], [2, 2, 2, 2]
+    losses = []
+    for kind, of in ((np.int64, lambda v: v), (np.int32, lambda v: 7 if v == 2**40 else v)):
+        binary = lambda v: np.array([of(i) for i in v], kind).tobytes()  # noqa: B023, E731
+        row = {"bucket": 1, "block": 3, "a": binary(a), "b": binary(b), "w": binary(w), "c1": binary(c1), "doc": np.array([3, 3, 3, 3], np.int32).tobytes()}
+        batch = language_model.packed.pa.RecordBatch.from_pylist([row])
+        out = [r for x in language_model.packed.bucket_losses(kind, 4, 2)(iter([batch])) for r in x.to_pylist()]
+        assert {d for r in out for d in r["docs"]} == {3 << language_model.packed.ROW} and [r["c3"] for r in out] == [1] * 4
+        losses.append(sorted(r["each"] for r in out))
+    assert losses[0] == pytest.approx(losses[1])
