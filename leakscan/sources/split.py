@@ -26,6 +26,8 @@ from pyspark.sql.types import DataType, StringType, StructType
 RANGES = 500_000
 #: Distinct headers of the files that are read together.
 HEADERS = 100
+#: What Java's trim takes off.
+BLANK = "".join(map(chr, range(33)))
 
 WHOLE, HEAD, MIDDLE, TAIL, HEADER, FIELD = range(6)
 #: A record or a part of one: the range it begins in, the depth there, the field of the document that it is in, if that is known.
@@ -90,6 +92,39 @@ class _Open:
             yield _row(self.at, kind, sep.join(self.pieces), self.depth, self.field)
 
 
+def _csv_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range: whether its quotes turn the state, whether each of its lines is a record as Spark's own reader takes it if the range begins outside quotes, and the file's first line."""
+    now, out = None, []
+    for at, b in _blocks(batches):
+        lines = b.column("value").cast(pa.string())
+        if at != now:
+            now = at
+            out.append([*at, 0, True, lines[0].as_py() if at[1] == 0 else None])
+        r, quotes = out[-1], pc.count_substring(lines, '"').to_numpy()
+        r[2] = (r[2] + int(quotes.sum())) % 2
+        # that reader also ends lines at CR, and passes over those without more than spaces and control characters
+        blank = pc.and_(pc.equal(pc.ascii_trim(lines, BLANK), ""), pc.not_equal(lines, ""))
+        r[3] = r[3] and not (quotes & 1).any() and not pc.any(pc.match_substring(lines, "\r")).as_py() and not pc.any(blank).as_py()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()), strict=True)], ["file", "block", "own", "plain", "first"])
+
+
+def _plain_csv(spark: SparkSession, path: str | list[str], states: DataFrame, wanted: StructType, file: str | None, options: dict) -> DataFrame | None:
+    """Files whose every line is a record, and which share one header, through Spark's own reader, which parses only what is asked for; else None."""
+    if states.where("NOT plain OR odd <> 0").first():
+        return None
+    found = [r["first"] for r in states.where("block = 0").select("first").distinct().limit(2).collect()]
+    header = found[0].removeprefix("\ufeff") if len(found) == 1 else ""
+    if not header:
+        return None
+    names = next(csv.reader([header]))
+    types = {f.name: f.dataType for f in wanted}
+    # by place, as a folder may give a column too; a name stands for its first place
+    ddl = ", ".join(f"`_column{i}` {types[n].simpleString() if n in types and n not in names[:i] else 'string'}" for i, n in enumerate(names))
+    x = spark.read.options(**options).options(header=True, escape='"', lineSep="\n", maxColumns=max(20480, len(names) + 1)).schema(ddl).csv(path)
+    return x.select(*[(F.col(f"_column{names.index(n)}") if n in names else F.lit(None).cast(t)).alias(n) for n, t in types.items()], *([F.col("_metadata.file_path").alias(file)] if file else []))
+
+
 def _csv_parts(header: bool, whole: bool):
     """Lines in order as records of one range, or (whole is false) as headers and parts of records over borders."""
 
@@ -156,12 +191,15 @@ def read_csv_split(spark: SparkSession, path: str | list[str], schema: str, head
     """
     wanted = StructType.fromDDL(schema)
     x = _pieces(spark, path, "\n", options)
-    ranges = x.groupBy("file", "block").agg((F.sum(F.expr("char_length(value) - char_length(replace(value, '\"', ''))")) % 2).alias("own"))
-    states = kept(ranges.select("file", "block", "own", (_before("own") % 2).cast("int").alias("odd")))
+    ranges = x.select("value", "file", "block").mapInArrow(_csv_ranges, "file string, block long, own int, plain boolean, first string")
+    states = kept(ranges.withColumn("odd", (_before("own") % 2).cast("int")))
     broken = states.groupBy("file").agg((F.sum("own") % 2).alias("open")).where("open = 1").first()
     if broken:
         raise ValueError(f"{broken.file} ends inside a quoted value")
-    lines = _with_state(x, states.drop("own"))
+    plain = _plain_csv(spark, path, states, wanted, file, options) if header else None
+    if plain is not None:
+        return plain
+    lines = _with_state(x, states.select("file", "block", "odd"))
     parts = kept(lines.mapInArrow(_csv_parts(header, False), _PART))
     records = lines.mapInArrow(_csv_parts(header, True), _PART).select("file", "text").unionByName(_joined(parts, "\n").select("file", "text"))
     records = records.withColumn("text", F.regexp_replace("text", "\r$", "")).where("text <> ''")

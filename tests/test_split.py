@@ -117,3 +117,33 @@ def test_many_ranges_by_a_shuffle(spark, tmp_path, ranges, monkeypatch):
     got = read_csv_split(spark, str(tmp_path / "a.csv"), "a int, b string, c string").collect()
     assert sorted(map(tuple, got), key=key) == sorted([(i, b or None, c or None) for i, b, c in ROWS[:40]], key=key)
     assert sorted(r.a for r in read_json_split(spark, str(tmp_path / "a.json"), OBJECT, field="p").collect()) == list(range(60))
+
+
+def test_files_of_plain_lines_are_parsed_by_column(spark, tmp_path, ranges):
+    rows = [(i, RND.choice(["", "x", 'say "hi"', "a,b", "é}{", '"', " y "]), "a,b,c") for i in range(300)]
+    for d in ("plain", "model=x", "cr", "blank", "mixed", "same"):
+        (tmp_path / d).mkdir()
+    for d in ("plain", "model=x", "mixed"):
+        write(tmp_path / d / "a.csv", rows[:200], bom="﻿", end="\n")
+    write(tmp_path / "plain" / "b.csv", rows[200:], bom="﻿", end="\n", strip=True)
+    write(tmp_path / "mixed" / "b.csv", [(b, a, c) for a, b, c in rows[200:]], head=("b", "a", "c"), end="\n")
+    write(tmp_path / "cr" / "a.csv", [(1, "x", "y\rz"), (2, "u", "v")], end="\n")
+    (tmp_path / "blank" / "a.csv").write_text("a,b,c\n  \n1,2,3\n\n")
+    # a row like the header is a row
+    (tmp_path / "same" / "a.csv").write_text("b,a,b,model\nb,a,b,model\nx,3,y,z\n")
+    read = lambda d, s="a int, b string, c string": read_csv_split(spark, str(tmp_path / d), s, file="f")
+    python = lambda x: "MapInArrow" in x._jdf.queryExecution().executedPlan().toString()
+    want = sorted([(a, b or None, c) for a, b, c in rows], key=key)
+    for size in (200, 1 << 20):
+        ranges(size)
+        for d, slow in (("plain", False), ("mixed", True)):
+            x = read(d)
+            assert python(x) == slow and sorted([tuple(r)[:3] for r in x.collect()], key=key) == want
+        x = read("plain")
+        assert x.rdd.getNumPartitions() > 20 or size > 200
+        assert {r.f.rsplit("/", 1)[1] for r in x.select("f").distinct().collect()} == {"a.csv", "b.csv"}
+        assert "ReadSchema: struct<_column1:string>" in x.groupBy("b").count()._jdf.queryExecution().toString()
+    assert read("model=x", "a int, model string").where("model IS NULL").count() == 200
+    assert python(x := read("cr")) and sorted(tuple(r)[:3] for r in x.collect()) == [(1, "x", "y\rz"), (2, "u", "v")]
+    assert python(x := read("blank")) and x.count() == 2
+    assert not python(x := read("same", "a int, b string")) and sorted([tuple(r)[:2] for r in x.collect()], key=key) == [(3, "x"), (None, "b")]
