@@ -63,7 +63,7 @@ def _removed(*stored: DataFrame) -> None:
 
 
 def trigrams(docs: DataFrame, before: str | None = None) -> DataFrame:
-    """docs (doc_id, text) as doc_id, h: hashes of two words before the text and of its own, of which each three in a row are a trigram. Texts without words, and null ones, have none.
+    """docs (doc_id, text) as doc_id, h: hashes of two words before the text and of its own, of which each three in a row are a trigram. Texts without words have none, and null ones a null.
 
     before: a column with what stands before the text, of which the last two words are context only. Other columns stay."""
     two = F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
@@ -71,8 +71,8 @@ def trigrams(docs: DataFrame, before: str | None = None) -> DataFrame:
         two = F.concat(two, F.transform(F.coalesce(words(F.col(before)), F.array()), lambda w: F.xxhash64(w)))
         two = F.slice(two, F.size(two) - 1, F.lit(2))
     others = [c for c in docs.columns if c not in ("text", before)]
-    x = docs.select(*others, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), two.alias("two")).where("size(h) > 0")
-    return x.select(*others, F.concat("two", "h").alias("h"))
+    # no condition on h, which would be pushed below and have texts split twice
+    return docs.select(*others, F.concat(two, F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
 
 
 def counted(grams: DataFrame) -> dict[str, DataFrame]:
